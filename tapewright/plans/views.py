@@ -74,6 +74,13 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(symbol_of_user()).distinct()
 
 
+def active_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols whose mean price is above the mean of all events."""
+    rows = read(spark, sf_dir, "events").select(symbol_of_user(), (F.lit(100.0) + F.col("value") / 10).alias("px"))
+    average = rows.agg(F.avg("px")).first()[0]
+    return rows.groupBy("symbol").agg(F.avg("px").alias("mean")).filter(F.col("mean") > average).select("symbol")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = (F.col("k") % 9) + F.lit(1.0)
     rows = _events(spark, sf_dir, ["purchase", "click", "view"])
@@ -343,3 +350,53 @@ def daily_times(spark: SparkSession, sf_dir: str) -> DecisionTimes:
 
 def daily_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.snapshots_at(market_history(spark, sf_dir), daily_times(spark, sf_dir), OPTIONS)
+
+
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def feature_table(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Snapshots written once to the shared checkpoint folder and read by every screen and board.
+
+    Keyed by application, so a new session builds its own; ``kind`` is ``now`` or ``daily``.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _TABLES:
+        build = {"now": snapshots, "daily": daily_snapshots, "listed": listed_snapshots}[kind]
+        _TABLES[key] = cut_lineage(build(spark, sf_dir))
+    return _TABLES[key]
+
+
+def listed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current snapshots with listing metadata attached."""
+    from tapewright.operators import metadata
+
+    now = now_ms(spark, sf_dir)
+    details = metadata.enrich_metadata(event_metadata_inputs(spark, sf_dir), now, now)
+    return metadata.attach_metadata(feature_table(spark, sf_dir, "now"), details)
+
+
+def event_metadata_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata inputs of the event symbols, derived from their first event and value totals.
+
+    Every fifth symbol has none, so all metadata states occur.
+    """
+    n = F.substring("symbol", 2, 2).cast("int")
+    rows = read(spark, sf_dir, "events").select(symbol_of_user(), epoch_ms("ts").alias("ms"), "value")
+    per = rows.groupBy("symbol").agg(
+        F.min("ms").alias("first_ms"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("value") < 40, 1)).alias("m")
+    )
+    return per.filter(n % 5 != 4).select(
+        F.col("symbol"),
+        F.concat(F.col("symbol"), F.lit("/USD")).alias("display_name"),
+        F.col("symbol").alias("feed_identifier"),
+        n.alias("spot_index"),
+        n.alias("base_token_index"),
+        F.lit(0).alias("quote_token_index"),
+        F.lit("driver_tables").alias("metadata_source"),
+        (F.col("first_ms") + n * DAY).alias("deploy_time_ms"),
+        F.when(n % 7 != 0, F.concat(F.lit("d"), n)).alias("deployer"),
+        F.when(n % 3 != 0, (F.col("n") * 10).cast("double")).alias("seeded_usdc"),
+        F.col("n").cast("double").alias("max_supply"),
+        F.col("m").cast("double").alias("circulating_supply"),
+    )
