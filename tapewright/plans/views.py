@@ -377,26 +377,37 @@ def listed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_metadata_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata inputs of the event symbols, derived from their first event and value totals.
+    """Metadata inputs derived from each symbol's first event and value counts.
 
-    Every fifth symbol has none, so all metadata states occur.
+    Only symbols with an above-average price are listed, and some of those lack a field, so that
+    every metadata state occurs.
     """
-    n = F.substring("symbol", 2, 2).cast("int")
-    rows = read(spark, sf_dir, "events").select(symbol_of_user(), epoch_ms("ts").alias("ms"), "value")
+    i = F.substring("symbol", 2, 2).cast("int")
+    rows = read(spark, sf_dir, "events").select(
+        symbol_of_user(), epoch_ms("ts").alias("ms"), (F.lit(100.0) + F.col("value") / 10).alias("px")
+    )
     per = rows.groupBy("symbol").agg(
-        F.min("ms").alias("first_ms"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("value") < 40, 1)).alias("m")
+        F.min("ms").alias("first_ms"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("px") - 100 < 4).alias("m")
     )
-    return per.filter(n % 5 != 4).select(
+    n, m = F.col("n"), F.col("m")
+    return per.join(active_symbols(spark, sf_dir), "symbol").select(
         F.col("symbol"),
         F.concat(F.col("symbol"), F.lit("/USD")).alias("display_name"),
         F.col("symbol").alias("feed_identifier"),
-        n.alias("spot_index"),
-        n.alias("base_token_index"),
+        i.alias("spot_index"),
+        i.alias("base_token_index"),
         F.lit(0).alias("quote_token_index"),
         F.lit("driver_tables").alias("metadata_source"),
-        (F.col("first_ms") + n * DAY).alias("deploy_time_ms"),
-        F.when(n % 7 != 0, F.concat(F.lit("d"), n)).alias("deployer"),
-        F.when(n % 3 != 0, (F.col("n") * 10).cast("double")).alias("seeded_usdc"),
-        F.col("n").cast("double").alias("max_supply"),
-        F.col("m").cast("double").alias("circulating_supply"),
+        (F.col("first_ms") + i * DAY).alias("deploy_time_ms"),
+        F.when(m >= n * 0.535, F.concat(F.lit("d"), i)).alias("deployer"),
+        F.when(m >= n * 0.55, (n * 10).cast("double")).alias("seeded_usdc"),
+        n.cast("double").alias("max_supply"),
+        (m * 0.45).cast("double").alias("circulating_supply"),
     )
+
+
+def skewed_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier liquidity with differences blown up, so that the weight cap binds."""
+    rows = liquidity(spark, sf_dir)
+    average = rows.agg(F.avg("liquidity")).first()[0]
+    return rows.select("symbol", F.pow(F.col("liquidity") / average, F.lit(30)).alias("liquidity"))
