@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tapewright.errors import ContractError
 from tapewright.functions.common import choose
 from tapewright.operators.ordered import lookup_join, ordered_scan
+from tapewright.session import cut_lineage
 
 # Fixed values of the index.
 START_VALUE = 100.0
@@ -125,7 +126,9 @@ def composite_index(
     """Composite OHLC per minute. ``exact_volume`` (open_ts_ms, quote_volume) overrides the estimate."""
     if requested_symbols < 1:
         raise ContractError("composite requires at least one requested symbol")
-    rows = chain(minute_returns(candles, capped_sqrt_weights(liquidity)))
+    # One row per minute, written once: the chain reads it twice.
+    minutes = cut_lineage(minute_returns(candles, capped_sqrt_weights(liquidity)))
+    rows = chain(minutes)
     level = lambda c: F.col("before") * (1 + F.col(f"r_{c}"))
     rows = rows.withColumns({"open": level("open"), "close": level("close")})
     rows = rows.withColumns(

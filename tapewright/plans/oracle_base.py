@@ -84,13 +84,13 @@ flow AS (
          sum(notional) AS gross
   FROM seen WHERE ts >= now_ms - {3 * DAY} GROUP BY 1, 2),
 lt AS (
-  SELECT symbol, now_ms, arg_max(price, (ts, seq)) AS price, max(ts) AS ts FROM seen GROUP BY 1, 2),
+  SELECT symbol, now_ms, arg_max(price, (ts, seq)) AS price, max(ts) AS lt_ts FROM seen GROUP BY 1, 2),
 sparse AS (
   SELECT s.symbol, s.now_ms, count(*) AS n FROM seen s JOIN lt USING (symbol, now_ms)
-  WHERE s.ts >= lt.ts - {10 * DAY} GROUP BY 1, 2),
+  WHERE s.ts >= lt_ts - {10 * DAY} GROUP BY 1, 2),
 qseen AS (SELECT q.*, now_ms FROM qt q JOIN times ON q.ts <= now_ms),
 lq AS (
-  SELECT symbol, now_ms, ts, bid, bsz, ask, asz FROM qseen
+  SELECT symbol, now_ms, ts AS lq_ts, bid, bsz, ask, asz FROM qseen
   QUALIFY row_number() OVER (PARTITION BY symbol, now_ms ORDER BY ts DESC, seq DESC) = 1),
 qwin AS (
   SELECT * FROM qseen WHERE ts >= now_ms - {7 * DAY}
@@ -141,9 +141,9 @@ fm AS (
     SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) AS newest FROM cx)
   WHERE ts = newest AND mid_px IS NOT NULL GROUP BY 1),
 lc AS (
-  SELECT symbol, now_ms, ts, day_ntl_vlm, mark_px FROM cx JOIN times ON ts <= now_ms
+  SELECT symbol, now_ms, ts AS lc_ts, day_ntl_vlm, mark_px FROM cx JOIN times ON ts <= now_ms
   QUALIFY row_number() OVER (PARTITION BY symbol, now_ms ORDER BY ts DESC, seq DESC) = 1),
-lmd AS (SELECT symbol, now_ms, max(ts) AS ts FROM md JOIN times ON ts <= now_ms GROUP BY 1, 2),
+lmd AS (SELECT symbol, now_ms, max(ts) AS lmd_ts FROM md JOIN times ON ts <= now_ms GROUP BY 1, 2),
 cvis AS (SELECT c.*, now_ms FROM cd c JOIN times ON __CANDLE_VISIBLE__),
 cz0 AS (
   SELECT *, max(open_ts) OVER (PARTITION BY symbol, now_ms) AS last_open FROM cvis
@@ -184,7 +184,7 @@ raw AS (
     coalesce(a_1m.rv, 0) AS rv_1m, coalesce(a_5m.rv, 0) AS rv_5m, coalesce(a_1h.rv, 0) AS rv_1h,
     cz.vz AS volume_z_1h, cz.tz AS trade_count_z_1h,
     coalesce(sparse.n, 0) < 2 AS sparse, coalesce(dups.n, 0) AS dups,
-    greatest(lt.ts, lq.ts, lc.ts, lmd.ts, cz.close_ts) AS last_update_ms,
+    greatest(lt_ts, lq_ts, lc_ts, lmd_ts, cz.close_ts) AS last_update_ms,
     m1.n AS m1_n, m1.sz, m1.pxsz, m1.ntl, m1.ret AS m1_ret, m5.n AS m5_n, m5.cov, m5.bp
   FROM sy CROSS JOIN times
   LEFT JOIN lt USING (symbol, now_ms) LEFT JOIN sparse USING (symbol, now_ms) LEFT JOIN lq USING (symbol, now_ms)

@@ -180,8 +180,8 @@ def _doubled(s, d):
 
 register(
     "I3_dedup_minute_candles",
-    lambda s, d: composite.dedup_minute_candles(_doubled(s, d)).select("symbol", "open_ts_ms", *rounded("open", "close")),
-    f"WITH {_LI} SELECT symbol, open_ts AS open_ts_ms, {r6('open')} AS open, {r6('high')} AS close FROM wc",
+    lambda s, d: composite.dedup_minute_candles(_doubled(s, d)).select("symbol", "open_ts_ms", *rounded("open", "close", digits=9)),
+    f"WITH {_LI} SELECT symbol, open_ts AS open_ts_ms, round(open, 9) + 0 AS open, round(high, 9) + 0 AS close FROM wc",
 )
 _INDEX = f"""WITH {_LI}, {_weights_sql(_LIQUIDITY)},
 b0 AS (SELECT wc.*, weight, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY open_ts), open) AS base FROM wc JOIN wt USING (symbol)),
