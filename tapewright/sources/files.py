@@ -146,10 +146,13 @@ def tables_from_documents(parsed: DataFrame) -> dict[str, DataFrame]:
 def read_normalized(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Typed tables of a tagged JSON-lines dataset, in (file, line) order."""
     lines = spark.read.text(path, recursiveFileLookup=True)
-    order = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    rows = lines.select("value", order.alias("_o"), F.monotonically_increasing_id().alias("_i"))
-    # Lines of one file keep their order in ``_i``; frozen so that every table sees the same numbers.
-    docs = cut_lineage(rows.select(F.col("value").alias("event_json"), F.col("_i").alias("ingest_seq")))
+    rows = lines.select(
+        F.col("value").alias("event_json"),
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    docs = with_row_index(rows, ["_path", "_block", "_line"]).withColumnRenamed("row_index", "ingest_seq")
     return tables_from_documents(parse_documents(docs))
 
 

@@ -20,7 +20,8 @@ DATA_CHANNELS = ["trades", "bbo", "l2Book", "allMids", *CONTEXT_CHANNELS, "candl
 MAX_BOOK_LEVELS = 20
 
 LEVEL = "struct<px:string,sz:string,n:bigint>"
-CANDLE = "struct<t:string,T:string,s:string,i:string,o:string,c:string,h:string,l:string,v:string,n:string>"
+# A map, because the keys ``t`` and ``T`` differ only in case.
+CANDLE = "map<string,string>"
 PAYLOAD = {
     "trades": "array<struct<coin:string,side:string,px:string,sz:string,hash:string,time:bigint,tid:bigint>>",
     "bbo": f"struct<coin:string,time:bigint,bbo:array<{LEVEL}>>",
