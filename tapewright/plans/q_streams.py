@@ -22,10 +22,17 @@ _LOCK = threading.Lock()
 
 
 def as_stream(s, df: DataFrame, name: str, order: str | None = None, parts: int = 3) -> DataFrame:
-    """Write a table as ``parts`` files and read them back as a stream, one file per micro-batch."""
+    """Write a table as files and read them back as a stream, one file per micro-batch.
+
+    With ``order`` the parts are written one after the other, so the stream delivers them in order.
+    """
     path = scratch(s, name)
-    rows = df.repartitionByRange(parts, order) if order else df.repartition(parts)
-    rows.write.parquet(path)
+    if order is None:
+        df.repartition(parts).write.parquet(path)
+    else:
+        cuts = [float("-inf"), *df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01), float("inf")]
+        for low, high in zip(cuts, cuts[1:]):
+            df.filter((F.col(order) > low) & (F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
     return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
