@@ -29,6 +29,7 @@ def capped_sqrt_weights(liquidity: DataFrame) -> DataFrame:
     raw = liquidity.filter((F.col("liquidity") > 0) & (F.col("liquidity") < float("inf"))).select(
         "symbol", F.sqrt("liquidity").alias("raw")
     )
+    raw = cut_lineage(raw)
     totals = raw.agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("total")).first()
     if not totals["n"]:
         raise ContractError("composite requires positive finite liquidity")
@@ -81,7 +82,8 @@ def coverage_state(coverage):
 def minute_returns(candles: DataFrame, weights: DataFrame) -> DataFrame:
     """Per minute: coverage, weighted returns against each symbol's previous close, breadth, volume."""
     rows = dedup_minute_candles(valid_minute_candles(candles))
-    rows = lookup_join(rows, weights, ["symbol"], "inner")
+    # One row per symbol and minute, written once instead of being aggregated for every pass below.
+    rows = cut_lineage(lookup_join(rows, weights, ["symbol"], "inner"))
     rows = ordered_scan(rows, ["symbol"], "open_ts_ms", "open_ts_ms", previous=["close"])
     base = F.coalesce("prev.close", "open")
     rows = rows.withColumn("_base", base)

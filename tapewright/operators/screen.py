@@ -132,7 +132,10 @@ def rule_column(where: str) -> Column:
     words = set(re.findall(r"[A-Za-z_][\w.]*", leftover)) - {"and", "or", "AND", "OR"}
     if words or not _COMPARISON.search(where):
         raise ContractError(f"rule has a part that is not a comparison: {sorted(words) or where!r}")
-    return F.expr(checked)
+    try:
+        return F.expr(f"({checked})")
+    except PySparkException as error:
+        raise ContractError(f"rule cannot be parsed: {where!r}") from error
 
 
 def screen_filter(view: DataFrame, where: str) -> DataFrame:

@@ -86,8 +86,10 @@ register(
 
 
 def _windows(s, d, columns):
-    scanned = features.scan_trades(views.trades_once(s, d))
-    rows = features.trade_windows(scanned, DecisionTimes.at(views.now_ms(s, d)), SCALED)
+    now = views.now_ms(s, d)
+    # Only the longest window is read: the bound reaches the scan as a pushed filter.
+    scanned = features.scan_trades(views.trades_once(s, d, now - SCALED.longest_trade_window_ms))
+    rows = features.trade_windows(scanned, DecisionTimes.at(now), SCALED)
     return rows.select("symbol", "now_ms", *rounded(*columns))
 
 
@@ -135,7 +137,9 @@ register(
 
 
 def _quote_windows(s, d):
-    return features.quote_windows(views.quotes_onesided(s, d), DecisionTimes.at(views.now_ms(s, d)), SCALED)
+    now = views.now_ms(s, d)
+    near = views.quotes_onesided(s, d, now - max(SCALED.flow_ms, SCALED.shock_ms))
+    return features.quote_windows(near, DecisionTimes.at(now), SCALED)
 
 
 register(
@@ -275,7 +279,7 @@ register(
 def _validated(s, d):
     """The streaming-style window aggregate against an independent one-pass VWAP."""
     now = views.now_ms(s, d)
-    near = views.trades_once(s, d).filter(F.col("exchange_ts_ms") >= now - DAY)
+    near = views.trades_once(s, d, now - DAY)
     expected = near.groupBy("symbol").agg(
         (F.sum(F.col("price") * F.col("size")) / F.sum("size")).alias("expected_value"),
         F.count(F.lit(1)).alias("observations"),

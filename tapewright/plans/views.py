@@ -6,6 +6,8 @@ symbol per supplier. Windows in these views are scaled to the data's density.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +30,21 @@ SCALED = FeatureParams(
 )
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A driver table; the reader (file listing and schema) is kept per session, never the rows."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"reader:{table}")
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return _TABLES[key]
+
+
+def ntz(ms: int) -> Column:
+    """Epoch milliseconds as a timestamp literal without time zone, so that a filter reaches the scan."""
+    text = (datetime(1970, 1, 1) + timedelta(milliseconds=int(ms))).isoformat(sep=" ", timespec="milliseconds")
+    return F.lit(text).cast("timestamp_ntz")
 
 
 def epoch_ms(ts: str) -> Column:
@@ -44,11 +59,13 @@ def symbol_of_user() -> Column:
     return F.concat(F.lit("S"), F.lpad((F.col("user_id") % 20).cast("string"), 2, "0")).alias("symbol")
 
 
-def _events(spark: SparkSession, sf_dir: str, kinds: list[str]) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, kinds: list[str], since_ms: int | None = None) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
+    rows = read(spark, sf_dir, "events").filter(F.col("event_type").isin(*kinds))
+    if since_ms is not None:
+        rows = rows.filter(F.col("ts") >= ntz(since_ms))
     return (
-        read(spark, sf_dir, "events")
-        .filter(F.col("event_type").isin(*kinds))
+        rows
         .select(
             symbol_of_user(),
             epoch_ms("ts").alias("ms"),
@@ -81,9 +98,9 @@ def active_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("symbol").agg(F.avg("px").alias("mean")).filter(F.col("mean") > average).select("symbol")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str, since_ms: int | None = None) -> DataFrame:
     size = (F.col("k") % 9) + F.lit(1.0)
-    rows = _events(spark, sf_dir, ["purchase", "click", "view"])
+    rows = _events(spark, sf_dir, ["purchase", "click", "view"], since_ms)
     return rows.select(
         "symbol",
         (F.col("ms") * 1_000_000).alias("recv_ts_ns"),
@@ -105,14 +122,14 @@ def trades_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tape.unionByName(late)
 
 
-def trades_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades_once(spark: SparkSession, sf_dir: str, since_ms: int | None = None) -> DataFrame:
     """The clean tape in deduplicated form."""
-    return trades(spark, sf_dir).withColumn("copies", F.lit(0).cast("long"))
+    return trades(spark, sf_dir, since_ms).withColumn("copies", F.lit(0).cast("long"))
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quotes(spark: SparkSession, sf_dir: str, since_ms: int | None = None) -> DataFrame:
     k = F.col("k")
-    rows = _events(spark, sf_dir, ["signup", "error"]).withColumn(
+    rows = _events(spark, sf_dir, ["signup", "error"], since_ms).withColumn(
         "s", F.when(k % 10 == 7, (k + 1) * 5).otherwise(k % 10 + 2)
     )
     return rows.select(
@@ -129,9 +146,9 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def quotes_onesided(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quotes_onesided(spark: SparkSession, sf_dir: str, since_ms: int | None = None) -> DataFrame:
     gone = F.col("ingest_seq") % 50 == 0
-    rows = quotes(spark, sf_dir)
+    rows = quotes(spark, sf_dir, since_ms)
     return rows.withColumns({c: F.when(~gone, F.col(c)) for c in ("ask_price", "ask_size")})
 
 
@@ -352,9 +369,6 @@ def daily_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.snapshots_at(market_history(spark, sf_dir), daily_times(spark, sf_dir), OPTIONS)
 
 
-_TABLES: dict[tuple, DataFrame] = {}
-
-
 def feature_table(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Snapshots written once to the shared checkpoint folder and read by every screen and board.
 
