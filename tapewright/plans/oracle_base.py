@@ -221,7 +221,7 @@ s4 AS (
     least(greatest(50 + coalesce(best_ret, 0) * 100, 0), 100) AS momentum_score,
     least(greatest(50 - coalesce(best_ret, 0) * 100, 0), 100) AS mean_reversion_score,
     coalesce(-least(greatest(spread_bps / 150, 0), 1) * 15, 0) AS spread_penalty,
-    coalesce(least(abs(signed_notional_flow_30s) / 10000 * 100, 100) * CASE WHEN signed_notional_flow_30s >= 0 THEN 1 ELSE -1 END, 0) AS flow_score
+    CASE WHEN signed_notional_flow_30s IS NULL THEN 0 ELSE least(abs(signed_notional_flow_30s) / 10000 * 100, 100) * CASE WHEN signed_notional_flow_30s >= 0 THEN 1 ELSE -1 END END AS flow_score
   FROM s3),
 s5 AS (
   SELECT *, [struct_pack(name := 'liquidity_resilience', kind := 'resilience', raw := coalesce(tob_depth_usd, 0), norm := liquidity_score, weight := CAST(0.4 AS DOUBLE), c := liquidity_score * CAST(0.4 AS DOUBLE), win := 'top_of_book', pos := 0),
