@@ -32,7 +32,7 @@ cx AS (
   SELECT symbol, ts, seq, CAST(10000 AS DOUBLE) * (k + 1) AS day_ntl_vlm, px AS prev_day_px,
          px * (1 + ((seq % 11) - 5) / CAST(10000 AS DOUBLE)) AS mark_px, CASE WHEN k % 5 <> 0 THEN px END AS mid_px
   FROM qfull),
-md AS (SELECT symbol, ts + 500 AS ts, price AS mid, seq FROM tr WHERE tid % 10 = 3),
+md AS (SELECT symbol, ms + 500 AS ts, px AS mid, seq FROM ev WHERE event_type = 'view'),
 cd AS (
   SELECT symbol, (ts // {6 * HOUR}) * {6 * HOUR} AS open_ts, (ts // {6 * HOUR}) * {6 * HOUR} + {6 * HOUR - 1} AS close_ts,
          arg_min(price, tid) AS open, max(price) AS high, min(price) AS low, arg_max(price, tid) AS close,

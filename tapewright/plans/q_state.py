@@ -135,7 +135,11 @@ register(
     lambda s, d: state.merged_mid(views.quotes_onesided(s, d), views.mids(s, d), views.contexts(s, d)).select(
         "symbol", *rounded("mid_px")
     ),
-    ob.single(f"SELECT symbol, {r6('mid_px')} AS mid_px FROM snap WHERE mid_px IS NOT NULL"),
+    # All events count here, also a mid received just after the newest event time.
+    ob.single(
+        f"SELECT symbol, {r6('coalesce(x.mid, fm.mid)')} AS mid_px FROM sy LEFT JOIN (SELECT symbol, arg_max(mid, seq) AS mid FROM mu GROUP BY 1) x USING (symbol) "
+        "LEFT JOIN fm USING (symbol) WHERE coalesce(x.mid, fm.mid) IS NOT NULL"
+    ),
 )
 _CU = f"""
 , cu AS (

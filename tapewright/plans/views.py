@@ -168,10 +168,9 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mid after every tenth trade, received 500 ms later."""
-    tape = trades(spark, sf_dir).filter(F.col("tid") % 10 == 3)
-    return tape.select(
-        "symbol", (F.col("recv_ts_ns") + 500_000_000).alias("recv_ts_ns"), F.col("price").alias("mid"), "ingest_seq"
+    """A mid with every view, received 500 ms later."""
+    return _events(spark, sf_dir, ["view"]).select(
+        "symbol", ((F.col("ms") + 500) * 1_000_000).alias("recv_ts_ns"), F.col("px").alias("mid"), "ingest_seq"
     )
 
 
