@@ -24,12 +24,11 @@ from tapewright.llm.common import arrow_rows, cut_lineage, map_rows
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
-DIGITS = b"0123456789"
 SPACES = b" \t\n\x0b\x0c\r"
-PUNCTUATION = b"!?.,;:"
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SHARES = ["symbols", "upper", "digits", "punctuation", "duplicate_lines", "repeats", "distinct", "word_length"]
+#: What the forest looks at; the base rules already decide on length and repetition.
+SHARES = ["symbols", "upper", "word_length", "distinct"]
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in SHARES)
 
 MIN_WORDS = 50
@@ -38,8 +37,10 @@ SUBSAMPLE = 256
 #: Rows that reach the driver for growing trees, on average; a bound by hash rate, not a prefix.
 SAMPLE_ROWS = 32_768
 SCORE_BINS = 1000
+#: Words of typical text that every text is topped up with, so that short texts do not look odd by chance.
+PRIOR_WORDS = 30
 #: Share of labelled good rows that the threshold may reject at most.
-GOOD_LOSS = 0.002
+GOOD_LOSS = 0.001
 
 
 def repeated_word_count(ids: np.ndarray) -> int:
@@ -62,7 +63,6 @@ def text_statistics(text: str | None) -> tuple:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
-    size = max(len(raw), 1)
     word_chars = len(text or "") - (len(raw) - len(raw.translate(None, SPACES)))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.strip()]
@@ -72,12 +72,9 @@ def text_statistics(text: str | None) -> tuple:
     repeats = repeated_word_count(ids)
     upper = len(raw) - len(raw.translate(None, UPPER))
     lower = len(raw) - len(raw.translate(None, LOWER))
-    digits = len(raw) - len(raw.translate(None, DIGITS))
-    marks = len(raw) - len(raw.translate(None, PUNCTUATION))
     return (
         n, word_chars, symbols, duplicates, repeats,
-        symbols / max(n, 1), upper / max(upper + lower, 1), digits / size, marks / max(n, 1),
-        duplicates / max(len(lines), 1), repeats / max(n, 1), len(seen) / max(n, 1) ** 0.8, word_chars / max(n, 1),
+        symbols / max(n, 1), upper / max(upper + lower, 1), word_chars / max(n, 1), len(seen) / max(n, 1) ** 0.8,
     )
 
 
@@ -111,11 +108,13 @@ class Forest:
     path: np.ndarray
     depth: int
     typical: float
+    middle: np.ndarray
 
-    def anomaly(self, rows: np.ndarray) -> np.ndarray:
+    def anomaly(self, n_words: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Score in (0, 1]: 2 to the minus mean path length over the typical one."""
         if not len(rows) or not self.feature.shape[0]:
             return np.zeros(len(rows))
+        rows = topped_up(n_words, rows, self.middle)
         total, pick = np.zeros(len(rows)), np.arange(len(rows))
         for tree in range(self.feature.shape[0]):
             node = np.zeros(len(rows), np.int64)
@@ -134,15 +133,22 @@ def typical_path(n: float) -> float:
     return 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
-def grow_forest(rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7) -> Forest:
+def topped_up(n_words: np.ndarray, rows: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    n = n_words.reshape(-1, 1).astype(float)
+    return (rows * n + middle * PRIOR_WORDS) / (n + PRIOR_WORDS)
+
+
+def grow_forest(n_words: np.ndarray, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7) -> Forest:
     rng = np.random.default_rng(seed)
+    middle = np.median(rows, axis=0) if len(rows) else np.zeros(len(SHARES))
+    rows = topped_up(n_words, rows, middle)
     size = min(subsample, len(rows))
     depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
     nodes = 2 * max(size, 1)
     if not len(rows):
         trees = 0
     shape = (trees, nodes)
-    forest = Forest(np.full(shape, -1), np.zeros(shape), np.zeros(shape, int), np.zeros(shape, int), np.zeros(shape), depth, max(typical_path(size), 1e-9))
+    forest = Forest(np.full(shape, -1), np.zeros(shape), np.zeros(shape, int), np.zeros(shape, int), np.zeros(shape), depth, max(typical_path(size), 1e-9), middle)
     for tree in range(trees):
         todo, used = [(0, rows[rng.choice(len(rows), size, replace=False)], 0)], 1
         while todo:
@@ -163,15 +169,21 @@ def grow_forest(rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE
     return forest
 
 
-def fit_forest(statistics: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Forest:
-    """Forest over rows that pass the base rules. About ``sample_rows`` rows reach the driver, chosen by hash
-    at a rate from the row count, so their number does not grow with the input."""
+def truth(labels: DataFrame) -> DataFrame:
+    """One row per labelled document; labelled more than once, it counts as good if any label says so."""
+    return labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
+def fit_forest(statistics: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Forest:
+    """Forest over rows that pass the base rules and are not labelled bad. About ``sample_rows`` rows reach the
+    driver, chosen by hash at a rate from the row count, so their number does not grow with the input."""
     passing = statistics.filter(~base_failed())
-    n = passing.count()
-    rate = min(1.0, sample_rows / max(n, 1))
+    rate = min(1.0, sample_rows / max(passing.count(), 1))
     chosen = F.pmod(F.xxhash64("doc_id", *SHARES, F.lit(seed)), F.lit(1 << 20)) < int(rate * (1 << 20))
-    rows = passing.filter(chosen).select(*SHARES).toPandas().to_numpy(float).reshape(-1, len(SHARES))
-    return grow_forest(rows[np.lexsort(rows.T)] if len(rows) else rows, seed=seed)
+    bad = truth(labels).filter(F.col("quality") == 0).select("doc_id")
+    rows = passing.filter(chosen).join(bad, "doc_id", "left_anti").select("n_words", *SHARES).toPandas().to_numpy(float).reshape(-1, 1 + len(SHARES))
+    rows = rows[np.lexsort(rows.T)] if len(rows) else rows
+    return grow_forest(rows[:, 0], rows[:, 1:], seed=seed)
 
 
 def score_rows(statistics: DataFrame, forest: Forest) -> DataFrame:
@@ -181,7 +193,8 @@ def score_rows(statistics: DataFrame, forest: Forest) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in SHARES]) if batch.num_rows else np.zeros((0, len(SHARES)))
-            return batch.append_column("anomaly", pa.array(forest.anomaly(rows), pa.float64()))
+            n_words = batch.column("n_words").to_numpy(zero_copy_only=False)
+            return batch.append_column("anomaly", pa.array(forest.anomaly(n_words, rows), pa.float64()))
 
         return step
 
@@ -193,12 +206,11 @@ def calibrate(scored: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS
     """Smallest threshold with at most ``good_loss`` of labelled good rows at or above it.
 
     Works on a histogram of all labelled rows that pass the base rules (at most two times SCORE_BINS + 1
-    rows reach the driver). A document labelled more than once counts as good if any label says so.
+    rows reach the driver).
     """
-    truth = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     bins = (
         scored.filter(~base_failed()).select("doc_id", F.floor(F.col("anomaly") * SCORE_BINS).cast("int").alias("bin"))
-        .join(truth, "doc_id").groupBy("quality", "bin").count().toPandas()
+        .join(truth(labels), "doc_id").groupBy("quality", "bin").count().toPandas()
     )
     good = np.zeros(SCORE_BINS + 2)
     bad = np.zeros(SCORE_BINS + 2)
@@ -217,7 +229,7 @@ def calibrate(scored: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: counts, ``base_failed``, ``anomaly`` and the verdict ``kept``."""
     statistics = cut_lineage(rule_statistics(docs))
-    scored = score_rows(statistics, fit_forest(statistics))
+    scored = score_rows(statistics, fit_forest(statistics, labels))
     threshold = calibrate(scored, labels)
     verdict = F.col("anomaly") < F.lit(threshold)
     return scored.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & verdict).alias("kept"), "anomaly")
@@ -227,7 +239,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns. The verdict is taken per row of the same
     scan, without a join back: the statistics only serve to fit the forest and the threshold."""
     statistics = cut_lineage(rule_statistics(docs))
-    forest = fit_forest(statistics)
+    forest = fit_forest(statistics, labels)
     threshold = calibrate(score_rows(statistics, forest), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +247,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             rows = [text_statistics(t) for t in batch.column("text").to_pylist()]
             shares = np.array([r[len(COUNTS) :] for r in rows]).reshape(-1, len(SHARES))
             failed = np.array([r[0] < MIN_WORDS or 100 * r[4] > 50 * r[0] for r in rows], bool)
-            yield batch.filter(pa.array(~failed & (forest.anomaly(shares) < threshold)))
+            n_words = np.array([r[0] for r in rows])
+            yield batch.filter(pa.array(~failed & (forest.anomaly(n_words, shares) < threshold)))
 
     return docs.mapInArrow(run, docs.schema)
