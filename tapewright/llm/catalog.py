@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import quality, tokencount
+from tapewright.llm import langid, quality, tokencount
 from tapewright.llm.common import documents, table
 
 #: Vocabulary files are found through the public package and never copied; each path is a parameter.
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -27,6 +31,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_mixture": op1_language_mixture,
     "op2_quality_forest": op2_quality_forest,
     "op8_token_counts": op8_token_counts,
 }
