@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import langid, quality, tokencount
-from tapewright.llm.common import documents, table
+from tapewright.llm import langid, mixing, quality, tokencount, warc
+from tapewright.llm.common import cut_lineage, documents, table
 
 #: Vocabulary files are found through the public package and never copied; each path is a parameter.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,6 +26,18 @@ def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op3_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(documents(spark, sf_dir))
+
+
+def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages against a copy with known damage: every differing node, keys with their byte offsets."""
+    pages = table(spark, sf_dir, "pages")
+    differing = cut_lineage(warc.audit(pages, warc.aged_copy(pages)))
+    keys = warc.locate(pages, differing.filter("level = 0"))
+    return differing.filter("level > 0").unionByName(keys, allowMissingColumns=True)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), vocabulary(BYTE_BPE))
 
@@ -33,6 +45,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_quality_forest": op2_quality_forest,
+    "op3_poisson_mixture": op3_poisson_mixture,
+    "op7_merkle_audit": op7_merkle_audit,
     "op8_token_counts": op8_token_counts,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_poisson_mixture": mixing.oracle(),
+    "op7_merkle_audit": warc.oracle(),
+}
