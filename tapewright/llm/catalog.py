@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapewright.llm import langid, mixing, quality, tokencount, warc
+from tapewright.llm import chroma, langid, mixing, quality, tokencount, warc
 from tapewright.llm.common import cut_lineage, documents, table
 
 #: Vocabulary files are found through the public package and never copied; each path is a parameter.
@@ -42,12 +43,26 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), vocabulary(BYTE_BPE))
 
 
+def op10_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members (each sound with its class), queries (each with its query class) and matches between classes.
+
+    The tables hold no audio: the sounds are notes whose pitches are the values of the stored vectors. Queries
+    are second recordings of the sounds with an id divisible by 100.
+    """
+    sounds = chroma.rendered(table(spark, sf_dir, "embeddings"))
+    members, asked, found = chroma.search(sounds, chroma.recorded(sounds.filter(F.col("id") % 100 == 0)))
+    parts = [members.withColumn("kind", F.lit("member")), asked.withColumn("kind", F.lit("query")), found.withColumn("kind", F.lit("match"))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True)
+    return rows.select("kind", "id", "class_id", "class_size", "query_id", "offset", "hits", "overlap", "bit_error")
+
+
 QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_quality_forest": op2_quality_forest,
     "op3_poisson_mixture": op3_poisson_mixture,
     "op7_merkle_audit": op7_merkle_audit,
     "op8_token_counts": op8_token_counts,
+    "op10_chroma_prints": op10_chroma_prints,
 }
 SQL: dict[str, str] = {
     "op3_poisson_mixture": mixing.oracle(),
