@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import chroma, langid, mixing, quality, tokencount, warc
+from tapewright.llm import chroma, langid, mixing, pieces, quality, tokencount, warc
 from tapewright.llm.common import cut_lineage, documents, table
 
 #: Vocabulary files are found through the public package and never copied; each path is a parameter.
@@ -31,6 +31,10 @@ def op3_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(documents(spark, sf_dir))
 
 
+def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.summary(documents(spark, sf_dir), vocabulary(PIECES))
+
+
 def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages against a copy with known damage: every differing node, keys with their byte offsets."""
     pages = table(spark, sf_dir, "pages")
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_quality_forest": op2_quality_forest,
     "op3_poisson_mixture": op3_poisson_mixture,
+    "op5_piece_lattice": op5_piece_lattice,
     "op7_merkle_audit": op7_merkle_audit,
     "op8_token_counts": op8_token_counts,
     "op10_chroma_prints": op10_chroma_prints,
