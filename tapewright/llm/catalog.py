@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import chroma, langid, mixing, pieces, quality, tokencount, warc
+from tapewright.llm import chroma, langid, lmscore, mixing, pieces, quality, tokencount, warc
 from tapewright.llm.common import cut_lineage, documents, table
 
 #: Vocabulary files are found through the public package and never copied; each path is a parameter.
@@ -47,6 +47,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), vocabulary(BYTE_BPE))
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(documents(spark, sf_dir))
+
+
 def op10_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members (each sound with its class), queries (each with its query class) and matches between classes.
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op5_piece_lattice": op5_piece_lattice,
     "op7_merkle_audit": op7_merkle_audit,
     "op8_token_counts": op8_token_counts,
+    "op9_context_mixing": op9_context_mixing,
     "op10_chroma_prints": op10_chroma_prints,
 }
 SQL: dict[str, str] = {

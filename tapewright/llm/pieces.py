@@ -143,11 +143,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     blocks = blocks_for(docs, "text")
     blocked = text_blocks(docs, blocks)
 
-    def count(block: pa.Table) -> dict[bytes, int]:
+    def count(block: pa.Table) -> tuple[list[bytes], list[dict[bytes, int]]]:
         found: set[str] = set()
         for text in block.column("text").to_pylist():
             found.update(chunks(text))
-        return {c.encode(): 1 for c in found if len(c) <= LONG and c != "\n"}
+        return [c.encode() for c in found if len(c) <= LONG and c != "\n"], []
 
     asked = requests(blocked, blocks, count)
     listed = F.explode(F.split(F.decode("words", "UTF-8"), "\n"))

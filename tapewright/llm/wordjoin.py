@@ -33,10 +33,6 @@ def text_blocks(docs: DataFrame, blocks: int, *more) -> DataFrame:
     return source.repartition(blocks, "block")
 
 
-def part_of(word: bytes, parts: int) -> int:
-    return zlib.crc32(word) % parts
-
-
 def by_part(words: Iterable[bytes], parts: int) -> dict[int, list[bytes]]:
     """Words by part, sorted, so that asking and reading agree on the order."""
     found: dict[int, list[bytes]] = {}
@@ -46,18 +42,19 @@ def by_part(words: Iterable[bytes], parts: int) -> dict[int, list[bytes]]:
     return found
 
 
-def requests(blocked: DataFrame, parts: int, count_words: Callable[[pa.Table], dict[bytes, int]]) -> DataFrame:
-    """One row per (block, part): the distinct words, joined by line ends, and a count for each (int64)."""
+def requests(blocked: DataFrame, parts: int, count_words: Callable[[pa.Table], tuple[Iterable[bytes], list[dict[bytes, int]]]]) -> DataFrame:
+    """One row per (block, part): the distinct words, joined by line ends, and their counts (int64, one row per table of counts)."""
 
     def ask(block: pa.Table) -> pa.Table:
-        counted = count_words(block)
-        rows = by_part(counted, parts)
+        words, tables = count_words(block)
+        rows = by_part(words, parts)
         number = block.column("block")[0].as_py()
+        packs = [np.array([[t.get(x, 0) for x in w] for t in tables], np.int64).tobytes() for w in rows.values()]
         return pa.table({
             "part": pa.array(list(rows), pa.int32()),
             "block": pa.array([number] * len(rows), pa.int32()),
             "words": pa.array([SEPARATOR.join(w) for w in rows.values()], pa.binary()),
-            "counts": pa.array([np.fromiter((counted[x] for x in w), np.int64, len(w)).tobytes() for w in rows.values()], pa.binary()),
+            "counts": pa.array(packs, pa.binary()),
         })
 
     return blocked.groupBy("block").applyInArrow(ask, REQUEST).repartition(parts, "part")
