@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import chroma, langid, lmscore, mixing, pieces, quality, tokencount, warc
+from tapewright.llm import chroma, langid, lmscore, mixing, neardup, pieces, quality, tokencount, warc
 from tapewright.llm.common import cut_lineage, documents, table
 
 #: Vocabulary files are found through the public package and never copied; each path is a parameter.
@@ -35,6 +35,10 @@ def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.summary(documents(spark, sf_dir), vocabulary(PIECES))
 
 
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(documents(spark, sf_dir)).drop("node")
+
+
 def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages against a copy with known damage: every differing node, keys with their byte offsets."""
     pages = table(spark, sf_dir, "pages")
@@ -69,6 +73,7 @@ QUERIES = {
     "op2_quality_forest": op2_quality_forest,
     "op3_poisson_mixture": op3_poisson_mixture,
     "op5_piece_lattice": op5_piece_lattice,
+    "op6_dart_minhash": op6_dart_minhash,
     "op7_merkle_audit": op7_merkle_audit,
     "op8_token_counts": op8_token_counts,
     "op9_context_mixing": op9_context_mixing,
