@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import chroma, langid, lmscore, mixing, neardup, pieces, quality, tokencount, warc
+from tapewright.llm import chroma, langid, lmscore, mixing, neardup, phrases, pieces, quality, tokencount, warc
 from tapewright.llm.common import cut_lineage, documents, table
 
 #: Vocabulary files are found through the public package and never copied; each path is a parameter.
@@ -31,6 +31,10 @@ def op3_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(documents(spark, sf_dir))
 
 
+def op4_phrase_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.removal_report(documents(spark, sf_dir)).drop("spans")
+
+
 def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.summary(documents(spark, sf_dir), vocabulary(PIECES))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_quality_forest": op2_quality_forest,
     "op3_poisson_mixture": op3_poisson_mixture,
+    "op4_phrase_parsing": op4_phrase_parsing,
     "op5_piece_lattice": op5_piece_lattice,
     "op6_dart_minhash": op6_dart_minhash,
     "op7_merkle_audit": op7_merkle_audit,

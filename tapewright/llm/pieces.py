@@ -214,12 +214,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, fields + ", decoded string")
 
 
-def summary(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids joined by spaces) and whether decoding gives the text back."""
+def summary(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids joined by spaces), whether decoding gives the text back; ids on demand."""
     both = decode(encode(docs, path), path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
         (F.col("decoded") == F.translate("text", SPACE, " ")).alias("round_trip"),
+        *[F.col("ids")] * with_ids,
     )
