@@ -8,12 +8,14 @@ with the probability of their similarity. A text throws only until its time hori
 whatever its length; texts with an empty coordinate double their horizon.
 
 Equal texts are one node, named by the md5 of the text. Bands of ROWS coordinates make buckets. In each bucket all members
-are compared with one leader, never with each other: the exact similarity of cells decides. Members that are no copy of the
-leader get a leader of their own, which is compared with all members of the bucket, until none is left. Links form classes
-(connected components by smallest label with pointer jumping; labels are written between rounds).
+are compared with one leader, never with each other: the exact similarity of cells decides. The leader is the member whose buckets
+are largest in all: among edited copies of one text, that text. Members that are no copy of the leader get a leader of their
+own, and so on while leaders of the bucket find copies. Links form classes (connected components by smallest label
+with pointer jumping; labels are written between rounds).
 
-Bounds: a bucket costs its size times the number of unlike leaders in it; a group of thousands of copies one comparison
-each. At similarity 0.8 a pair shares a bucket with probability 0.99995 (25 bands of 5).
+Bounds: a bucket costs its size times the number of leaders that find copies; a group of thousands of copies costs one
+comparison each. At similarity 0.8 a pair shares a bucket with probability 0.99995 (25 bands of 5). Two members of a bucket
+that are both unlike its leaders are not compared there; they usually share buckets with other leaders.
 
 Defined results: null texts and texts without a word are classes of one row; repeated rows share a class; ``class_id`` is
 the smallest non-null doc_id of the class (null if there is none); extra columns are ignored by ``near_classes`` and
@@ -172,31 +174,39 @@ def verified(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     return both.withColumn("similarity", similarity).filter(F.col("similarity") >= THRESHOLD).select("leader", "node", "similarity")
 
 
+def led_by(members: DataFrame) -> DataFrame:
+    """The leader of each bucket: the member whose buckets are largest in all (the text that most others come from)."""
+    best = F.max_by("node", F.struct(F.col("weight"), F.col("node")))
+    return members.groupBy("band", "key").agg(best.alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+
+
 def links(docs: DataFrame, sign: DataFrame) -> DataFrame:
     """Verified (leader, node) links between different texts."""
     nodes = sign.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
     rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    led = rows.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = cut_lineage(rows.join(led, ["band", "key"]))
-    wanted = members.select("node").distinct()
+    shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    in_buckets = cut_lineage(rows.join(shared, ["band", "key"]))
+    weights = in_buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    open_ = cut_lineage(in_buckets.drop("n").join(weights, "node"))
     texts = docs.select(text_node(F.col("text")).alias("node"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(wanted, "node", "left_semi")
+    chosen = texts.join(weights.select("node"), "node", "left_semi")
     cells = cut_lineage(cell_sets(chosen).groupBy("node").agg(F.first("cells").alias("cells")))
-    pairs = members.filter(F.col("node") != F.col("leader")).select("leader", "node").distinct()
-    found = cut_lineage(verified(pairs, cells))
-    compared = pairs
-    open_ = members.filter(F.col("node") != F.col("leader")).join(found, ["leader", "node"], "left_anti").select("band", "key", "node")
-    open_ = cut_lineage(open_)
-    while not open_.isEmpty():
-        led = open_.groupBy("band", "key").agg(F.min("node").alias("leader"))
-        stars = members.select("band", "key", "node").join(led, ["band", "key"]).filter(F.col("node") != F.col("leader"))
-        both_ways = compared.unionByName(compared.select(F.col("node").alias("leader"), F.col("leader").alias("node")))
-        pairs = cut_lineage(stars.select("leader", "node").distinct().join(both_ways, ["leader", "node"], "left_anti"))
-        found = cut_lineage(found.unionByName(verified(pairs, cells)))
-        compared = compared.unionByName(pairs)
-        known = found.select("leader", "node").unionByName(found.select(F.col("node").alias("leader"), F.col("leader").alias("node")))
-        rest = open_.join(led, ["band", "key"]).filter(F.col("node") != F.col("leader"))
-        open_ = cut_lineage(rest.join(known, ["leader", "node"], "left_anti").select("band", "key", "node"))
+    found, compared, first = None, None, True
+    while first or not open_.isEmpty():
+        stars = cut_lineage(open_.join(led_by(open_), ["band", "key"]).filter(F.col("node") != F.col("leader")))
+        pairs = stars.select(F.greatest("leader", "node").alias("leader"), F.least("leader", "node").alias("node")).distinct()
+        pairs = pairs if first else pairs.join(compared, ["leader", "node"], "left_anti")
+        pairs = cut_lineage(pairs)
+        new = cut_lineage(verified(pairs, cells))
+        compared = pairs if first else cut_lineage(compared.unionByName(pairs))
+        found = new if first else cut_lineage(found.unionByName(new))
+        ends = found.select(F.col("leader").alias("high"), F.col("node").alias("low"), F.lit(True).alias("linked"))
+        marked = stars.withColumns({"high": F.greatest("leader", "node"), "low": F.least("leader", "node")}).join(ends, ["high", "low"], "left")
+        marked = cut_lineage(marked.select("band", "key", "node", "weight", F.coalesce("linked", F.lit(False)).alias("linked")))
+        rest = marked.filter(~F.col("linked")).drop("linked")
+        if not first:  # a bucket stays open while its leaders find copies
+            rest = rest.join(marked.filter("linked").select("band", "key").distinct(), ["band", "key"], "left_semi")
+        open_, first = cut_lineage(rest), False
     return found
 
 
