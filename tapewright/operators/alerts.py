@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from tapewright.errors import ContractError
 from tapewright.functions.common import EPSILON
@@ -27,7 +30,6 @@ ALERT_FIELDS = {
 }
 ALERT_OPS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "=="}
 SEVERITIES = ("info", "watch", "critical")
-HISTORY_KEPT = 64
 KEY = ["playbook_id", "rule_id", "symbol"]
 
 
@@ -169,52 +171,45 @@ def seed_cooldowns(history: DataFrame) -> DataFrame:
 def apply_cooldown(matches: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Mark each match emitted or suppressed (with the remaining cooldown).
 
-    A match at least one cooldown after the match before it is always emitted, whatever happened
-    earlier, so the matches of a key fall apart into independent runs there. Only inside a run is the
-    greedy choice folded in time order.
+    One sorted pass per key that remembers the last emission only: the next one is the first match at least one
+    cooldown later, found by bisection in each Arrow batch. Matches of a key at one time are told apart by their
+    place in the order, so only the first of them can be emitted.
     """
     if seeds is None:
         rows = matches.withColumn("last_emitted_ms", F.lit(None).cast("long"))
     else:
         rows = matches.join(seeds.select(*KEY, "last_emitted_ms"), KEY, "left")
-    by_key = Window.partitionBy(*KEY).orderBy("at_ms")
-    before = F.greatest(F.lag("at_ms").over(by_key), F.col("last_emitted_ms"))
-    rows = rows.withColumn("_gap", F.col("at_ms") - before)
-    rows = rows.withColumn("_free", F.col("_gap").isNull() | (F.greatest("_gap", F.lit(0)) >= F.col("cooldown_ms")))
-    so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_run", F.sum(F.col("_free").cast("long")).over(so_far))
-
-    run = [*KEY, "_run"]
-    folded = rows.groupBy(*run).agg(
-        F.array_sort(F.collect_list("at_ms")).alias("_t"),
-        F.first("cooldown_ms").alias("_c"),
-        F.first("last_emitted_ms").alias("_s"),
-    )
-    start = F.struct(
-        F.when(F.col("_run") == 0, F.col("_s")).alias("last"), F.array().cast("array<bigint>").alias("emitted")
-    )
-
-    def step(state: Column, t: Column) -> Column:
-        due = state["last"].isNull() | (F.greatest(t - state["last"], F.lit(0)) >= F.col("_c"))
-        return F.struct(
-            F.when(due, t).otherwise(state["last"]).alias("last"),
-            F.when(due, F.array_append(state["emitted"], t)).otherwise(state["emitted"]).alias("emitted"),
-        )
-
-    emitted = folded.select(*run, F.explode(F.aggregate("_t", start, step)["emitted"]).alias("at_ms")).withColumn(
-        "_emitted", F.col("at_ms")
-    )
-    joined = rows.join(emitted, [*run, "at_ms"], "left")
-    in_run = Window.partitionBy(*run).orderBy("at_ms").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.coalesce(F.max("_emitted").over(in_run), F.col("last_emitted_ms"))
-    elapsed = F.greatest(F.col("at_ms") - last, F.lit(0))
-    fresh = F.col("_emitted").isNotNull()
-    return joined.withColumns(
-        {
-            "cooldown_status": F.when(fresh, "emitted").otherwise("suppressed"),
-            "cooldown_remaining_ms": F.when(~fresh, F.col("cooldown_ms") - elapsed),
-        }
-    ).drop("_gap", "_free", "_run", "_emitted", "last_emitted_ms")
+    kept = [c for c in rows.columns if c != "last_emitted_ms"]
+    rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, "at_ms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in KEY), strict=True))
+            times = batch.column("at_ms").to_numpy()
+            cooldown = batch.column("cooldown_ms").to_numpy()
+            seeded = batch.column("last_emitted_ms").to_pylist()
+            starts = [0] * bool(keys) + [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+            emitted, before = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+            for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[start] != key:
+                    key, last = keys[start], seeded[start]
+                own, wait, at = times[start:end], int(cooldown[start]), 0
+                while at < len(own):
+                    due = at if last is None or wait == 0 else max(at, int(np.searchsorted(own, last + wait)))
+                    before[start + at : start + due] = last or 0
+                    if due == len(own):
+                        break
+                    last = int(own[due])
+                    emitted[start + due], before[start + due] = True, last
+                    at = due + 1
+            remaining = cooldown - np.maximum(times - before, 0)
+            status = pa.array(np.where(emitted, "emitted", "suppressed").tolist(), pa.string())
+            out = batch.select(kept).append_column("cooldown_status", status)
+            yield out.append_column("cooldown_remaining_ms", pa.array(remaining, pa.int64(), mask=emitted))
+
+    schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField("cooldown_status", T.StringType()), T.StructField("cooldown_remaining_ms", T.LongType())])
+    return rows.mapInArrow(run, schema)
 
 
 HISTORY_COLUMNS = [

@@ -29,7 +29,6 @@ FIELDS = {
 SCORE_FIELDS = {"liquidity_score", "momentum_score"}
 MIN_FIELDS = 3
 CADENCE_MS = 300_000
-KEPT_PER_SYMBOL = 288
 INDEX_VERSION = 1
 TARGETS_PER_BLOCK = 2_048
 
@@ -60,15 +59,17 @@ def sample_clock(updates: DataFrame, cadence_ms: int = CADENCE_MS, exact: bool =
     return times if times[-1] == last else [*times, last]
 
 
-def analog_candidates(market: features.Market, times: DecisionTimes, options=features.SnapshotOptions(), cap: int = KEPT_PER_SYMBOL) -> DataFrame:
-    """Snapshots at the sample times, newest ``cap`` per symbol; the cap drops whole sample times."""
-    kept = max(1, cap)
+def analog_candidates(market: features.Market, times: DecisionTimes, options=features.SnapshotOptions(), cap: int | None = None) -> DataFrame:
+    """Snapshots at all sample times; with ``cap`` only at the newest ``cap`` of them."""
+    kept = times.count if cap is None else max(1, cap)
     if times.count > kept:
         times = DecisionTimes(times.start_ms + (times.count - kept) * times.step_ms, times.step_ms, kept)
     return features.snapshots_at(market, times, options)
 
 
-def candidates_from(snapshots: DataFrame, cap: int = KEPT_PER_SYMBOL) -> DataFrame:
+def candidates_from(snapshots: DataFrame, cap: int | None = None) -> DataFrame:
+    if cap is None:
+        return snapshots
     return newest_per_key(snapshots, ["symbol"], [F.col("now_ms").desc()], max(1, cap))
 
 

@@ -12,8 +12,6 @@ from tapewright.operators.ordered import newest_per_key
 
 # Selectable chart windows, chart cap and tail length.
 CHART_WINDOWS = (1, 5, 15, 30, 60)
-CHART_CAP = 48
-TAIL = 64
 
 # Milliseconds per candle interval; the month is the shortest one.
 INTERVAL_MS = {
@@ -34,12 +32,12 @@ INTERVAL_MS = {
 }
 
 
-def recent_candles(candles: DataFrame, interval: str = "1m", n: int = 30, cap: int = CHART_CAP) -> DataFrame:
-    """Newest ``min(n, cap)`` candles of one interval per symbol."""
+def recent_candles(candles: DataFrame, interval: str = "1m", n: int = 30) -> DataFrame:
+    """Newest ``n`` candles of one interval per symbol."""
     if n not in CHART_WINDOWS:
         raise ContractError(f"chart window must be one of {CHART_WINDOWS}")
     rows = candles.filter(F.col("interval") == interval)
-    return newest_per_key(rows, ["symbol"], [F.col("open_ts_ms").desc()], max(1, min(n, cap)))
+    return newest_per_key(rows, ["symbol"], [F.col("open_ts_ms").desc()], n)
 
 
 def _volume() -> Column:
@@ -216,9 +214,11 @@ def print_ladder(trades: DataFrame, k: int = 4) -> DataFrame:
 
 
 def recent_trades(trades: DataFrame, n: int) -> DataFrame:
-    """Newest first by (time, trade id), 1 to 12 rows per symbol."""
+    """The newest ``n`` trades per symbol by (time, trade id)."""
+    if n < 1:
+        raise ContractError("number of trades must be at least 1")
     order = [F.col("exchange_ts_ms").desc(), F.col("tid").desc()]
-    return newest_per_key(trades, ["symbol"], order, max(1, min(n, 12)))
+    return newest_per_key(trades, ["symbol"], order, n)
 
 
 def spark_ratio(candles: DataFrame, n: int) -> DataFrame:
@@ -240,6 +240,6 @@ def relative_volume(candles: DataFrame) -> DataFrame:
     ).drop("_max")
 
 
-def live_tail(df: DataFrame, order: list[str], n: int = TAIL) -> DataFrame:
+def live_tail(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """Newest ``n`` trades or candles per symbol."""
     return newest_per_key(df, ["symbol"], [F.col(c).desc() for c in order], n)

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from tapewright.functions import book
 from tapewright.functions.common import half_sign, signed
 from tapewright.operators import metrics, scoring, state
-from tapewright.operators.ordered import newest_per_key, ordered_scan
+from tapewright.operators.ordered import ordered_scan
 from tapewright.operators.timegrid import DecisionTimes, asof, asof_sum, grid, visible
 
 
@@ -33,8 +33,6 @@ class FeatureParams:
     vwap_ms: int = 60_000
     roll_ms: int = 300_000
     retention_ms: int = state.HOUR_MS
-    quote_cap: int = state.QUOTE_CAP
-    candle_cap: int = state.CANDLE_CAP
     stale_after_ms: int = state.STALE_AFTER_MS
 
     @property
@@ -142,48 +140,46 @@ def queue_change(before: Column, now: Column, side: str) -> Column:
     return F.when(known, value).otherwise(F.lit(0.0))
 
 
-def _sum_of(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda total, x: total + x)
+QUOTE = ["exchange_ts_ms", "bid_price", "bid_size", "ask_price", "ask_size"]
 
 
 def quote_windows(quotes: DataFrame, times: DecisionTimes, p: FeatureParams = FeatureParams()) -> DataFrame:
-    """Order-flow imbalance and spread-shock resilience.
+    """Order-flow imbalance and spread-shock resilience over all quotes of the windows.
 
-    Only the newest ``quote_cap`` quotes per symbol are ever looked at, so the quotes of one decision
-    time form an array of at most that many entries; Spark applies the cap map-side.
+    Imbalance is a sum over adjacent quotes, whose earlier one is known from one ordered scan. The shock is the first
+    widest spread; the median before it comes from counts per distinct spread and their running sums, so no window
+    is gathered in one row.
     """
-    longest = max(p.flow_ms, p.shock_ms)
-    narrow = quotes.select(
-        "symbol", "exchange_ts_ms", "ingest_seq", "bid_price", "bid_size", "ask_price", "ask_size"
-    )
-    seen = visible(narrow, "exchange_ts_ms", times, longest)
-    newest = newest_per_key(
-        seen, ["symbol", "now_ms"], [F.col("exchange_ts_ms").desc(), F.col("ingest_seq").desc()], p.quote_cap
-    )
-    quote = F.struct("exchange_ts_ms", "ingest_seq", "bid_price", "bid_size", "ask_price", "ask_size")
-    rows = newest.groupBy("symbol", "now_ms").agg(F.sort_array(F.collect_list(quote)).alias("q"))
-
-    in_flow = F.filter("q", lambda x: x["exchange_ts_ms"] >= F.col("now_ms") - p.flow_ms)
-    in_shock = F.filter("q", lambda x: x["exchange_ts_ms"] >= F.col("now_ms") - p.shock_ms)
-    spreads = F.filter(
-        F.transform(
-            in_shock,
-            lambda x: F.struct(
-                x["exchange_ts_ms"].alias("ts"), book.spread_bps(x["bid_price"], x["ask_price"]).alias("bps")
-            ),
-        ),
-        lambda x: x["bps"].isNotNull(),
-    )
-    rows = rows.withColumn("f", in_flow).withColumn("s", spreads).withColumn("bps", F.col("s.bps"))
-    n = F.size("f")
-    pairs = F.zip_with(
-        F.slice("f", F.lit(1), F.greatest(n - 1, F.lit(0))),
-        F.slice("f", F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: queue_change(a, b, "bid") + queue_change(a, b, "ask"),
+    on = ["symbol", "now_ms"]
+    narrow = quotes.select("symbol", "ingest_seq", *QUOTE)
+    scanned = ordered_scan(narrow, ["symbol"], "exchange_ts_ms", "ingest_seq", previous=QUOTE, position="_pos")
+    change = queue_change(F.col("prev"), F.struct(*QUOTE), "bid") + queue_change(F.col("prev"), F.struct(*QUOTE), "ask")
+    marked = scanned.select(
+        "symbol", "exchange_ts_ms", "_pos", F.col("prev.exchange_ts_ms").alias("_prev_ms"), change.alias("_change"),
+        book.spread_bps("bid_price", "ask_price").alias("bps"),
+    )
+    seen = visible(marked, "exchange_ts_ms", times, max(p.flow_ms, p.shock_ms))
+    in_flow = F.col("exchange_ts_ms") >= F.col("now_ms") - p.flow_ms
+    in_pair = F.coalesce(F.col("_prev_ms") >= F.col("now_ms") - p.flow_ms, F.lit(False))
+    in_shock = (F.col("exchange_ts_ms") >= F.col("now_ms") - p.shock_ms) & F.col("bps").isNotNull()
+    spread = F.struct("bps", (-F.col("_pos")).alias("back"), F.col("exchange_ts_ms").alias("ts"))
+    rows = seen.groupBy(*on).agg(
+        F.when(F.count_if(in_flow) >= 2, F.coalesce(F.sum(F.when(in_pair, F.col("_change"))), F.lit(0.0))).alias("bbo_ofi_proxy_30s"),
+        F.count_if(in_shock).alias("_n"),
+        F.max(F.when(in_shock, spread)).alias("_top"),
+        F.max_by(spread, F.when(in_shock, F.col("_pos"))).alias("_last"),
     )
-    rows = rows.withColumn("bbo_ofi_proxy_30s", F.when(n >= 2, _sum_of(pairs)))
-    return spread_resilience(rows, p).select(
-        "symbol", "now_ms", "bbo_ofi_proxy_30s", "spread_shock_bps", "spread_recovery_ms", "resilience_state"
+    tops = rows.filter("_n > 1").select(*on, (-F.col("_top.back")).alias("_at"))
+    before = seen.filter(in_shock).join(tops, on).filter(F.col("_pos") < F.col("_at"))
+    counts = before.groupBy(*on, "bps").agg(F.count(F.lit(1)).alias("_c"))
+    window = Window.partitionBy(*on)
+    up_to = F.sum("_c").over(window.orderBy("bps").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"_up": up_to, "_all": F.sum("_c").over(window)})
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    holds = [(F.col("_up") >= k) & (F.col("_up") - F.col("_c") < k) for k in (low, high)]
+    base = ranked.groupBy(*on).agg(((F.max(F.when(holds[0], F.col("bps"))) + F.max(F.when(holds[1], F.col("bps")))) / 2).alias("_base"))
+    return spread_resilience(rows.join(base, on, "left"), p).select(
+        *on, "bbo_ofi_proxy_30s", "spread_shock_bps", "spread_recovery_ms", "resilience_state"
     )
 
 
@@ -195,25 +191,12 @@ RECOVERED_EXTRA_BPS = 10.0
 
 
 def spread_resilience(rows: DataFrame, p: FeatureParams) -> DataFrame:
-    """From arrays ``s`` (ts, bps) and ``bps``: first widest spread against the median before it."""
-    rows = rows.withColumn("_max", F.array_max("bps")).withColumn("_at", F.array_position("bps", F.col("_max")).cast("int"))
-    before = F.sort_array(F.slice("bps", F.lit(1), F.greatest(F.col("_at") - 1, F.lit(0))))
-    rows = rows.withColumn("_b", before).withColumn("_k", F.size("_b"))
-    half = F.floor(F.col("_k") / 2).cast("int")
-    median = (
-        F.when(F.col("_k") == 0, F.lit(None).cast("double"))
-        .when(F.col("_k") % 2 == 1, F.get("_b", half))
-        .otherwise((F.get("_b", half - 1) + F.get("_b", half)) / 2)
-    )
-    rows = (
-        rows.withColumn("_base", median)
-        .withColumn("_last", F.element_at("s", F.when(F.size("s") > 0, F.lit(-1)).cast("int")))
-        .withColumn("_lift", F.greatest(F.col("_max") - F.col("_base"), F.lit(0.0)))
-    )
-    enough = F.size("s") >= 2
+    """From the number of spreads, the first widest, the last one and the median before the widest."""
+    rows = rows.withColumn("_max", F.col("_top.bps")).withColumn("_lift", F.greatest(F.col("_max") - F.col("_base"), F.lit(0.0)))
+    enough = F.col("_n") >= 2
     shock = (F.col("_lift") >= SHOCK_MIN_BPS) & (F.col("_max") >= F.col("_base") * SHOCK_MULTIPLE)
     shock = enough & F.coalesce(shock, F.lit(False))
-    elapsed = F.greatest(F.col("_last.ts") - F.get("s", F.col("_at") - 1)["ts"], F.lit(0).cast("long"))
+    elapsed = F.greatest(F.col("_last.ts") - F.col("_top.ts"), F.lit(0).cast("long"))
     calm = F.greatest(F.col("_base") * RECOVERED_MULTIPLE, F.col("_base") + RECOVERED_EXTRA_BPS)
     recovered = F.col("_last.bps") <= calm
     state_label = (
@@ -249,7 +232,7 @@ def adverse_selection_proxy(resilience: str, flow: str, ofi: str, depth: str) ->
 def candle_z(candles: DataFrame) -> DataFrame:
     """z-score of the newest candle's volume and count against earlier candles of its interval.
 
-    Expects the output of ``upsert_candles`` (a bounded number of candles per symbol).
+    Expects the output of ``upsert_candles``.
     """
     whole = Window.partitionBy("symbol")
     newest = F.max_by(
@@ -270,9 +253,9 @@ def candle_z(candles: DataFrame) -> DataFrame:
     )
 
 
-def candle_z_series(candles: DataFrame, cap: int = state.CANDLE_CAP) -> DataFrame:
+def candle_z_series(candles: DataFrame) -> DataFrame:
     """The same score for every candle as if it were the newest (one interval per symbol and row)."""
-    earlier = Window.partitionBy("symbol", "interval").orderBy("open_ts_ms").rowsBetween(-(cap - 1), -1)
+    earlier = Window.partitionBy("symbol", "interval").orderBy("open_ts_ms").rowsBetween(Window.unboundedPreceding, -1)
 
     def z(value: str) -> Column:
         v = F.col(value).cast("double")
@@ -366,12 +349,13 @@ def snapshots_at(market: Market, times: DecisionTimes, options: SnapshotOptions
         clocks.append(F.col("_book.exchange_ts_ms"))
     if market.candles is not None:
         if times.count == 1:
-            kept = state.upsert_candles(market.candles, p.candle_cap)
-            newest_close = market.candles.groupBy("symbol").agg(F.max("close_ts_ms").alias("_candle_ms"))
+            received = market.candles.filter(F.expr("recv_ts_ns div 1000000") <= times.start_ms)
+            kept = state.upsert_candles(received)
+            newest_close = received.groupBy("symbol").agg(F.max("close_ts_ms").alias("_candle_ms"))
             rows = rows.join(candle_z(kept), "symbol", "left").join(newest_close, "symbol", "left")
             clocks.append(F.col("_candle_ms"))
         else:
-            series = candle_z_series(state.upsert_candles(market.candles, 2**31 - 1), p.candle_cap)
+            series = candle_z_series(state.upsert_candles(market.candles))
             rows = asof(
                 series.withColumn("visible_ms", F.greatest(F.expr("recv_ts_ns div 1000000"), F.col("close_ts_ms"))),
                 "visible_ms", ["open_ts_ms", "ingest_seq"],

@@ -17,9 +17,6 @@ from tapewright.errors import ContractError
 from tapewright.operators.ordered import lookup_join, newest_per_key, ordered_scan
 
 HOUR_MS = 3_600_000
-TRADE_CAP = 100_000
-QUOTE_CAP = 256
-CANDLE_CAP = 512
 STALE_AFTER_MS = 10_000
 
 
@@ -53,18 +50,23 @@ def duplicate_counts(deduped: DataFrame) -> DataFrame:
     return deduped.groupBy("symbol").agg(F.sum("copies").alias("duplicate_trade_count"))
 
 
-def keep_newest(deduped: DataFrame, retention_ms: int = HOUR_MS, cap: int = TRADE_CAP) -> DataFrame:
-    """Trades within ``retention_ms`` of the symbol's newest trade, newest ``cap`` kept."""
+def _capped(df: DataFrame, keys: list[str], order: list[Column], cap: int | None) -> DataFrame:
+    """The newest ``cap`` rows per key; all of them without a cap."""
+    return df if cap is None else newest_per_key(df, keys, order, cap)
+
+
+def keep_newest(deduped: DataFrame, retention_ms: int = HOUR_MS, cap: int | None = None) -> DataFrame:
+    """Trades within ``retention_ms`` of the symbol's newest trade; at most ``cap`` only where the caller asks for it."""
     newest = deduped.groupBy("symbol").agg(F.max("exchange_ts_ms").alias("_last_ts"))
     recent = lookup_join(deduped, newest, ["symbol"], "inner").filter(
         F.col("exchange_ts_ms") >= F.col("_last_ts") - retention_ms
     )
     order = [F.col("exchange_ts_ms").desc(), F.col("ingest_seq").desc()]
-    return newest_per_key(recent.drop("_last_ts"), ["symbol"], order, cap)
+    return _capped(recent.drop("_last_ts"), ["symbol"], order, cap)
 
 
-def retain_recent(trades: DataFrame, retention_ms: int = HOUR_MS, cap: int = TRADE_CAP) -> DataFrame:
-    """The retained tape of a state: acceptable on arrival, deduplicated, recent and capped."""
+def retain_recent(trades: DataFrame, retention_ms: int = HOUR_MS, cap: int | None = None) -> DataFrame:
+    """The retained tape of a state: acceptable on arrival, deduplicated and recent."""
     return keep_newest(dedup_trades(arrived_in_time(trades, retention_ms)), retention_ms, cap)
 
 
@@ -96,9 +98,9 @@ def latest_quote(quotes: DataFrame) -> DataFrame:
     return _latest(quotes, ["exchange_ts_ms", "ingest_seq"], QUOTE_FIELDS, ["symbol"])
 
 
-def quote_history(quotes: DataFrame, cap: int = QUOTE_CAP) -> DataFrame:
+def quote_history(quotes: DataFrame, cap: int | None = None) -> DataFrame:
     order = [F.col("exchange_ts_ms").desc(), F.col("ingest_seq").desc()]
-    return newest_per_key(quotes, ["symbol"], order, cap)
+    return _capped(quotes, ["symbol"], order, cap)
 
 
 def current_on_arrival(df: DataFrame, time_col: str) -> DataFrame:
@@ -184,7 +186,7 @@ def merged_mid(quotes: DataFrame | None, mids: DataFrame | None, contexts: DataF
 CANDLE_KEY = ["symbol", "interval", "open_ts_ms"]
 
 
-def upsert_candles(candles: DataFrame, cap: int = CANDLE_CAP) -> DataFrame:
+def upsert_candles(candles: DataFrame, cap: int | None = None) -> DataFrame:
     """One row per (symbol, interval, open): newest receive time wins, later arrival on ties.
 
     A candle is closed when it says so itself or when a candle with a later open arrived after the
@@ -212,7 +214,7 @@ def upsert_candles(candles: DataFrame, cap: int = CANDLE_CAP) -> DataFrame:
         F.when((F.col("completion") == "closed") | F.col("_closed_later"), "closed").otherwise("open"),
     )
     order = [F.col("open_ts_ms").desc(), F.col("_first_seq").desc()]
-    return newest_per_key(marked, ["symbol"], order, cap).drop("_first_seq", "_last_seq", "_closed_later")
+    return _capped(marked, ["symbol"], order, cap).drop("_first_seq", "_last_seq", "_closed_later")
 
 
 def invalid_candle() -> Column:
@@ -261,8 +263,8 @@ def candle_cache_recent(table: DataFrame, interval: str, n: int, symbols: DataFr
     """Newest ``n`` candles per symbol of one interval, ascending by (open, symbol, receive time)."""
     if not interval.strip():
         raise ContractError("candle cache interval must not be empty")
-    if not 1 <= n <= CANDLE_CAP:
-        raise ContractError(f"candle cache row limit must be between 1 and {CANDLE_CAP}")
+    if n < 1:
+        raise ContractError("candle cache row limit must be at least 1")
     rows = table.filter(F.col("interval") == interval)
     if symbols is not None:
         rows = filter_universe(rows, symbols)

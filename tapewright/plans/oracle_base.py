@@ -47,8 +47,7 @@ acc AS (
          any_value(notional) AS notional, count(*) - 1 AS copies
   FROM arr WHERE ts >= newest - {10 * DAY} GROUP BY symbol, ts, tid),
 kept AS (
-  SELECT * FROM (SELECT *, max(ts) OVER (PARTITION BY symbol) AS last_ts FROM acc) WHERE ts >= last_ts - {10 * DAY}
-  QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) <= 100000)"""
+  SELECT * FROM (SELECT *, max(ts) OVER (PARTITION BY symbol) AS last_ts FROM acc) WHERE ts >= last_ts - {10 * DAY})"""
 
 ONCE = """
 kept AS (
@@ -93,8 +92,7 @@ lq AS (
   SELECT symbol, now_ms, ts AS lq_ts, bid, bsz, ask, asz FROM qseen
   QUALIFY row_number() OVER (PARTITION BY symbol, now_ms ORDER BY ts DESC, seq DESC) = 1),
 qwin AS (
-  SELECT * FROM qseen WHERE ts >= now_ms - {7 * DAY}
-  QUALIFY row_number() OVER (PARTITION BY symbol, now_ms ORDER BY ts DESC, seq DESC) <= 256),
+  SELECT * FROM qseen WHERE ts >= now_ms - {7 * DAY}),
 qp AS (
   SELECT symbol, now_ms, bid, bsz, ask, asz, lag(bid) OVER w AS b0, lag(bsz) OVER w AS bs0, lag(ask) OVER w AS a0,
          lag(asz) OVER w AS as0, row_number() OVER w AS rn
@@ -146,8 +144,7 @@ lc AS (
 lmd AS (SELECT symbol, now_ms, max(ts) AS lmd_ts FROM md JOIN times ON ts <= now_ms GROUP BY 1, 2),
 cvis AS (SELECT c.*, now_ms FROM cd c JOIN times ON __CANDLE_VISIBLE__),
 cz0 AS (
-  SELECT *, max(open_ts) OVER (PARTITION BY symbol, now_ms) AS last_open FROM cvis
-  QUALIFY row_number() OVER (PARTITION BY symbol, now_ms ORDER BY open_ts DESC) <= 512),
+  SELECT *, max(open_ts) OVER (PARTITION BY symbol, now_ms) AS last_open FROM cvis),
 cz AS (
   SELECT symbol, now_ms, max(close_ts) AS close_ts,
     CASE WHEN count(*) >= 3 AND stddev_pop(volume_base) FILTER (open_ts < last_open) > 0
@@ -253,7 +250,7 @@ def base(select: str) -> str:
 
 def single(select: str) -> str:
     """A statement over ``snap``: one decision time at the newest event."""
-    features = FEATURES.replace("__CANDLE_VISIBLE__", "TRUE")
+    features = FEATURES.replace("__CANDLE_VISIBLE__", "recv_ts <= now_ms")
     return f"WITH {EVENTS},{ACCEPTED},\n{SINGLE_TIME},\n{_SINGLE_DUPS},{features}\n{select}"
 
 

@@ -145,8 +145,8 @@ register(
 )
 register(
     "N2_analog_candidates",
-    lambda s, d: analog.candidates_from(daily(s, d), 20).select("symbol", "now_ms", *rounded("momentum_score", "tob_imbalance")),
-    ob.daily(f"SELECT symbol, now_ms, {r6('momentum_score')} AS momentum_score, {r6('tob_imbalance')} AS tob_imbalance FROM snap QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY now_ms DESC) <= 20"),
+    lambda s, d: analog.candidates_from(daily(s, d)).select("symbol", "now_ms", *rounded("momentum_score", "tob_imbalance")),
+    ob.daily(f"SELECT symbol, now_ms, {r6('momentum_score')} AS momentum_score, {r6('tob_imbalance')} AS tob_imbalance FROM snap"),
 )
 _DIMS = ", ".join(
     f"CASE WHEN t.{f} IS NOT NULL AND c.{f} IS NOT NULL"
@@ -155,7 +155,7 @@ _DIMS = ", ".join(
     for f, scale in analog.FIELDS.items()
 )
 _PAIRS = f"""
-, cand AS (SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY now_ms DESC) <= 20)
+, cand AS (SELECT * FROM snap)
 , tgt AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY now_ms DESC) = 1)
 , pr AS (SELECT t.symbol AS target_symbol, t.now_ms AS target_ms, c.symbol, c.now_ms, list_sort(list_filter([{_DIMS}], lambda x: x IS NOT NULL)) AS d
    FROM tgt t JOIN cand c ON NOT (t.symbol = c.symbol AND t.now_ms = c.now_ms))
@@ -163,7 +163,7 @@ _PAIRS = f"""
 
 
 def candidates(s, d):
-    return analog.candidates_from(daily(s, d), 20)
+    return analog.candidates_from(daily(s, d))
 
 
 def _target(s, d):
@@ -221,13 +221,13 @@ register(
 
 def _indexed(s, d):
     """Write the candidates as an index, read it back, search its own target."""
-    import tempfile
+    import uuid
 
     from tapewright.session import checkpoint_dir
 
     rows = candidates(s, d)
     symbol = rows.agg(F.max("symbol")).first()[0]
-    path = f"{checkpoint_dir(s)}/index-{next(tempfile._get_candidate_names())}"
+    path = f"{checkpoint_dir(s)}/index-{uuid.uuid4().hex}"
     analog.write_index(rows, path, "driver-tables", symbol)
     table, manifest = analog.read_index(s, path)
     found = analog.analog_search(table, analog.latest_target(table, manifest["target_symbol"]), limit=5)[0]
@@ -266,17 +266,18 @@ def silences(s, d):
     return found.withColumn("recovered", F.col("ended_at_ns") - F.col("started_at_ns") > F.lit(10 * HOUR * 1_000_000))
 
 
+TRACKED = [f"S{k:02d}" for k in range(20)]
 register(
     "G1_detect_gaps_by_connection",
-    lambda s, d: gaps.detect_gaps(messages(s, d), 30 * 60 * 10**9, symbols=["S00", "S01"]).select(
+    lambda s, d: gaps.detect_gaps(messages(s, d), 30 * 60 * 10**9, symbols=TRACKED).select(
         "gap_id", "conn_id", "started_at_ns", "ended_at_ns", "reason", joined("affected_symbols")
     ),
     ob.base("""
     , ms AS (SELECT ms * 1000000 AS t, seq, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS BIGINT) AS c FROM ev)
     , p AS (SELECT t, c, lag(t) OVER (ORDER BY t, seq) AS t0, lag(c) OVER (ORDER BY t, seq) AS c0 FROM ms)
     SELECT 'r1:' || c0 || ':' || t0 || ':' || t AS gap_id, c0 AS conn_id, t0 AS started_at_ns, t AS ended_at_ns,
-      CASE WHEN c <> c0 THEN 'connection changed' ELSE 'no market-data event for 1800 seconds' END AS reason, 'S00,S01' AS affected_symbols
-    FROM p WHERE t0 IS NOT NULL AND (c <> c0 OR t - t0 >= 1800000000000)"""),
+      CASE WHEN c <> c0 THEN 'connection changed' ELSE 'no market-data event for 1800 seconds' END AS reason, '__TRACKED__' AS affected_symbols
+    FROM p WHERE t0 IS NOT NULL AND (c <> c0 OR t - t0 >= 1800000000000)""".replace("__TRACKED__", ",".join(TRACKED))),
 )
 _GAPS = f"""
 , p AS (SELECT symbol, ms * 1000000 AS t, lag(ms * 1000000) OVER (PARTITION BY symbol ORDER BY ms, seq) AS t0 FROM ev)

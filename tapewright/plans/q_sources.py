@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from tapewright.sources import files, wire
 
 def scratch(spark, name: str) -> str:
     """A new folder under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{next(tempfile._get_candidate_names())}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def decoded(s, d):

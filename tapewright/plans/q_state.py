@@ -63,12 +63,11 @@ register(
 )
 register(
     "D2_retain_recent",
-    lambda s, d: state.retain_recent(views.trades_dup(s, d), 10 * DAY, 50).select(
+    lambda s, d: state.retain_recent(views.trades_dup(s, d), 10 * DAY).select(
         "symbol", "exchange_ts_ms", "tid", "copies", *rounded("price")
     ),
     ob.base(
-        f", {ob.ACCEPTED} SELECT symbol, ts AS exchange_ts_ms, tid, copies, {r6('price')} AS price FROM kept "
-        "QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) <= 50"
+        f", {ob.ACCEPTED} SELECT symbol, ts AS exchange_ts_ms, tid, copies, {r6('price')} AS price FROM kept"
     ),
 )
 register(
@@ -92,12 +91,12 @@ register(
 )
 register(
     "D4_quote_history",
-    lambda s, d: state.quote_history(views.quotes_onesided(s, d), 20).select(
-        "symbol", "exchange_ts_ms", "ingest_seq", *rounded("bid_price", "ask_price")
+    lambda s, d: state.quote_history(views.quotes_onesided(s, d)).select(
+        "symbol", "exchange_ts_ms", "ingest_seq", *rounded("bid_price", "ask_price", digits=4)
     ),
     ob.base(
-        f"SELECT symbol, ts AS exchange_ts_ms, seq AS ingest_seq, {r6('bid')} AS bid_price, {r6('ask')} AS ask_price "
-        "FROM qt QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) <= 20"
+        "SELECT symbol, ts AS exchange_ts_ms, seq AS ingest_seq, round(bid, 4) + 0 AS bid_price, round(ask, 4) + 0 AS ask_price "
+        "FROM qt"
     ),
 )
 _BOOK_SQL = f"""
@@ -151,13 +150,13 @@ _CU = f"""
   QUALIFY row_number() OVER (PARTITION BY symbol, open_ts ORDER BY recv DESC, seq DESC) = 1)"""
 register(
     "D8_upsert_candles",
-    lambda s, d: state.upsert_candles(views.candle_updates(s, d), 40).select(
+    lambda s, d: state.upsert_candles(views.candle_updates(s, d)).select(
         "symbol", "interval", "open_ts_ms", "trade_count", "completion", *rounded("close", "volume_base")
     ),
     ob.base(f"""{_CU}
     SELECT symbol, '6h' AS interval, open_ts AS open_ts_ms, trade_count, {r6('close')} AS close, {r6('volume_base')} AS volume_base,
       CASE WHEN EXISTS (SELECT 1 FROM cu x WHERE x.symbol = cw.symbol AND x.open_ts > cw.open_ts AND x.seq > cw.seq) THEN 'closed' ELSE 'open' END AS completion
-    FROM cw QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_ts DESC) <= 40"""),
+    FROM cw"""),
 )
 register(
     "D9_candle_cache_upsert",

@@ -57,8 +57,7 @@ register(
 
 
 def _orderflow(s, d):
-    flow = tape.orderflow_by_candle(views.candles(s, d), views.trades(s, d).filter(F.col("side") == "buy").unionByName(
-        views.trades(s, d).filter((F.col("side") == "sell") & (F.col("size") > 4))), 4 * HOUR)
+    flow = tape.orderflow_by_candle(views.candles(s, d), views.trades(s, d), 4 * HOUR)
     return flow.select(
         "symbol", "open_ts_ms", "buy_count", "sell_count", "marker",
         *rounded("buy_notional", "sell_notional", "net_notional", digits=3),
@@ -69,7 +68,7 @@ register(
     "K5_orderflow_by_candle",
     _orderflow,
     ob.base("""
-    , j AS (SELECT c.symbol, c.open_ts, t.side, t.notional FROM cd c LEFT JOIN tr t ON t.symbol = c.symbol AND t.ts BETWEEN c.open_ts AND c.close_ts AND (t.side = 'buy' OR t.size > 4))
+    , j AS (SELECT c.symbol, c.open_ts, t.side, t.notional FROM cd c LEFT JOIN tr t ON t.symbol = c.symbol AND t.ts BETWEEN c.open_ts AND c.close_ts)
     , f AS (SELECT symbol, open_ts, coalesce(sum(notional) FILTER (side = 'buy'), 0) AS b, coalesce(sum(notional) FILTER (side = 'sell'), 0) AS s,
         count(*) FILTER (side = 'buy') AS buy_count, count(*) FILTER (side = 'sell') AS sell_count FROM j GROUP BY 1, 2)
     SELECT symbol, open_ts AS open_ts_ms, buy_count, sell_count, round(b, 3) + 0 AS buy_notional, round(s, 3) + 0 AS sell_notional, round(b - s, 3) + 0 AS net_notional,
@@ -128,12 +127,12 @@ register(
 )
 register(
     "K12_live_tail_trades",
-    lambda s, d: tape.live_tail(views.trades(s, d), ["exchange_ts_ms", "ingest_seq"]).select("symbol", "tid", "side"),
+    lambda s, d: tape.live_tail(views.trades(s, d), ["exchange_ts_ms", "ingest_seq"], 64).select("symbol", "tid", "side"),
     ob.base("SELECT symbol, tid, side FROM tr QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) <= 64"),
 )
 register(
     "K12_live_tail_candles",
-    lambda s, d: tape.live_tail(views.candles(s, d), ["open_ts_ms"]).select("symbol", "open_ts_ms", "trade_count"),
+    lambda s, d: tape.live_tail(views.candles(s, d), ["open_ts_ms"], 64).select("symbol", "open_ts_ms", "trade_count"),
     ob.base("SELECT symbol, open_ts AS open_ts_ms, trade_count FROM cd QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_ts DESC) <= 64"),
 )
 
@@ -153,7 +152,7 @@ def _weights_sql(liquidity: str) -> str:
 lq AS ({liquidity}),
 w0 AS (SELECT symbol, sqrt(liquidity) AS raw, row_number() OVER (ORDER BY sqrt(liquidity) DESC) AS rn, count(*) OVER () AS n, sum(sqrt(liquidity)) OVER () AS total FROM lq WHERE liquidity > 0),
 w1 AS (SELECT *, greatest(CAST(0.1 AS DOUBLE), 1 / n) AS cap, total - coalesce(sum(raw) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM w0),
-w2 AS (SELECT *, min(rn) FILTER ((1 - (rn - 1) * cap) * raw / rest <= cap) OVER () - 1 AS k FROM w1),
+w2 AS (SELECT *, coalesce(min(rn) FILTER ((1 - (rn - 1) * cap) * raw / rest <= cap) OVER () - 1, n) AS k FROM w1),
 w3 AS (SELECT *, sum(raw) FILTER (rn > k) OVER () AS free FROM w2),
 wt AS (SELECT symbol, CASE WHEN rn <= k THEN cap ELSE (1 - k * cap) * raw / free END AS weight FROM w3)"""
 

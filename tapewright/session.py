@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapewright.errors import ContractError
+
 # Settings that matter at cluster scale; each can be overridden by the caller.
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,11 +29,15 @@ def build_session(master: str | None = None, app: str = "tapewright", **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temp folder only where unset."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where it is unset, a local session gets a temp folder;
+    on a cluster that would leave each executor with a part of every table, so it is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ContractError("spark.checkpoint.dir is unset: name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
