@@ -31,7 +31,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, in random order."""
-    return mixing.copies(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.replicated(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

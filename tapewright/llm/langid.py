@@ -9,7 +9,7 @@ from the likeliest single language as long as the gain in log-likelihood exceeds
 0.5 * log(units + 1) + FLOOR_GAIN per language.
 
 Defined results: ``und`` with score 0.0 for a null text, a text without a letter, or where nothing was
-learned; ties go to the language that sorts first; repeated rows get equal results; null ids are kept; extra
+learned; a null id counts as remainder 0, so it is held out; ties go to the language that sorts first; repeated rows get equal results; null ids are kept; extra
 columns are ignored. Training rows have a non-null language and a text; an empty table gives an empty result.
 """
 

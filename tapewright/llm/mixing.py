@@ -85,7 +85,13 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, ep
 
 def copies(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """The mixture: each input row ``n_copies`` times, numbered by ``copy`` from 0, in random order by ``mix_key``."""
-    base = docs.drop(*ADDED)
+    made = replicated(docs.drop(*ADDED), weights, epochs, temperature, seed)
+    return made.withColumnsRenamed({private(c): c for c in ADDED})
+
+
+def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """The same with private names for the added columns, so that none of the input is replaced."""
+    base = docs
     per_source = rates(base, weights, epochs, temperature)
     found = per_source.agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts")).first()
     key, cdf, parts, count, block = (private(x) for x in ("source", "cdf", "parts", "count", "block"))
@@ -104,13 +110,13 @@ def copies(docs: DataFrame, weights: Mapping[str | None, float] | None = None, e
         starts = F.sequence(F.lit(0), F.col(count) - 1, F.lit(COPIES_PER_ROW))
         counted = counted.withColumn(block, F.explode(starts)).repartition(F.xxhash64("doc_id", block))
         first, last = F.col(block), F.least(F.col(count) - 1, F.col(block) + COPIES_PER_ROW - 1)
-    made = counted.select("*", F.explode(F.sequence(first, last)).alias("copy")).select(
-        *[F.col(c) for c in base.columns],
-        "copy",
-        F.col(count).alias("n_copies"),
-        order_hash(doc, F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string")).alias("mix_key"),
+    made = counted.select("*", F.explode(F.sequence(first, last)).alias(private("copy"))).select(
+        *[F.col(f"`{c}`") for c in base.columns],
+        private("copy"),
+        F.col(count).alias(private("n_copies")),
+        order_hash(doc, F.lit(str(seed)), F.lit("order"), F.col(private("copy")).cast("string")).alias(private("mix_key")),
     )
-    return made.repartition("mix_key").sortWithinPartitions("mix_key", "copy")
+    return made.repartition(private("mix_key")).sortWithinPartitions(private("mix_key"), private("copy"))
 
 
 def oracle(docs: str = "documents", epochs: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED) -> str:

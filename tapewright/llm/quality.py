@@ -37,6 +37,7 @@ SUBSAMPLE = 256
 #: Rows that reach the driver for growing trees, on average; a bound by hash rate, not a prefix.
 SAMPLE_ROWS = 32_768
 SCORE_BINS = 1000
+BAD_SHARE = 4
 #: Words of typical text that every text is topped up with, so that short texts do not look odd by chance.
 PRIOR_WORDS = 30
 #: Share of labelled good rows that the threshold may reject at most.
@@ -175,12 +176,14 @@ def truth(labels: DataFrame) -> DataFrame:
 
 
 def fit_forest(statistics: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Forest:
-    """Forest over rows that pass the base rules and are not labelled bad. About ``sample_rows`` rows reach the
+    """Forest over rows that pass the base rules; of those labelled bad only one in BAD_SHARE, so that they stay odd
+    but their values lie inside the range that the trees cut. About ``sample_rows`` rows reach the
     driver, chosen by hash at a rate from the row count, so their number does not grow with the input."""
     passing = statistics.filter(~base_failed())
     rate = min(1.0, sample_rows / max(passing.count(), 1))
     chosen = F.pmod(F.xxhash64("doc_id", *SHARES, F.lit(seed)), F.lit(1 << 20)) < int(rate * (1 << 20))
-    bad = truth(labels).filter(F.col("quality") == 0).select("doc_id")
+    dropped = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BAD_SHARE)) > 0
+    bad = truth(labels).filter((F.col("quality") == 0) & dropped).select("doc_id")
     rows = passing.filter(chosen).join(bad, "doc_id", "left_anti").select("n_words", *SHARES).toPandas().to_numpy(float).reshape(-1, 1 + len(SHARES))
     rows = rows[np.lexsort(rows.T)] if len(rows) else rows
     return grow_forest(rows[:, 0], rows[:, 1:], seed=seed)
