@@ -31,6 +31,8 @@ from tapewright.llm.wordjoin import by_part, requests, text_blocks, unpack
 
 SPACE = "▁"
 LONG = 48
+#: Word parts per block of texts: a lattice takes about forty times the room of its chunk.
+PARTS_PER_BLOCK = 4
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -94,9 +96,10 @@ def chunks(text: str) -> list[str]:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """piece, id, score: as many rows as the model has pieces."""
+    """piece, id, cost (rank of its score, best first): as many rows as the model has pieces."""
     own = pieces(path)
-    return spark.createDataFrame([(p, k, own.score[p]) for p, k in own.id_of.items()], "piece string, id int, score double")
+    rank = {score: k for k, score in enumerate(sorted(set(own.score.values()), reverse=True))}
+    return spark.createDataFrame([(p, k, rank[own.score[p]]) for p, k in own.id_of.items()], "piece string, id long, cost long")
 
 
 def lattice(chunk_rows: DataFrame, path: str) -> DataFrame:
@@ -107,10 +110,16 @@ def lattice(chunk_rows: DataFrame, path: str) -> DataFrame:
     cut = starts.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(own.longest), F.length("chunk") - F.col("start")))))
     cut = cut.withColumn("piece", F.col("chunk").substr(F.col("start") + 1, F.col("size")))
     edges = cut.join(table, "piece", "left").filter(F.col("id").isNotNull() | (F.col("size") == 1))
-    s, e = F.col("start"), F.col("start") + F.col("size")
-    ends, inner = bit(s).bitwiseOR(bit(e)), bit(e) - bit(s + 1)
-    edge = F.struct((-F.coalesce("score", F.lit(0.0))).alias("cost"), s.alias("s"), F.coalesce("id", F.lit(-1)).alias("id"), ends.alias("ends"), inner.alias("inner"))
-    grouped = edges.groupBy("part", "chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    # one long per edge keeps the grouping small: cost, start, size, id + 1 (0: no piece)
+    packed = F.shiftleft(F.coalesce("cost", F.lit(0).cast("long")), 36) + F.shiftleft(F.col("start").cast("long"), 28) + F.shiftleft(F.col("size").cast("long"), 20) + F.coalesce(F.col("id") + 1, F.lit(0).cast("long"))
+    grouped = edges.select("part", "chunk", packed.alias("edge")).groupBy("part", "chunk").agg(F.sort_array(F.collect_list("edge")).alias("packs"))
+
+    def unpacked(x):
+        s = F.shiftright(x, 28).bitwiseAND(255).cast("int")
+        e = s + F.shiftright(x, 20).bitwiseAND(255).cast("int")
+        return F.struct(s.alias("s"), (x.bitwiseAND((1 << 20) - 1) - 1).cast("int").alias("id"), bit(s).bitwiseOR(bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inner"))
+
+    grouped = grouped.select("part", "chunk", F.transform("packs", unpacked).alias("edges"))
     wide = grouped.withColumn("wide", F.filter("edges", lambda x: x["inner"] > 0))
 
     def step(bounds, _):
@@ -141,6 +150,7 @@ def bit(place: Column) -> Column:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, text, ids of every document's whole text."""
     blocks = blocks_for(docs, "text")
+    parts = PARTS_PER_BLOCK * blocks
     blocked = text_blocks(docs, blocks)
 
     def count(block: pa.Table) -> tuple[list[bytes], list[dict[bytes, int]]]:
@@ -149,7 +159,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             found.update(chunks(text))
         return [c.encode() for c in found if len(c) <= LONG and c != "\n"], []
 
-    asked = requests(blocked, blocks, count)
+    asked = requests(blocked, parts, count)
     listed = F.explode(F.split(F.decode("words", "UTF-8"), "\n"))
     distinct = asked.select("part", listed.alias("chunk")).filter(F.col("chunk") != "").groupBy("part", "chunk").agg(F.lit(1).alias("one")).drop("one")
     solved = lattice(distinct, path)
@@ -176,7 +186,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         distinct = {c for cs in lists for c in cs}
         number: dict[str, int] = {}
         sizes, flats = [], []
-        rows = by_part((c.encode() for c in distinct if len(c) <= LONG and c != "\n"), blocks)
+        rows = by_part((c.encode() for c in distinct if len(c) <= LONG and c != "\n"), parts)
         for part, n, pack in zip(packs.column("part").to_pylist(), packs.column("n").to_pylist(), packs.column("pack").to_pylist(), strict=True):
             for word in rows[part]:
                 number[word.decode()] = len(number)
