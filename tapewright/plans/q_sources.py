@@ -119,11 +119,19 @@ register(
 )
 
 
+def _broken_lines(s, d):
+    """A line that is no record for every error event of the tape."""
+    errors = views.read(s, d, "events").filter("event_type = 'error'")
+    return errors.select(F.concat(F.lit('{"half a line": '), F.col("event_id").cast("string")).alias("value"))
+
+
 def _raw_round_trip(s, d):
     """Capture written as rolled, compressed JSON lines and read back."""
     path = scratch(s, "raw")
     files.write_raw(files.raw_from_frames(frames(s, d)), path, "r1", rows_per_file=5_000)
-    return files.read_raw(s, path).groupBy("channel").agg(F.count(F.lit(1)).alias("messages"), F.sum("seq").alias("seq_sum"))
+    _broken_lines(s, d).write.text(f"{path}/run=broken")
+    rows = files.parse_raw(files.raw_lines(s, path))
+    return rows.groupBy(F.coalesce("problem", "channel").alias("channel")).agg(F.count(F.lit(1)).alias("messages"), F.coalesce(F.sum("seq"), F.lit(0)).alias("seq_sum"))
 
 
 _CHANNEL = """CASE event_type WHEN 'purchase' THEN 'trades' WHEN 'signup' THEN CASE WHEN k < 70 THEN 'bbo' ELSE 'l2Book' END WHEN 'click' THEN CASE WHEN k < 50 THEN 'allMids' WHEN k % 2 = 0 THEN 'activeAssetCtx' ELSE 'activeSpotAssetCtx' END
@@ -131,7 +139,7 @@ _CHANNEL = """CASE event_type WHEN 'purchase' THEN 'trades' WHEN 'signup' THEN C
 register(
     "S1_read_raw",
     _raw_round_trip,
-    ob.base(f"SELECT {_CHANNEL} AS channel, count(*) AS messages, CAST(sum(seq) AS BIGINT) AS seq_sum FROM ev GROUP BY 1"),
+    ob.base(f"SELECT {_CHANNEL} AS channel, count(*) AS messages, CAST(sum(seq) AS BIGINT) AS seq_sum FROM ev GROUP BY 1 UNION ALL SELECT 'unreadable line', count(*), 0 FROM events WHERE event_type = 'error'"),
 )
 
 
@@ -162,10 +170,17 @@ UNION ALL SELECT 'candles', count(*), round(sum(px), 2) FROM ev WHERE {_CANDLES}
 def _normalized(s, d):
     path = scratch(s, "normalized")
     files.write_normalized(typed(s, d), path, "r1")
-    return _totals(files.read_normalized(s, path))
+    _broken_lines(s, d).write.text(f"{path}/run=broken")
+    return _with_rejects(files.read_normalized(s, path, fail=False))
+
 
+def _with_rejects(tables):
+    rejects = tables.pop("rejects")
+    return _totals(tables).unionByName(rejects.agg(F.lit("rejects").alias("kind"), F.count(F.lit(1)).alias("rows"), F.lit(0.0).alias("total")))
 
-register("S2_read_normalized", _normalized, _TOTALS)
+
+_REJECTS = " UNION ALL SELECT 'rejects', count(*), 0.0::DOUBLE FROM events WHERE event_type = 'error'"
+register("S2_read_normalized", _normalized, _TOTALS + _REJECTS)
 
 
 def _exported(s, d):
@@ -174,7 +189,62 @@ def _exported(s, d):
     return path
 
 
-register("S3_read_events_parquet", lambda s, d: _totals(files.read_events_parquet(s, _exported(s, d))), _TOTALS)
+def _export_read(s, d):
+    """An export in which documents of a later version were appended."""
+    path = _exported(s, d)
+    later = _broken_lines(s, d).select(F.lit(-1).cast("long").alias("row_index"), F.lit("other").alias("event_type"), F.lit(0).cast("long").alias("recv_ts_ns"), F.lit(None).cast("string").alias("hl_coin"), F.col("value").alias("event_json"))
+    later.write.mode("append").parquet(f"{path}/events")
+    return _with_rejects(files.read_events_parquet(s, path, fail=False))
+
+
+register("S3_read_events_parquet", _export_read, _TOTALS + _REJECTS)
+
+
+def _answers(s, d):
+    """REST answers, one per symbol: its candles of the tape; symbols with an odd number hold a bad candle or no array."""
+    rows = wire.normalize_candles(decoded(s, d))
+    candle = F.struct(
+        F.col("open_ts_ms").alias("t"), F.col("close_ts_ms").alias("T"), F.col("symbol").alias("s"), F.col("interval").alias("i"), F.col("open").cast("string").alias("o"),
+        F.col("close").cast("string").alias("c"), F.col("high").cast("string").alias("h"), F.col("low").cast("string").alias("l"), F.col("volume_base").cast("string").alias("v"), F.col("trade_count").alias("n"),
+    )
+    number = F.substring("symbol", 2, 9).cast("int")
+    answers = rows.groupBy("symbol").agg(F.to_json(F.sort_array(F.collect_list(candle))).alias("json"))
+    spoiled = F.when(number % 4 == 1, F.regexp_replace("json", r'"h":"[^"]*"', '"h":"0.000001"')).when(number % 4 == 3, F.lit("busy")).otherwise(F.col("json"))
+    return answers.withColumn("json", spoiled)
+
+
+def _rest(s, d):
+    answers, now = _answers(s, d), views.now_ms(s, d)
+    good = wire.candle_snapshot(answers, now).groupBy("symbol", "completion").agg(F.count(F.lit(1)).alias("candles"))
+    bad = wire.rejected_responses(answers).select("symbol", F.col("problem").alias("completion"), F.lit(0).cast("long").alias("candles"))
+    return good.unionByName(bad)
+
+
+register(
+    "S10_rest_candle_answers",
+    _rest,
+    ob.base(f"""SELECT symbol, CASE CAST(substr(symbol, 2) AS INT) % 4 WHEN 1 THEN 'invalid candle in the answer' WHEN 3 THEN 'unreadable answer'
+        ELSE CASE WHEN ms // 60000 * 60000 + 59999 < (SELECT max(ms) FROM ev) THEN 'closed' ELSE 'open' END END AS completion,
+      CASE WHEN CAST(substr(symbol, 2) AS INT) % 2 = 1 THEN 0 ELSE count(*) END AS candles
+    FROM ev WHERE {_CANDLES} GROUP BY symbol, 2"""),
+)
+
+
+def _mismatches(s, d):
+    """Answers checked against requests for the next symbol (ids divisible by three) or another interval (by five)."""
+    rows = wire.normalize_candles(decoded(s, d))
+    other = F.when(F.col("trade_count") % 3 == 0, F.lit("S99")).otherwise(F.col("symbol"))
+    interval = F.when(F.col("trade_count") % 5 == 0, F.lit("5m")).otherwise(F.lit("1m"))
+    checked = wire.validate_candle_response(rows, other, interval, F.lit(0), F.lit(views.first_ms(s, d)))
+    return checked.groupBy(F.coalesce("problem", F.lit("ok")).alias("verdict")).agg(F.count(F.lit(1)).alias("candles"))
+
+
+register(
+    "S11_candle_response_mismatches",
+    _mismatches,
+    ob.base(f"""SELECT CASE WHEN (k + 1) % 3 = 0 THEN 'wrong coin' WHEN (k + 1) % 5 = 0 THEN 'wrong interval' WHEN ms // 60000 * 60000 > (SELECT min(ms) FROM ev) THEN 'outside the requested range' ELSE 'ok' END AS verdict,
+      count(*) AS candles FROM ev WHERE {_CANDLES} GROUP BY 1"""),
+)
 
 
 def _inventory(s, d):

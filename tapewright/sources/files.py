@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +50,47 @@ RAW = "struct<recv_ts_ns:bigint,conn_id:bigint,seq:bigint,channel:string,payload
 
 # --- raw captures -------------------------------------------------------------------------------
 
+ZSTD_SUFFIX = ".zst"
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines of a capture folder (``value``, ``path``): plain, gzip and other codecs of the text source, and
+    Zstandard files, which are unpacked as streams inside the tasks that read them."""
+    plain = spark.read.option("pathGlobFilter", "{*[!t],*[!s]t,*[!z]st}").text(path, recursiveFileLookup=True)
+    plain = plain.select("value", F.col("_metadata.file_path").alias("path"))
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ZSTD_SUFFIX}").option("recursiveFileLookup", "true").load(path)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content.as_py())) as stream:
+                    text = io.TextIOWrapper(stream, encoding="utf-8", newline="\n")
+                    while lines := [x.rstrip("\r\n") for x in text.readlines(1 << 22)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array([name] * len(lines), pa.string())], ["value", "path"])
+
+    return plain.unionByName(packed.select("path", "content").mapInArrow(unpack, "value string, path string"))
+
+
+def parse_raw(lines: DataFrame) -> DataFrame:
+    """Raw rows with ``problem``: set for a line that is no capture record (bad JSON or without a channel)."""
+    rows = lines.select(F.col("value").alias("line"), F.from_json("value", RAW).alias("r"))
+    problem = F.when(F.col("r").isNull() | (F.col("r.channel").isNull() & F.col("r.payload").isNull()), "unreadable line").when(F.col("r.channel").isNull(), "no channel")
+    return rows.select("r.*", "line", problem.alias("problem")).withColumnRenamed("payload", "value")
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Raw capture lines (``*.ndjson``, optionally compressed) with the frame text as ``value``."""
-    lines = spark.read.text(path, recursiveFileLookup=True)
-    rows = lines.select(F.from_json("value", RAW).alias("r")).select("r.*")
-    return rows.withColumnRenamed("payload", "value")
+    """Raw capture rows with the frame text as ``value``. Fails closed: an unusable line ends the job with its text;
+    ``parse_raw`` on ``raw_lines`` keeps such lines as rejects instead."""
+    return closed(parse_raw(raw_lines(spark, path))).drop("line", "problem")
 
 
-def missing_channel(raw: DataFrame) -> DataFrame:
-    """Lines without a channel: not usable as a capture."""
-    return raw.filter(F.col("channel").isNull())
+def closed(rows: DataFrame) -> DataFrame:
+    """The rows, or an error in the job that meets one with a ``problem``."""
+    text = F.concat(F.col("problem"), F.lit(": "), F.substring(F.coalesce("line", F.lit("")), 1, 200))
+    checked = F.when(F.col("problem").isNotNull(), F.raise_error(text)).otherwise(F.lit(True))
+    return rows.filter(checked)
 
 
 def raw_from_frames(frames: DataFrame) -> DataFrame:
@@ -143,8 +177,16 @@ def tables_from_documents(parsed: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def read_normalized(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Typed tables of a tagged JSON-lines dataset, in (file, line) order."""
+def with_problem(parsed: DataFrame, json_col: str = "event_json") -> DataFrame:
+    """Decoded documents with ``line`` and ``problem`` (no variant that this version knows)."""
+    return parsed.withColumns({"line": F.col(json_col), "problem": F.when(F.col("variant").isNull(), "unreadable document")})
+
+
+def read_normalized(spark: SparkSession, path: str, fail: bool = True) -> dict[str, DataFrame]:
+    """Typed tables of a tagged JSON-lines dataset, in (file, line) order.
+
+    An unusable line ends the job; with ``fail=False`` such lines are the table ``rejects`` (line, problem).
+    """
     lines = spark.read.text(path, recursiveFileLookup=True)
     rows = lines.select(
         F.col("value").alias("event_json"),
@@ -153,7 +195,14 @@ def read_normalized(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         F.monotonically_increasing_id().alias("_line"),
     )
     docs = with_row_index(rows, ["_path", "_block", "_line"]).withColumnRenamed("row_index", "ingest_seq")
-    return tables_from_documents(parse_documents(docs))
+    return checked_tables(docs, fail)
+
+
+def checked_tables(docs: DataFrame, fail: bool) -> dict[str, DataFrame]:
+    parsed = with_problem(parse_documents(docs))
+    if fail:
+        return tables_from_documents(closed(parsed))
+    return {**tables_from_documents(parsed), "rejects": parsed.filter("problem IS NOT NULL").select("line", "problem")}
 
 
 def write_normalized(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
@@ -189,11 +238,12 @@ def export_events_parquet(tables: dict[str, DataFrame], path: str) -> None:
     write_manifest(docs.sparkSession, path, EVENT_MANIFEST)
 
 
-def read_events_parquet(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Typed tables of an event export; refuses an unsupported manifest, never falls back to JSON."""
+def read_events_parquet(spark: SparkSession, path: str, fail: bool = True) -> dict[str, DataFrame]:
+    """Typed tables of an event export; refuses an unsupported manifest, never falls back to JSON. Unusable documents
+    end the job, or with ``fail=False`` are the table ``rejects``."""
     check_manifest(read_manifest(spark, path), need="parquet_event_schema_version")
     docs = spark.read.parquet(f"{path}/events").withColumnRenamed("row_index", "ingest_seq")
-    return tables_from_documents(parse_documents(docs))
+    return checked_tables(docs, fail)
 
 
 FEATURE_COLUMNS = [

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +33,18 @@ class Registry:
         self.spark, self.root = spark, root
 
     def read(self, table: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}")
-        except AnalysisException:
+        """The table, empty where nothing was written yet; any other failure to read it is an error."""
+        if not self._exists(table):
             return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}")
+
+    def _exists(self, table: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def insert(self, table: str, rows: DataFrame) -> None:
+        """All rows or none. The check and the append are two steps: one writer per registry is assumed."""
         key = KEYS[table]
         batch = rows.select(*[c.split()[0] for c in SCHEMAS[table].split(", ")])
         repeated = batch.groupBy(*key).count().filter("count > 1").limit(1).count()

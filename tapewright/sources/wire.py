@@ -285,10 +285,10 @@ def normalize_candles(decoded: DataFrame) -> DataFrame:
 def candle_snapshot(responses: DataFrame, now_ms: int) -> DataFrame:
     """Candles of REST answers (``json`` holds an array); closed when their end lies in the past.
 
-    A response with one bad candle yields no rows, only ``problem`` rows in ``rejected_responses``.
+    A response with one bad candle yields no rows here; ``rejected_responses`` has it.
     """
     rows = responses.withColumn("_c", F.from_json("json", PAYLOAD["candle"]))
-    good = rows.filter(F.forall("_c", _good_candle)).select(F.posexplode("_c").alias("_i", "c"))
+    good = rows.filter(_good_response()).select(F.posexplode("_c").alias("_i", "c"))
     closed = F.col("c.T").try_cast("bigint") < now_ms
     return good.select(
         *_candle_columns(),
@@ -299,6 +299,17 @@ def candle_snapshot(responses: DataFrame, now_ms: int) -> DataFrame:
     )
 
 
+def _good_response() -> Column:
+    return F.coalesce(F.forall("_c", lambda c: F.coalesce(_good_candle(c), F.lit(False))), F.lit(False))
+
+
+def rejected_responses(responses: DataFrame) -> DataFrame:
+    """REST answers that are no array of candles or hold a bad one, with ``problem``."""
+    rows = responses.withColumn("_c", F.from_json("json", PAYLOAD["candle"]))
+    problem = F.when(F.col("_c").isNull(), "unreadable answer").otherwise("invalid candle in the answer")
+    return rows.filter(~_good_response()).withColumn("problem", problem).drop("_c")
+
+
 def validate_candle_response(candles: DataFrame, symbol: Column, interval: Column, start_ms: Column, end_ms: Column) -> DataFrame:
     """Add ``problem`` to candles that do not belong to what was asked for."""
     outside = (F.col("close_ts_ms") < start_ms) | (F.col("open_ts_ms") > end_ms)

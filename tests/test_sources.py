@@ -178,3 +178,63 @@ def test_named_pair_and_unknown_token(spark):
     broken = spark.createDataFrame([(0, "p", [1, 9], 0, True)], pairs.schema)
     with pytest.raises(ContractError):
         metadata.checked_symbols(tokens, broken)
+
+
+def test_unusable_lines_fail_or_are_kept_as_rejects(spark, tmp_path):
+    import zstandard
+
+    good = json.dumps({"recv_ts_ns": 1, "conn_id": 2, "seq": 3, "channel": "trades", "payload": '{"channel": "trades"}'})
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.ndjson").write_text(good + "\n{half\n" + '{"seq": 4, "payload": "x"}\n')
+    rows = files.parse_raw(files.raw_lines(spark, f"{tmp_path}/raw"))
+    assert sorted(str(r.problem) for r in rows.collect()) == ["None", "no channel", "unreadable line"]
+    with pytest.raises(Exception, match="unreadable line|no channel"):
+        files.read_raw(spark, f"{tmp_path}/raw").collect()
+    (tmp_path / "zst").mkdir()
+    (tmp_path / "zst" / "b.ndjson.zst").write_bytes(zstandard.compress((good + "\n").encode() * 3))
+    (tmp_path / "zst" / "c.ndjson").write_text(good + "\n")
+    assert [r.seq for r in files.read_raw(spark, f"{tmp_path}/zst").collect()] == [3] * 4
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "d.txt").write_text('{"AllMids": {"recv_ts_ns": 5, "mids_by_hl_coin": {"A": 1.5}}}\n{"Future": {}}\nnothing\n')
+    tables = files.read_normalized(spark, f"{tmp_path}/docs", fail=False)
+    assert tables["mids"].count() == 1 and tables["rejects"].count() == 2
+    with pytest.raises(Exception, match="unreadable document"):
+        files.read_normalized(spark, f"{tmp_path}/docs")["mids"].collect()
+
+
+def test_registry_reads_errors_as_errors(spark, tmp_path):
+    from tapewright.sources.registry import Registry
+
+    registry = Registry(spark, str(tmp_path))
+    assert registry.read("runs").count() == 0
+    run = spark.createDataFrame([("r1", 1, 2, "h", "v", "g", True, True, True, 0)], "run_id string, started_at_ms bigint, ended_at_ms bigint, config_hash string, app_version string, git_sha string, raw_enabled boolean, normalized_enabled boolean, clean_shutdown boolean, gap_count bigint")
+    registry.insert("runs", run)
+    file = spark.createDataFrame([("p1", "trade", None, 1, 2, 3, 4, 5, "r1"), ("p2", "trade", None, 1, 2, 3, 4, 5, "r1")], "path string, event_type string, symbol string, start_ts_ms bigint, end_ts_ms bigint, rows bigint, bytes bigint, created_at_ms bigint, run_id string")
+    registry.insert("files", file)
+    for table, rows in (("runs", run), ("files", file.withColumn("path", F.lit("same"))), ("files", file.filter("path = 'p2'"))):
+        with pytest.raises(ContractError):
+            registry.insert(table, rows)
+    assert registry.read("runs").count() == 1 and [r.path for r in registry.files("r1").collect()] == ["p1", "p2"]
+    (tmp_path / "symbols").mkdir()
+    (tmp_path / "symbols" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        registry.read("symbols").collect()
+
+
+def test_equal_times_emit_once_and_long_runs_stream(spark):
+    from tapewright.operators import alerts
+
+    schema = "playbook_id string, rule_id string, symbol string, at_ms bigint, cooldown_ms bigint"
+    ties = spark.createDataFrame([("p", "r", "A", 5, 100), ("p", "r", "A", 5, 100), ("p", "r", "A", 105, 100), ("p", "r", "B", 5, 0), ("p", "r", "B", 5, 0)], schema)
+    got = alerts.apply_cooldown(ties).groupBy("symbol", "cooldown_status").count().collect()
+    assert {(r.symbol, r.cooldown_status): r["count"] for r in got} == {("A", "emitted"): 2, ("A", "suppressed"): 1, ("B", "emitted"): 2}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        run = spark.range(200_000).select(F.lit("p").alias("playbook_id"), F.lit("r").alias("rule_id"), F.lit("A").alias("symbol"), F.col("id").alias("at_ms"), F.lit(7).cast("long").alias("cooldown_ms"))
+        seeds = spark.createDataFrame([("p", "r", "A", 3)], "playbook_id string, rule_id string, symbol string, last_emitted_ms bigint")
+        out = alerts.apply_cooldown(run, seeds)
+        assert out.filter("cooldown_status = 'emitted' AND at_ms % 7 <> 3").isEmpty()
+        assert out.filter("cooldown_status = 'emitted'").count() == (200_000 - 10 + 6) // 7
+        assert out.filter("at_ms < 10").agg(F.max("cooldown_remaining_ms")).first()[0] == 7
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
