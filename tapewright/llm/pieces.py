@@ -17,8 +17,10 @@ ignored; U+2581 inside a text decodes to a space, as in the library; an empty ta
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,11 @@ from tapewright.llm.wordjoin import by_part, requests, text_blocks, unpack
 SPACE = "▁"
 LONG = 48
 #: Word parts per block of texts: a lattice takes about forty times the room of its chunk.
-PARTS_PER_BLOCK = 4
+PARTS_PER_BLOCK = 2
+BLOCK_BYTES = 6_000_000
+#: Chunks whose edges Spark gathers in a hash table per task, before it would sort all edges instead.
+IN_MEMORY_KEYS_CONF = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+IN_MEMORY_KEYS = "100000"
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -147,22 +153,24 @@ def bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, text, ids of every document's whole text."""
-    blocks = blocks_for(docs, "text")
+def assembled(docs: DataFrame, path: str, finish: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
+    """``finish`` of every block of texts (doc_id, text) and the ids of each of them."""
+    docs.sparkSession.conf.set(IN_MEMORY_KEYS_CONF, IN_MEMORY_KEYS)
+    blocks = blocks_for(docs, "text", BLOCK_BYTES)
     parts = PARTS_PER_BLOCK * blocks
     blocked = text_blocks(docs, blocks)
 
     def count(block: pa.Table) -> tuple[list[bytes], list[dict[bytes, int]]]:
         found: set[str] = set()
-        for text in block.column("text").to_pylist():
-            found.update(chunks(text))
+        for text in block.column("text"):
+            found.update(chunks(text.as_py()))
         return [c.encode() for c in found if len(c) <= LONG and c != "\n"], []
 
-    asked = requests(blocked, parts, count)
+    # both uses read the same three columns, so that the exchange by part is reused
+    asked = requests(blocked, parts, count).select("part", "block", "words")
     listed = F.explode(F.split(F.decode("words", "UTF-8"), "\n"))
-    distinct = asked.select("part", listed.alias("chunk")).filter(F.col("chunk") != "").groupBy("part", "chunk").agg(F.lit(1).alias("one")).drop("one")
-    solved = lattice(distinct, path)
+    distinct = asked.select("part", "block", listed.alias("chunk")).filter(F.col("chunk") != "").groupBy("part", "chunk").agg(F.min("block").alias("block"))
+    solved = lattice(distinct.filter("block >= 0").drop("block"), path)
 
     def answer(key: tuple, wanted: pa.Table, known: pa.Table) -> pa.Table:
         ids = known.column("ids").combine_chunks()
@@ -170,45 +178,56 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
         begins = np.append(0, np.cumsum(sizes))
-        packs = []
+        packs, counts = [], []
         for words in wanted.column("words").to_pylist():
             at = np.array([place[w] for w in unpack(words)], np.int64)
             n = sizes[at]
-            take = np.repeat(begins[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            packs.append(n.astype("<u2").tobytes() + flat[take].tobytes())
-        return pa.table({"block": wanted.column("block"), "part": wanted.column("part"), "n": pa.array([len(unpack(w)) for w in wanted.column("words").to_pylist()], pa.int32()), "pack": pa.array(packs, pa.binary())})
+            packs.append(n.astype("<u2").tobytes() + flat[slices(begins[at], n)].tobytes())
+            counts.append(len(at))
+        return pa.table({"of_block": wanted.column("block"), "part": wanted.column("part"), "n": pa.array(counts, pa.int32()), "pack": pa.array(packs, pa.binary())})
 
-    answers = asked.groupBy("part").cogroup(solved.groupBy("of_part")).applyInArrow(answer, "block int, part int, n int, pack binary")
+    answers = asked.groupBy("part").cogroup(solved.groupBy("of_part")).applyInArrow(answer, "of_block int, part int, n int, pack binary")
 
     def read(key: tuple, texts: pa.Table, packs: pa.Table) -> pa.Table:
         own = pieces(path)
-        lists = [chunks(t) for t in texts.column("text").to_pylist()]
-        distinct = {c for cs in lists for c in cs}
-        number: dict[str, int] = {}
-        sizes, flats = [], []
-        rows = by_part((c.encode() for c in distinct if len(c) <= LONG and c != "\n"), parts)
-        for part, n, pack in zip(packs.column("part").to_pylist(), packs.column("n").to_pylist(), packs.column("pack").to_pylist(), strict=True):
-            for word in rows[part]:
-                number[word.decode()] = len(number)
-            sizes.append(np.frombuffer(pack, "<u2", n).astype(np.int64))
+        numbers: dict[str, int] = {}
+        lists = []
+        for text in texts.column("text"):
+            cs = chunks(text.as_py())
+            lists.append(np.fromiter((numbers.setdefault(c, len(numbers)) for c in cs), np.int32, len(cs)))
+        begins, sizes = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        rows = by_part((c.encode() for c in numbers if len(c) <= LONG and c != "\n"), parts)
+        flats, at = [], 0
+        for part, n, pack in zip(*(packs.column(c).to_pylist() for c in ("part", "n", "pack")), strict=True):
+            own_at = np.fromiter((numbers[w.decode()] for w in rows[part]), np.int64, n)
+            size = np.frombuffer(pack, "<u2", n).astype(np.int64)
+            sizes[own_at], begins[own_at] = size, at + np.cumsum(size) - size
             flats.append(np.frombuffer(pack, "<u4", offset=2 * n))
-        for chunk in distinct:
-            if chunk not in number:
-                ids = own.merged(chunk)
-                number[chunk] = len(number)
-                sizes.append(np.array([len(ids)]))
-                flats.append(np.array(ids, "<u4"))
-        size = np.concatenate([*sizes, np.zeros(0, np.int64)])
-        flat = np.concatenate([*flats, np.zeros(0, "<u4")])
-        begins = np.append(0, np.cumsum(size))
-        out = []
-        for cs in lists:
-            at = np.fromiter(map(number.__getitem__, cs), np.int64, len(cs))
-            n = size[at]
-            out.append(flat[np.repeat(begins[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())].astype(np.int32) if len(cs) else np.zeros(0, np.int32))
-        return pa.table({"doc_id": texts.column("doc_id"), "text": texts.column("text"), "ids": pa.array(out, pa.list_(pa.int32()))})
-
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read, "doc_id long, text string, ids array<int>")
+            at += len(flats[-1])
+        for chunk, number in numbers.items():
+            if len(chunk) > LONG or chunk == "\n":
+                ids = np.array(own.merged(chunk), "<u4")
+                sizes[number], begins[number] = len(ids), at
+                flats.append(ids)
+                at += len(ids)
+        flat = np.concatenate([*flats, np.zeros(0, "<u4")]).astype(np.int32)
+        return finish(texts, [flat[slices(begins[x], sizes[x])] for x in lists])
+
+    return blocked.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(read, schema)
+
+
+def slices(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of consecutive slices of an array, one after the other."""
+    return np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, text, ids of every document's whole text."""
+
+    def finish(texts: pa.Table, ids: list[np.ndarray]) -> pa.Table:
+        return pa.table({"doc_id": texts.column("doc_id"), "text": texts.column("text"), "ids": pa.array(ids, pa.list_(pa.int32()))})
+
+    return assembled(docs, path, finish, "doc_id long, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -226,11 +245,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def summary(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids joined by spaces), whether decoding gives the text back; ids on demand."""
-    both = decode(encode(docs, path), path)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
-        (F.col("decoded") == F.translate("text", SPACE, " ")).alias("round_trip"),
-        *[F.col("ids")] * with_ids,
-    )
+
+    def finish(texts: pa.Table, ids: list[np.ndarray]) -> pa.Table:
+        own = pieces(path)
+        lists = [x.tolist() for x in ids]
+        same = [own.text(x) == t.as_py().replace(SPACE, " ") for x, t in zip(lists, texts.column("text"), strict=True)]
+        out = {
+            "doc_id": texts.column("doc_id"), "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in lists]), "round_trip": pa.array(same, pa.bool_()),
+        }
+        return pa.table({**out, "ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else out)
+
+    return assembled(docs, path, finish, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids)

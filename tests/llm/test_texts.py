@@ -82,7 +82,7 @@ def test_whole_tokens_are_proven():
 def test_pieces_equal_the_library(spark, edge_docs, no_docs, monkeypatch, blocks):
     import sentencepiece
 
-    monkeypatch.setattr(pieces, "blocks_for", lambda docs, text: blocks)
+    monkeypatch.setattr(pieces, "blocks_for", lambda docs, text, size: blocks)
     path = catalog.vocabulary(catalog.PIECES)
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     want = sorted((str(k), library.encode(t or "")) for k, t in edge_texts())
