@@ -168,6 +168,20 @@ def seed_cooldowns(history: DataFrame) -> DataFrame:
     return emitted.groupBy(*KEY).agg(F.max("at_ms").alias("last_emitted_ms"))
 
 
+def cooldown_pass(times: np.ndarray, wait: int, last: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """For sorted times of one key: which are emitted, the emission in force at each, and the last one."""
+    emitted, before, at = np.zeros(len(times), bool), np.zeros(len(times), np.int64), 0
+    while at < len(times):
+        due = at if last is None or wait == 0 else max(at, int(np.searchsorted(times, last + wait)))
+        before[at:due] = last or 0
+        if due == len(times):
+            break
+        last = int(times[due])
+        emitted[due], before[due] = True, last
+        at = due + 1
+    return emitted, before, last
+
+
 def apply_cooldown(matches: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Mark each match emitted or suppressed (with the remaining cooldown).
 
@@ -194,15 +208,7 @@ def apply_cooldown(matches: DataFrame, seeds: DataFrame | None = None) -> DataFr
             for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
                 if keys[start] != key:
                     key, last = keys[start], seeded[start]
-                own, wait, at = times[start:end], int(cooldown[start]), 0
-                while at < len(own):
-                    due = at if last is None or wait == 0 else max(at, int(np.searchsorted(own, last + wait)))
-                    before[start + at : start + due] = last or 0
-                    if due == len(own):
-                        break
-                    last = int(own[due])
-                    emitted[start + due], before[start + due] = True, last
-                    at = due + 1
+                emitted[start:end], before[start:end], last = cooldown_pass(times[start:end], int(cooldown[start]), last)
             remaining = cooldown - np.maximum(times - before, 0)
             status = pa.array(np.where(emitted, "emitted", "suppressed").tolist(), pa.string())
             out = batch.select(kept).append_column("cooldown_status", status)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,7 @@ from tapewright.plans import views
 from tapewright.plans.oracle_base import DAY, HOUR, r6
 from tapewright.plans.q_scores import daily, now
 from tapewright.plans.registry import joined, register, rounded
+from tapewright.session import checkpoint_dir, cut_lineage
 
 PLAYBOOK = {
     "schema_version": 1,
@@ -119,8 +122,12 @@ register(
 
 
 def _history(s, d):
-    rows = matches(s, d).withColumn("history_seq", F.struct("at_ms", "rule_order", "symbol"))
-    return alerts.alert_history(rows, limit=25).select("rule_id", "symbol", "at_ms")
+    """Evaluated alerts appended in two runs, read back newest first."""
+    path = f"{checkpoint_dir(s)}/alerts-{uuid.uuid4().hex}"
+    rows = cut_lineage(alerts.apply_cooldown(matches(s, d)))
+    for run in (0, 1):
+        alerts.append_history(rows.filter(F.floor(F.col("at_ms") / DAY) % 2 == run), path)
+    return alerts.alert_history(s.read.parquet(path), limit=25).select("rule_id", "symbol", "at_ms")
 
 
 register(
@@ -221,10 +228,6 @@ register(
 
 def _indexed(s, d):
     """Write the candidates as an index, read it back, search its own target."""
-    import uuid
-
-    from tapewright.session import checkpoint_dir
-
     rows = candidates(s, d)
     symbol = rows.agg(F.max("symbol")).first()[0]
     path = f"{checkpoint_dir(s)}/index-{uuid.uuid4().hex}"

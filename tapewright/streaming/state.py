@@ -1,7 +1,8 @@
 """Keyed streaming state: exact per-symbol trade state with window features, and alert cooldowns.
 
 Both run on ``transformWithStateInPandas`` with the RocksDB state store. Rows of a key arrive as an
-iterator of Arrow batches, so a busy symbol is streamed, not collected.
+iterator of Arrow batches. Alerts put the batches of a key and micro-batch together before they sort them, so
+that results do not depend on the Arrow batch size.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tapewright.operators.alerts import cooldown_pass
+
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 }
@@ -123,21 +126,22 @@ class Cooldowns(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         emitted, observed = self.last.get() if self.last.exists() else (None, None)
-        for batch in rows:
-            out = []
-            for row in batch.sort_values("at_ms").itertuples(index=False):
-                seen, observed = observed == int(row.observed), int(row.observed)
-                if seen or not row.matched:
-                    continue
-                elapsed = None if emitted is None else max(int(row.at_ms) - emitted, 0)
-                if elapsed is None or elapsed >= row.cooldown_ms:
-                    emitted = int(row.at_ms)
-                    out.append((*key, int(row.at_ms), row.reason, "emitted", None))
-                else:
-                    out.append((*key, int(row.at_ms), row.reason, "suppressed", int(row.cooldown_ms) - elapsed))
-            if out:
-                frame = pd.DataFrame(out, columns=[c.split()[0] for c in ALERT_SCHEMA.split(", ")])
-                yield frame.astype({"cooldown_remaining_ms": "Int64"})
+        # all rows of the key in this micro-batch, however many Arrow batches they came in
+        frame = pd.concat(list(rows), ignore_index=True).sort_values("at_ms", kind="stable")
+        before = frame["observed"].shift(1)
+        repeated = frame["observed"] == before
+        repeated.iloc[0] = observed is not None and observed == int(frame["observed"].iloc[0])
+        observed = int(frame["observed"].iloc[-1])
+        due = frame[frame["matched"].astype(bool) & ~repeated]
+        if len(due):
+            times, wait = due["at_ms"].to_numpy(), int(due["cooldown_ms"].iloc[0])
+            fresh, since, emitted = cooldown_pass(times, wait, emitted)
+            out = pd.DataFrame({"at_ms": times, "reason": due["reason"].to_numpy(), "cooldown_status": np.where(fresh, "emitted", "suppressed")})
+            out["cooldown_remaining_ms"] = pd.array(np.where(fresh, 0, wait - np.maximum(times - since, 0)), dtype="Int64")
+            out.loc[fresh, "cooldown_remaining_ms"] = pd.NA
+            for place, name in enumerate(("playbook_id", "rule_id", "symbol")):
+                out.insert(place, name, key[place])
+            yield out
         self.last.update((emitted, observed))
 
     def close(self) -> None:

@@ -40,3 +40,12 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     assert entry.entry(spark).columns[:2] == ["symbol", "place"]
+
+
+def test_alerts_do_not_depend_on_arrow_batches(spark, con):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for name in ("A4_apply_cooldown", "A8_streaming_alerts"):
+            assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
