@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tapewright.functions import labels
 from tapewright.functions.common import choose, clamp, finite_or_null, or_zero
+from tapewright.operators.ordered import value_at_rank
 
 FLOW = "signed_notional_flow_30s"
 
@@ -39,24 +40,22 @@ def table_stats(rows: DataFrame) -> DataFrame:
     """Row quality summary; the age percentile is the value at index ceil((n - 1) * 0.95)."""
     level, state = F.col("confidence.level"), F.col("staleness_state")
     spread, depth = finite_or_null("spread_bps"), finite_or_null("tob_depth_usd")
-    # Index ceil((n - 1) * 0.95) lies between percentile_disc ranks; a single count fixes the fraction.
-    n = rows.filter(F.col("updated_ms_ago").isNotNull()).count()
-    index = -(-(n - 1) * 95 // 100)
-    fraction = (index + 0.5) / n if n else 0.5
-    picked = F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY updated_ms_ago)")
+    ages = value_at_rank(rows, [], "updated_ms_ago", {"p95_age_ms": lambda n: F.ceil((n - 1) * 95 / F.lit(100)) + 1})
+    halves = {"_low": lambda n: F.floor((n + 1) / 2), "_high": lambda n: F.floor(n / 2) + 1}
+    middle = value_at_rank(rows.select(spread.alias("_spread")), [], "_spread", halves)
     stats = rows.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_if(state == "stale").alias("stale"),
         F.count_if(state == "incomplete").alias("incomplete"),
         F.count(spread).alias("spread_count"),
-        F.median(spread).alias("median_spread_bps"),
         F.count(depth).alias("depth_count"),
         F.max(depth).alias("top_tob_depth_usd"),
-        picked.cast("bigint").alias("p95_age_ms"),
         *[F.count_if(level == name).alias(f"confidence_{name}") for name in ("high", "medium", "low", "untrusted")],
         F.min("confidence.score").alias("min_confidence_score"),
         F.coalesce(F.sum(F.size("confidence.reasons")), F.lit(0)).cast("long").alias("confidence_reason_count"),
     )
+    stats = stats.join(ages.select(F.col("p95_age_ms").cast("bigint").alias("p95_age_ms")), how="cross")  # one row each
+    stats = stats.join(middle.select(((F.col("_low") + F.col("_high")) / 2).alias("median_spread_bps")), how="cross")
     s, d = F.col("median_spread_bps"), F.col("top_tob_depth_usd")
     whole = (F.col("spread_count") == F.col("row_count")) & (F.col("depth_count") == F.col("row_count"))
     return stats.withColumn(
@@ -250,12 +249,12 @@ def quality_matrix(rows: DataFrame) -> DataFrame:
 
 def row_age_p95(rows: DataFrame) -> DataFrame:
     """Nearest-rank 95th percentile of non-negative ages, with the counts shown next to it."""
-    age = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN updated_ms_ago >= 0 THEN updated_ms_ago END)")
-    return rows.agg(
-        age.cast("bigint").alias("p95_age_ms"),
+    ages = value_at_rank(rows.filter("updated_ms_ago >= 0"), [], "updated_ms_ago", {"p95_age_ms": lambda n: F.ceil(n * 95 / F.lit(100))})
+    counts = rows.agg(
         F.count_if(F.col("confidence.score") < 70).alias("low_confidence"),
         F.count_if(labels.not_fresh()).alias("stale"),
     )
+    return ages.select(F.col("p95_age_ms").cast("bigint").alias("p95_age_ms")).join(counts, how="cross")  # one row each
 
 
 def signal_matrix(rows: DataFrame, k: int | None = None) -> DataFrame:

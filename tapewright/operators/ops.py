@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.errors import ContractError
 from tapewright.functions.common import tags
+from tapewright.operators.ordered import value_at_rank
 
 # Labels that would explode a metric's cardinality.
 BANNED_LABELS = ["symbol", "hl_coin", "coin", "run_id", "wallet", "account", "address", "tx_hash", "trade_id"]
@@ -38,19 +39,18 @@ def health_status(inputs: DataFrame) -> DataFrame:
 
 def latency_percentiles(samples: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Nearest-rank percentiles of receive, feature and render lag; a negative lag counts as 0."""
-    def lag(end: str) -> str:
-        return f"greatest({end} - exchange_ts_ms, 0L)"
-
-    def pick(p: float, end: str, name: str) -> Column:
-        return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {lag(end)})").cast("bigint").alias(name)
-
-    return samples.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"),
-        pick(0.5, "recv_ts_ms", "data_lag_ms_p50"),
-        pick(0.95, "recv_ts_ms", "data_lag_ms_p95"),
-        pick(0.95, "feature_done_ts_ms", "feature_lag_ms_p95"),
-        pick(0.95, "render_done_ts_ms", "render_lag_ms_p95"),
-    )
+    ends = {"data": "recv_ts_ms", "feature": "feature_done_ts_ms", "render": "render_done_ts_ms"}
+    lags = [F.struct(F.lit(kind).alias("kind"), F.greatest(F.col(end) - F.col("exchange_ts_ms"), F.lit(0).cast("long")).alias("lag")) for kind, end in ends.items()]
+    tall = samples.select(*keys, F.inline(F.array(*lags)))
+    ranks = {f"p{p}": lambda n, p=p: F.ceil(n * F.lit(p) / 100) for p in (50, 95)}
+    found = value_at_rank(tall, [*keys, "kind"], "lag", ranks)
+
+    def pick(kind: str, p: int) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col(f"p{p}"))).cast("bigint").alias(f"{kind}_lag_ms_p{p}")
+
+    picked = found.groupBy(*keys).agg(pick("data", 50), pick("data", 95), pick("feature", 95), pick("render", 95))
+    counts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
+    return counts.join(picked, keys, "left") if keys else counts.join(picked, how="cross")  # one row each
 
 
 # Operational metrics (column, kind); the repair latency is optional.

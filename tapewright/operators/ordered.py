@@ -15,6 +15,7 @@ factor. With the default of four million rows per chunk, 10^12 rows give 250,000
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,6 +201,19 @@ def _finish_scan(out: DataFrame, previous, depth: int, running_max: dict[str, st
     return out.withColumns(final).drop(*helpers)
 
 
+def value_at_rank(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per key the values at given ranks (1-based, as functions of the number of non-null values), without a sort of all rows.
+
+    Equal values are counted map-side first; running sums over the distinct values then tell which one holds a rank.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    per_key = Window.partitionBy(*keys)
+    so_far = per_key.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"_up": F.sum("_c").over(so_far), "_n": F.sum("_c").over(per_key)})
+    holds = {name: (F.col("_up") >= rank(F.col("_n"))) & (F.col("_up") - F.col("_c") < rank(F.col("_n"))) for name, rank in ranks.items()}
+    return ranked.groupBy(*keys).agg(*[F.max(F.when(hit, F.col(value))).alias(name) for name, hit in holds.items()])
+
+
 def newest_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """Newest ``n`` rows per key. Spark keeps at most ``n`` per key and map task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
