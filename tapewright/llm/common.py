@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from tapewright.session import cut_lineage
 
 __all__ = [
-    "BLOCK_BYTES", "arrow_rows", "block_of", "blocks_for", "crc_remainder", "cut_lineage", "documents", "map_rows", "private", "table",
+    "BLOCK_BYTES", "arrow_rows", "trimmed", "block_of", "blocks_for", "crc_remainder", "cut_lineage", "documents", "map_rows", "private", "table",
 ]
 
 #: Text bytes that one block of documents holds on average; a block is what one Python call keeps in memory.
@@ -49,6 +51,34 @@ def arrow_rows(batches: Iterable[pa.RecordBatch], limit_bytes: int = 16_000_000)
             yield batch.slice(start, min(step, rows - start))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after a task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(function: Callable) -> Callable:
+    """The function of one to three arguments, giving memory back after each call."""
+
+    def one(a):
+        out = function(a)
+        give_back()
+        return out
+
+    def two(a, b):
+        out = function(a, b)
+        give_back()
+        return out
+
+    def three(a, b, c):
+        out = function(a, b, c)
+        give_back()
+        return out
+
+    return (one, two, three)[function.__code__.co_argcount - 1]
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """``mapInArrow`` with a factory: what ``make`` sets up lives once per task, its result maps one batch."""
 
@@ -58,6 +88,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
             out = step(batch)
             if out is not None and out.num_rows:
                 yield out
+        del step
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import blocks_for, cut_lineage, private
+from tapewright.llm.common import blocks_for, cut_lineage, private, trimmed
 
 LENGTH = 100
 TRIGGER = 48
 #: Trigger windows inside one string of LENGTH bytes.
 PLACES = LENGTH - TRIGGER + 1
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 _rng = np.random.default_rng(20240607)
 BYTE_TABLES = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
 FACTORS = _rng.integers(0, 2**64, (2, 12), dtype=np.uint64) | np.uint64(1)
@@ -224,8 +224,8 @@ def spans(docs: DataFrame, texts: bool = False) -> DataFrame:
         named = np.sort(own.named)
         return sent(rows.column(number)[0].as_py(), own.trigger[named], own.trigger[named], own.content[named], blocks)
 
-    asked = table.select(number, private("id"), private("text")).groupBy(number).applyInArrow(name_phrases, REQUEST)
-    phrases = cut_lineage(asked.repartition(blocks, "part").groupBy("part").applyInArrow(answer_phrases, ANSWER))
+    asked = table.select(number, private("id"), private("text")).groupBy(number).applyInArrow(trimmed(name_phrases), REQUEST)
+    phrases = cut_lineage(asked.repartition(blocks, "part").groupBy("part").applyInArrow(trimmed(answer_phrases), ANSWER))
 
     def settled(own: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """(whole phrases that repeat, phrases to take apart), for all phrases of the block."""
@@ -246,8 +246,8 @@ def spans(docs: DataFrame, texts: bool = False) -> DataFrame:
         return sent(rows.column(number)[0].as_py(), first[named], first[named], (second[named] >> np.uint64(32)).astype(np.uint32), blocks)
 
     narrow = table.select(number, private("id"), private("text"))
-    asked_strings = narrow.groupBy(number).cogroup(phrases.groupBy("of_block")).applyInArrow(name_strings, REQUEST)
-    strings = cut_lineage(asked_strings.repartition(blocks, "part").groupBy("part").applyInArrow(answer_strings, ANSWER))
+    asked_strings = narrow.groupBy(number).cogroup(phrases.groupBy("of_block")).applyInArrow(trimmed(name_strings), REQUEST)
+    strings = cut_lineage(asked_strings.repartition(blocks, "part").groupBy("part").applyInArrow(trimmed(answer_strings), ANSWER))
     answers = phrases.withColumn("kind", F.lit(0)).unionByName(strings.withColumn("kind", F.lit(1)))
     others = [f for f in table.schema if not f.name.startswith("__tw_")]
 
@@ -294,7 +294,7 @@ def spans(docs: DataFrame, texts: bool = False) -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in others]
     fields += [f"{private('n_bytes')} long", f"{private('n_removed')} long", f"{private('spans')} array<struct<start:long,size:long>>", f"{private('sha256')} string"]
     fields += [f"{private('kept')} string"] * texts
-    return table.groupBy(number).cogroup(answers.groupBy("of_block")).applyInArrow(remove, ", ".join(fields))
+    return table.groupBy(number).cogroup(answers.groupBy("of_block")).applyInArrow(trimmed(remove), ", ".join(fields))
 
 
 def removal_report(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import blocks_for
+from tapewright.llm.common import blocks_for, trimmed
 from tapewright.llm.wordjoin import by_part, requests, text_blocks, unpack
 
 SPACE = "▁"
@@ -186,7 +186,7 @@ def assembled(docs: DataFrame, path: str, finish: Callable[[pa.Table, list[np.nd
             counts.append(len(at))
         return pa.table({"of_block": wanted.column("block"), "part": wanted.column("part"), "n": pa.array(counts, pa.int32()), "pack": pa.array(packs, pa.binary())})
 
-    answers = asked.groupBy("part").cogroup(solved.groupBy("of_part")).applyInArrow(answer, "of_block int, part int, n int, pack binary")
+    answers = asked.groupBy("part").cogroup(solved.groupBy("of_part")).applyInArrow(trimmed(answer), "of_block int, part int, n int, pack binary")
 
     def read(key: tuple, texts: pa.Table, packs: pa.Table) -> pa.Table:
         own = pieces(path)
@@ -213,7 +213,7 @@ def assembled(docs: DataFrame, path: str, finish: Callable[[pa.Table, list[np.nd
         flat = np.concatenate([*flats, np.zeros(0, "<u4")]).astype(np.int32)
         return finish(texts, [flat[slices(begins[x], sizes[x])] for x in lists])
 
-    return blocked.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(read, schema)
+    return blocked.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(trimmed(read), schema)
 
 
 def slices(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:

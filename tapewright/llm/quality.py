@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import arrow_rows, cut_lineage, map_rows
+from tapewright.llm.common import arrow_rows, cut_lineage, give_back, map_rows
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -252,5 +252,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             failed = np.array([r[0] < MIN_WORDS or 100 * r[4] > 50 * r[0] for r in rows], bool)
             n_words = np.array([r[0] for r in rows])
             yield batch.filter(pa.array(~failed & (forest.anomaly(n_words, shares) < threshold)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import block_of
+from tapewright.llm.common import block_of, trimmed
 
 REQUEST = "part int, block int, words binary, counts binary"
 SEPARATOR = b"\n"
@@ -57,7 +57,7 @@ def requests(blocked: DataFrame, parts: int, count_words: Callable[[pa.Table], t
             "counts": pa.array(packs, pa.binary()),
         })
 
-    return blocked.groupBy("block").applyInArrow(ask, REQUEST).repartition(parts, "part")
+    return blocked.groupBy("block").applyInArrow(trimmed(ask), REQUEST).repartition(parts, "part")
 
 
 def unpack(words: bytes) -> list[bytes]:
