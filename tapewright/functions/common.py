@@ -54,9 +54,5 @@ def tags(pairs) -> Column:
     return F.array_compact(F.array(*[F.when(condition, F.lit(label)) for condition, label in pairs]))
 
 
-def count_where(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
 def signed(side: Column | str, amount: Column | str) -> Column:
     return F.when(col(side) == "buy", col(amount)).otherwise(-col(amount))

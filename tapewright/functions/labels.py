@@ -82,6 +82,7 @@ def observation_tags() -> Column:
     state, level = F.col("staleness_state"), F.col("confidence.level")
     trade, book, flow = F.col("tradeability_state"), F.col("resilience_state"), F.col("adverse_selection_proxy")
     spread = F.col("spread_bps")
+    # The tag texts, their limits and their order.
     return tags(
         [
             (state == "stale", "stale feed"),

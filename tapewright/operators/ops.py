@@ -18,6 +18,7 @@ def health_status(inputs: DataFrame) -> DataFrame:
     ok = F.col("read_only") & ~F.col("wallet_enabled") & ~F.col("trading_enabled")
     conn = F.col("connection_state")
     backlog = (F.col("writer_warn_at") > 0) & (F.col("writer_backlog") > F.col("writer_warn_at"))
+    # The reason texts and limits of a health report.
     rules = [
         (~ok, "read-only safety violation", 2),
         (conn == "disconnected", "connection disconnected", 2),
