@@ -8,14 +8,18 @@ with the probability of their similarity. A text throws only until its time hori
 whatever its length; texts with an empty coordinate double their horizon.
 
 Equal texts are one node, named by the md5 of the text. Bands of ROWS coordinates make buckets. In each bucket all members
-are compared with one leader, never with each other: the exact similarity of cells decides. The leader is the member whose buckets
+are first compared with one leader: the exact similarity of cells decides. The leader is the member whose buckets
 are largest in all: among edited copies of one text, that text. Members that are no copy of the leader get a leader of their
 own, and so on while leaders of the bucket find copies. Links form classes (connected components by smallest label
 with pointer jumping; labels are written between rounds).
 
+Buckets that still hold more than one class are then finished without loss, linked members included: in a bucket of up to SMALL
+members all pairs of different classes are compared; members of larger ones are joined by their rarest cells (prefix filter
+with sizes and positions, which keeps every pair that can reach the threshold) and the pairs that remain are compared.
+
 Bounds: a bucket costs its size times the number of leaders that find copies; a group of thousands of copies costs one
-comparison each. At similarity 0.8 a pair shares a bucket with probability 0.99995 (25 bands of 5). Two members of a bucket
-that are both unlike its leaders are not compared there; they usually share buckets with other leaders.
+comparison each. At similarity 0.8 a pair shares a bucket with probability 0.99995 (25 bands of 5); pairs that share one end in one
+class. Unlike texts of one template meet in the prefix join only where they share cells outside the template.
 
 Defined results: null texts and texts without a word are classes of one row; repeated rows share a class; ``class_id`` is
 the smallest non-null doc_id of the class (null if there is none); extra columns are ignored by ``near_classes`` and
@@ -40,6 +44,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 DARTS = K * math.log(K) + 2 * K
+#: Members up to which all pairs of a bucket are compared once leaders are done.
+SMALL = 8
+#: Counters that order cells by rarity in the prefix filter; two cells in one counter cost time only.
+RARITY_SLOTS = 1 << 20
 #: Distinct words whose hashes one Python process remembers (a memo only).
 MEMO = 500_000
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -180,6 +188,75 @@ def led_by(members: DataFrame) -> DataFrame:
     return members.groupBy("band", "key").agg(best.alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
 
 
+def bucket_pairs(members: DataFrame) -> DataFrame:
+    """All pairs (leader, node) with different labels in each bucket."""
+    high = members.select("band", "key", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
+    low = members.select("band", "key", "node", "label")
+    return high.join(low, ["band", "key"]).filter((F.col("leader") > F.col("node")) & (F.col("leader_label") != F.col("label"))).select("leader", "node")
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many of the sets have a cell, by counters of fixed number."""
+    slot = F.pmod(F.col("cell"), F.lit(RARITY_SLOTS))
+    counted = sets.select(F.explode("cells").alias("cell")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    out = np.zeros(RARITY_SLOTS, np.int32)
+    out[counted.column("slot").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 2**31 - 1)
+    return out
+
+
+def rare_pairs(nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Every pair (leader, node) with different labels that can reach the threshold, and few others.
+
+    Cells are put in one order, rarest first. Of a similar pair the first common cell is among the first n - ceil(T n) + 1
+    of the larger set and the first m - ceil(2 T / (1 + T) m) + 1 of the smaller one, and enough cells follow it in both.
+    """
+    sets = cut_lineage(nodes.join(cells, "node").select("node", "label", "cells"))
+    often = sets.sparkSession.sparkContext.broadcast(rarity(sets))  # fixed by RARITY_SLOTS
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, sizes, places, kept, small = [], [], [], [], []
+        for k, own in enumerate(batch.column(2).to_pylist()):
+            own = np.array(own, np.int64)
+            n = len(own)
+            count = often.value[own % RARITY_SLOTS]
+            at = np.arange(n - math.ceil(THRESHOLD * n - 1e-6) + 1)
+            first = np.lexsort((own, count))[at]
+            at, first = at[count[first] > 1], first[count[first] > 1]
+            rows.append(np.full(len(at), k))
+            sizes.append(np.full(len(at), n))
+            places.append(at)
+            kept.append(own[first])
+            small.append(at < n - math.ceil(2 * THRESHOLD / (1 + THRESHOLD) * n - 1e-6) + 1)
+        row = np.concatenate(rows)
+        columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), *map(pa.array, (np.concatenate(kept).astype(np.int32), np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32), np.concatenate(small)))]
+        return pa.RecordBatch.from_arrays(columns, ["node", "label", "cell", "n", "at", "small"])
+
+    rows = cut_lineage(map_rows(sets, lambda: step, "node binary, label binary, cell int, n int, at int, small boolean"))
+    large = rows.select("cell", *[F.col(c).alias(f"large_{c}") for c in ("node", "label", "n", "at")])
+    rows = rows.filter("small").drop("small")
+    # labels meet first, so that members of one class are never paired
+    labels = rows.select("cell", "label").distinct().join(large.select("cell", "large_label").distinct(), "cell").filter(F.col("label") != F.col("large_label"))
+    both = labels.join(rows, ["cell", "label"]).join(large, ["cell", "large_label"])
+    ordered = F.struct("n", "node") < F.struct(F.col("large_n").alias("n"), F.col("large_node").alias("node"))
+    needed = THRESHOLD / (1 + THRESHOLD) * (F.col("n") + F.col("large_n")) - 1e-6
+    can = (F.col("n") >= THRESHOLD * F.col("large_n") - 1e-6) & (F.least(F.col("n") - F.col("at"), F.col("large_n") - F.col("large_at")) >= needed)
+    return both.filter(ordered & can).select(F.greatest("node", "large_node").alias("leader"), F.least("node", "large_node").alias("node")).distinct()
+
+
+def left_out(in_buckets: DataFrame, found: DataFrame, compared: DataFrame, cells: DataFrame) -> DataFrame:
+    """Verified links between members of one bucket whose classes the leaders left apart."""
+    labelled = in_buckets.select("band", "key", "node").join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = cut_lineage(labelled)
+    apart = labelled.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+    apart = apart.filter(F.col("low") != F.col("high")).drop("low", "high")
+    members = cut_lineage(labelled.join(apart, ["band", "key"]))
+    pairs = bucket_pairs(members.filter(F.col("members") <= SMALL))
+    large = cut_lineage(members.filter(F.col("members") > SMALL).select("node", "label").distinct())
+    if not large.isEmpty():
+        pairs = pairs.unionByName(rare_pairs(large, cells))
+    return verified(cut_lineage(pairs.distinct().join(compared, ["leader", "node"], "left_anti")), cells)
+
+
 def links(docs: DataFrame, sign: DataFrame) -> DataFrame:
     """Verified (leader, node) links between different texts."""
     nodes = sign.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
@@ -207,7 +284,7 @@ def links(docs: DataFrame, sign: DataFrame) -> DataFrame:
         if not first:  # a bucket stays open while its leaders find copies
             rest = rest.join(marked.filter("linked").select("band", "key").distinct(), ["band", "key"], "left_semi")
         open_, first = cut_lineage(rest), False
-    return found
+    return cut_lineage(found.unionByName(left_out(in_buckets, found, compared, cells)))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -65,6 +65,25 @@ def test_near_classes_equal_brute_force(spark, edge_docs, no_docs):
     assert neardup.near_classes(no_docs).count() == 0
 
 
+def template_texts():
+    """One template with a passage per text (0.75 to each other), and pairs that share the begin of the passage (just over 0.8)."""
+    template, rows = words_of(300, 300), []
+    for k in range(300):
+        shared = " ".join(f"p{k // 2}w{j}" for j in range(12)) if k < 160 else " ".join(f"q{k}w{j}" for j in range(12))
+        rows.append((7000 + k, f"{template} {shared} " + " ".join(f"t{k}w{j}" for j in range(38))))
+    # a is like the leader and like b, b is not like the leader
+    rows += [(7500 + k, " ".join([*words_of(301, 200).split()[12 * k :], *[f"c{k}w{j}" for j in range(12 * k)]])) for k in range(3)]
+    return rows
+
+
+def test_pairs_within_a_template_are_found(spark):
+    rows = template_texts()
+    groups = collections.defaultdict(list)
+    for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        groups[r["class_id"]].append(str(r["doc_id"]))
+    assert sorted(sorted(g) for g in groups.values()) == plain_classes(rows)
+
+
 def test_one_document_of_each_class_stays(spark, edge_docs, no_docs):
     kept = neardup.keep_one(edge_docs)
     assert kept.columns == edge_docs.columns
