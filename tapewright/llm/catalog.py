@@ -40,7 +40,7 @@ def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_classes(documents(spark, sf_dir)).drop("node")
+    return neardup.near_classes(documents(spark, sf_dir)).drop("node").withColumn("label", F.hex("label"))
 
 
 def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ comparison each. At similarity 0.8 a pair shares a bucket with probability 0.999
 class. Unlike texts of one template meet in the prefix join only where they share cells outside the template.
 
 Defined results: null texts and texts without a word are classes of one row; repeated rows share a class; ``class_id`` is
-the smallest non-null doc_id of the class (null if there is none); extra columns are ignored by ``near_classes`` and
+the smallest non-null doc_id of the class (null if there is none) and names a class only where ids are unique: ``label``, the smallest
+node of the class, tells classes apart where a doc_id is repeated with different texts or missing; extra columns are ignored by ``near_classes`` and
 kept by ``keep_one``, which keeps one row per class: of the smallest doc_id (nulls last); an empty table has no classes.
 """
 
@@ -303,7 +304,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, n_links (links of its text to other texts), node."""
+    """One row per document: doc_id, class_id, class_size, n_links (links of its text to other texts), node, label (smallest node of the class)."""
     sign = cut_lineage(signed(docs))
     found = links(docs, sign)
     labels = components(found)
@@ -313,8 +314,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     worded = sign.filter(F.size("bands") > 0).select("doc_id", "node").join(marks, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     worded = cut_lineage(worded)
     sizes = worded.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    classed = worded.join(sizes, "label").select("doc_id", "class_id", "class_size", "n_links", "node")
-    single = sign.filter(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("node"))
+    classed = worded.join(sizes, "label").select("doc_id", "class_id", "class_size", "n_links", "node", "label")
+    single = sign.filter(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("node"), F.lit(None).cast("binary").alias("label"))
     return classed.unionByName(single)
 
 
@@ -323,7 +324,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     classes = cut_lineage(near_classes(docs))
     node, rank, keep = private("node"), private("rank"), private("keep")
     # per class the text of its smallest doc_id (smallest text among equals)
-    best = classes.filter(F.col("node").isNotNull()).groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("alone"))
+    best = classes.filter(F.col("node").isNotNull()).groupBy("label")
     chosen = best.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("m")).select(F.col("m.doc_id").alias(keep), F.col("m.node").alias(node))
     tagged = docs.withColumn(private("of"), text_node(F.col("text")))
     joined = tagged.join(chosen, (F.col("doc_id").cast("long").eqNullSafe(F.col(keep))) & (F.col(private("of")) == F.col(node)))

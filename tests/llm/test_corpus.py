@@ -91,6 +91,16 @@ def test_one_document_of_each_class_stays(spark, edge_docs, no_docs):
     assert neardup.keep_one(no_docs).count() == 0
 
 
+def test_repeated_and_missing_ids_keep_classes_apart(spark):
+    first, second, third = words_of(310, 60).split(), words_of(311, 60), words_of(312, 60).split()
+    rows = [(1, " ".join(first)), (1, second), (2, " ".join([*first, "more"])), (None, " ".join(third)), (None, " ".join([*third, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.near_classes(docs).collect()
+    assert sorted(collections.Counter(bytes(r["label"]) for r in found).values()) == [1, 2, 2]
+    kept = sorted((str(r["doc_id"]), r["text"].split()[0]) for r in neardup.keep_one(docs).collect())
+    assert kept == sorted([("1", first[0]), ("1", second.split()[0]), ("None", third[0])])
+
+
 def test_dart_signatures_estimate_similarity():
     base = words_of(9, 900).split()
     texts = [" ".join(base), " ".join(base[:780] + words_of(10, 120).split()), " ".join(["again"] * 300), "one two"]
