@@ -155,6 +155,32 @@ def test_spelling_is_a_distribution():
     assert (spelled > 0).all() and spelled.sum() < 1
 
 
+def test_long_tokens_are_charged_for_every_byte():
+    import numpy as np
+
+    mixer = lmscore.Mixer(np.zeros((len(lmscore.ORDERS), 2, 1 << lmscore.TABLE_BITS), np.float32))
+    for value, slots in lmscore.Spelling([b"ab", b"ba"]).bits():
+        for k, slot in enumerate(slots):
+            np.add.at(mixer.counts[k], (value, slot), 1)
+    mixer.freeze()
+    word = bytes(np.random.default_rng(7).integers(33, 127, 3000, np.uint8))
+    plain = 0.0
+    for value, slots in lmscore.Spelling([word]).bits():
+        odds = np.stack([mixer.odds[k, s] for k, s in enumerate(slots)], axis=1)
+        chance = mixer.chance(odds, sum(mixer.seen[k, s].astype(int) for k, s in enumerate(slots)))[1]
+        plain += sum(math.log10(p if v else 1 - p) for v, p in zip(value, chance, strict=True))
+    assert plain < -2000
+    shares = lmscore.Shares(mixer, np.array([60, 40]), np.array([20, 10]), 25)
+    logs = shares.logs([word, b"ab"], np.array([[0, 3], [0, 0]]))
+    tail = math.log10(lmscore.DISCOUNT * 25 / 100) + plain
+    want = [tail, math.log10(lmscore.DISCOUNT * 20 / 60) + tail, math.log10(lmscore.DISCOUNT * 10 / 40) + tail]
+    assert np.allclose(logs[:, 0], want, rtol=1e-6)
+    one = lmscore.text_score(logs[:, :1], np.array([0]), np.array([0.2, 0.4, 0.4]))
+    assert abs(one - math.log10(sum(p * 10 ** (x - tail) for p, x in zip((0.2, 0.4, 0.4), want, strict=True))) - tail) < 1e-3
+    bare = lmscore.Shares(mixer, np.zeros(2), np.zeros(2), 0).logs([word], np.zeros((2, 1), int))
+    assert np.allclose(bare, plain, rtol=1e-6)
+
+
 def test_earlier_counts():
     import numpy as np
 
