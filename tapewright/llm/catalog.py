@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import chroma, langid, lmscore, mixing, neardup, phrases, pieces, quality, tokencount, warc
+from tapewright.llm import chroma, dualsearch, langid, lmscore, mixing, neardup, pairtree, phrases, pieces, quality, tokencount, warc, whitening
 from tapewright.llm.common import cut_lineage, documents, table
 
 #: Vocabulary files are found through the public package and never copied; each path is a parameter.
@@ -72,6 +72,18 @@ def op10_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kind", "id", "class_id", "class_size", "query_id", "offset", "hits", "overlap", "bit_error")
 
 
+def op11_pair_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairtree.summary(documents(spark, sf_dir), vocabulary(BYTE_BPE))
+
+
+def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualsearch.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_quality_forest": op2_quality_forest,
@@ -83,8 +95,12 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_context_mixing": op9_context_mixing,
     "op10_chroma_prints": op10_chroma_prints,
+    "op11_pair_tree": op11_pair_tree,
+    "op12_dual_tree_search": op12_dual_tree_search,
+    "op13_polarised_whitening": op13_polarised_whitening,
 }
 SQL: dict[str, str] = {
     "op3_poisson_mixture": mixing.oracle(),
     "op7_merkle_audit": warc.oracle(),
+    "op12_dual_tree_search": dualsearch.oracle(),
 }

@@ -79,12 +79,12 @@ def trimmed(function: Callable) -> Callable:
     return (one, two, three)[function.__code__.co_argcount - 1]
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a factory: what ``make`` sets up lives once per task, its result maps one batch."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, limit_bytes: int = 16_000_000) -> DataFrame:
+    """``mapInArrow`` with a factory: what ``make`` sets up lives once per task, its result maps one batch of ``limit_bytes`` at most (or one row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in arrow_rows(batches):
+        for batch in arrow_rows(batches, limit_bytes):
             out = step(batch)
             if out is not None and out.num_rows:
                 yield out
