@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import alerts
 from tapewright.plans import oracle_base as ob
-from tapewright.plans import views
+from tapewright.plans import registry, views
 from tapewright.plans.frames import frames
 from tapewright.plans.oracle_base import DAY, HOUR, r6
 from tapewright.plans.q_run import _MATCHES, PLAYBOOK
 from tapewright.plans.q_sources import _TOTALS, _totals, scratch
+from tapewright.plans.q_state import _BOOK_SQL, _CU
 from tapewright.plans.registry import register, rounded
+from tapewright.plans.views import SCALED
+from tapewright.session import cut_lineage
 from tapewright.sources import files
 from tapewright.streaming import ingest, state
+from tapewright.streaming.market import StreamParams, market_events, market_state
 
 _LOCK = threading.Lock()
 
@@ -123,6 +127,97 @@ register(
 )
 
 
+STREAMED = StreamParams(SCALED, pane_ms=12 * HOUR, candles=None)
+
+
+def _market(s, d):
+    """Final state per symbol of all six streams, interleaved in arrival order; run once per session."""
+    key = (s.sparkContext.applicationId, d, "streamed market")
+    if key not in views._TABLES:
+        events = market_events(
+            trades=views.trades_dup(s, d), quotes=views.quotes_onesided(s, d), books=views.books(s, d), contexts=views.contexts(s, d),
+            mids=views.mids(s, d), candles=views.candle_updates(s, d),
+        )
+        rows = collected(s, market_state(as_stream(s, events, "market", order="ingest_seq"), STREAMED), "update", "market")
+        payload = [c for c in rows.columns if c not in ("symbol", "batch")]
+        views._TABLES[key] = cut_lineage(rows.groupBy("symbol").agg(F.max_by(F.struct(*payload), "batch").alias("w")).select("symbol", "w.*"))
+    return views._TABLES[key]
+
+
+register(
+    "D14_streaming_quotes",
+    lambda s, d: _market(s, d).filter("quote_ts_ms IS NOT NULL").select("symbol", "quote_ts_ms", *rounded("bid_px", "bid_sz", "ask_px", "ask_sz")),
+    registry.SQL["D4_latest_quote"],
+)
+register("D14_streaming_merged_mid", lambda s, d: _market(s, d).filter("mid_px IS NOT NULL").select("symbol", *rounded("mid_px")), registry.SQL["D7_merged_mid"])
+register("D14_streaming_mids", lambda s, d: _market(s, d).filter("all_mids_px IS NOT NULL").select("symbol", *rounded("all_mids_px")), registry.SQL["D7_latest_mids"])
+register(
+    "D14_streaming_books",
+    lambda s, d: _market(s, d).filter("book_ts_ms IS NOT NULL").select(
+        "symbol", "book_ts_ms", F.expr("book_recv_ts_ns div 1000000").alias("book_recv_ms"),
+        (F.round(F.get_json_object("book_levels", "$.bids[0].price").cast("double"), 6) + 0).alias("best_bid"),
+    ),
+    registry.SQL["D5_latest_book"],
+)
+register(
+    "D14_streaming_contexts",
+    lambda s, d: _market(s, d).filter("context_recv_ts_ns IS NOT NULL").select("symbol", *rounded("day_ntl_vlm", "prev_day_px", "mark_px", "context_mid_px")),
+    registry.SQL["D6_latest_context"],
+)
+register(
+    "D14_streaming_candles",
+    lambda s, d: _market(s, d).filter("candles > 0").select("symbol", "candles", "closed_candles", "newest_open_ts_ms", *rounded("newest_close")),
+    ob.base(f"""{_CU}
+    , cl AS (SELECT *, EXISTS (SELECT 1 FROM cu x WHERE x.symbol = cw.symbol AND x.open_ts > cw.open_ts AND x.seq > cw.seq) AS closed FROM cw)
+    SELECT symbol, count(*) AS candles, count(*) FILTER (closed) AS closed_candles, max(open_ts) AS newest_open_ts_ms, {r6('arg_max(close, open_ts)')} AS newest_close FROM cl GROUP BY 1"""),
+)
+register(
+    "D14_streaming_clock",
+    lambda s, d: _market(s, d).select("symbol", "last_update_ms"),
+    ob.base(f"""{_BOOK_SQL}{_CU}
+    SELECT symbol, max(ms) AS last_update_ms FROM (
+      SELECT symbol, ts AS ms FROM trd UNION ALL SELECT symbol, ts FROM qt UNION ALL SELECT symbol, ts FROM cx UNION ALL SELECT symbol, ts FROM md
+      UNION ALL SELECT symbol, open_ts + {6 * HOUR - 1} FROM cu
+      UNION ALL SELECT symbol, ts FROM (SELECT *, max(recv) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) AS newest FROM bk) WHERE recv = newest)
+    GROUP BY 1"""),
+)
+
+# Windows end at the newest trade or quote of each symbol.
+_NOW = f""", {ob.ACCEPTED}
+    , nw AS (SELECT symbol, max(ts) AS now_ms FROM (SELECT symbol, ts FROM trd UNION ALL SELECT symbol, ts FROM qt) GROUP BY 1)"""
+_QUOTE_SQL = ob.FEATURES[ob.FEATURES.index("qwin AS (") : ob.FEATURES.index("mu AS (")].strip().rstrip(",")
+_FROM_QUOTES = f"{_NOW}, qseen AS (SELECT q.*, now_ms FROM qt q JOIN nw USING (symbol)), {_QUOTE_SQL}"
+register(
+    "F18_streaming_imbalance",
+    lambda s, d: _market(s, d).filter("quote_ts_ms IS NOT NULL").select("symbol", "now_ms", *rounded("bbo_ofi_proxy_30s", digits=3)),
+    ob.base(f"{_FROM_QUOTES} SELECT symbol, now_ms, round(ofi, 3) + 0 AS bbo_ofi_proxy_30s FROM nw LEFT JOIN ofi USING (symbol, now_ms) WHERE symbol IN (SELECT symbol FROM qt)"),
+)
+register(
+    "F18_streaming_resilience",
+    lambda s, d: _market(s, d).select("symbol", "spread_recovery_ms", "resilience_state", *rounded("spread_shock_bps")),
+    ob.base(f"""{_FROM_QUOTES}
+    SELECT symbol, spread_recovery_ms, coalesce(resilience_state, 'unknown') AS resilience_state, {r6('spread_shock_bps')} AS spread_shock_bps FROM nw LEFT JOIN shock USING (symbol, now_ms)"""),
+)
+_Z = "CASE WHEN count(*) >= 3 AND stddev_pop({0}) FILTER (open_ts < last) > 0 THEN (max({0}) FILTER (open_ts = last) - avg({0}) FILTER (open_ts < last)) / stddev_pop({0}) FILTER (open_ts < last) ELSE 0 END"
+register(
+    "F18_streaming_candle_z",
+    lambda s, d: _market(s, d).filter("candles > 0").select("symbol", *rounded("volume_z_1h", "trade_count_z_1h")),
+    ob.base(f"""{_CU}
+    , z AS (SELECT *, max(open_ts) OVER (PARTITION BY symbol) AS last FROM cw)
+    SELECT symbol, {r6(_Z.format('volume_base'))} AS volume_z_1h, {r6(_Z.format('trade_count'))} AS trade_count_z_1h FROM z GROUP BY 1"""),
+)
+register(
+    "F18_streaming_returns",
+    lambda s, d: _market(s, d).filter("last_trade_ts_ms IS NOT NULL").select(
+        "symbol", "now_ms", *rounded("ret_1m", "ret_5m", "ret_1h", "rv_1m", "rv_5m", "rv_1h"), *rounded("signed_notional_flow_30s", digits=3)
+    ),
+    ob.base(f"""{_NOW}, seen AS (SELECT t.*, now_ms FROM kept t JOIN nw USING (symbol)), {ob._window('1m', 6 * HOUR)}, {ob._window('5m', DAY)}, {ob._window('1h', 7 * DAY)}
+    , flow AS (SELECT symbol, now_ms, sum(CASE WHEN side = 'buy' THEN notional ELSE -notional END) AS flow FROM seen WHERE ts >= now_ms - {3 * DAY} GROUP BY 1, 2)
+    SELECT symbol, now_ms, {', '.join(f'{r6(f"a_{w}.ret")} AS ret_{w}, {r6(f"coalesce(a_{w}.rv, 0)")} AS rv_{w}' for w in ('1m', '5m', '1h'))}, round(flow, 3) + 0 AS signed_notional_flow_30s
+    FROM nw LEFT JOIN a_1m USING (symbol, now_ms) LEFT JOIN a_5m USING (symbol, now_ms) LEFT JOIN a_1h USING (symbol, now_ms) LEFT JOIN flow USING (symbol, now_ms) WHERE symbol IN (SELECT symbol FROM kept)"""),
+)
+
+
 def _rolling(s, d):
     tape = as_stream(s, views.trades_dup(s, d), "rolling", order="exchange_ts_ms")
     rows = collected(s, ingest.rolling_flow(tape, "2 days", "1 day", "31 days"), "update", "rolling")

@@ -1,4 +1,4 @@
-"""Keyed streaming state: exact per-symbol trade state with window features, and alert cooldowns.
+"""Keyed streaming state: per-symbol trade state with window features (``market`` has all streams), and alert cooldowns.
 
 Both run on ``transformWithStateInPandas`` with the RocksDB state store. Rows of a key arrive as an
 iterator of Arrow batches. Alerts put the batches of a key and micro-batch together before they sort them, so
@@ -7,7 +7,6 @@ that results do not depend on the Arrow batch size.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,96 +16,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tapewright.operators.alerts import cooldown_pass
+from tapewright.operators.features import FeatureParams
+from tapewright.streaming.market import StreamParams, market_events, market_state
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 }
 HOUR_MS = 3_600_000
 
-FEATURE_SCHEMA = (
-    "symbol string, last_update_ms bigint, last_trade_price double, duplicate_trade_count bigint, retained bigint, "
-    "ret double, rv double, flow double"
-)
-TRADE_COLUMNS = ["symbol", "exchange_ts_ms", "ingest_seq", "unique_trade_id", "side", "price", "notional"]
-
-
-class SymbolTrades(StatefulProcessor):
-    """Deduplicated, time-ordered trades of the retention window plus lifetime scalars.
+def symbol_state(trades: DataFrame, window_ms: int, flow_ms: int, retention_ms: int = HOUR_MS) -> DataFrame:
+    """Trades alone: state and window features as of the symbol's newest trade, one row per symbol and micro-batch.
 
-    Late trades are inserted where they belong and never move the last price backwards; anything older
-    than the retention before the newest trade is dropped on arrival, without counting as a duplicate.
+    Late trades are inserted where they belong and never move the last price backwards; anything older than the retention before the
+    newest trade is dropped on arrival, without counting as a duplicate.
     """
-
-    def __init__(self, window_ms: int, flow_ms: int, retention_ms: int = HOUR_MS) -> None:
-        self.window_ms, self.flow_ms, self.retention_ms = window_ms, flow_ms, retention_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "newest bigint, price double, duplicates bigint")
-        self.kept = handle.getValueState("kept", "ts array<bigint>, id array<string>, px array<double>, amount array<double>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest, price, duplicates = self.totals.get() if self.totals.exists() else (None, None, 0)
-        ts, ids, px, amount = (list(c) for c in self.kept.get()) if self.kept.exists() else ([], [], [], [])
-        known = set(ids)
-        for batch in rows:
-            for row in batch.sort_values("ingest_seq").itertuples(index=False):
-                at = int(row.exchange_ts_ms)
-                newest = at if newest is None else max(newest, at)
-                cutoff = newest - self.retention_ms
-                stale = bisect.bisect_left(ts, cutoff)
-                if stale:
-                    known.difference_update(ids[:stale])
-                    del ts[:stale], ids[:stale], px[:stale], amount[:stale]
-                if at < cutoff:
-                    continue
-                if row.unique_trade_id in known:
-                    duplicates += 1
-                    continue
-                known.add(row.unique_trade_id)
-                if at >= newest:
-                    price = float(row.price)
-                place = bisect.bisect_right(ts, at)
-                ts.insert(place, at)
-                ids.insert(place, row.unique_trade_id)
-                px.insert(place, float(row.price))
-                amount.insert(place, float(row.notional) if row.side == "buy" else -float(row.notional))
-        self.totals.update((newest, price, duplicates))
-        self.kept.update((ts, ids, px, amount))
-        yield self._features(key[0], newest, price, duplicates, ts, px, amount)
-
-    def _features(self, symbol, newest, price, duplicates, ts, px, amount) -> pd.DataFrame:
-        inside = np.array(px[bisect.bisect_left(ts, newest - self.window_ms):])
-        steps = np.diff(inside) / inside[:-1] if len(inside) > 1 else np.array([])
-        flow = amount[bisect.bisect_left(ts, newest - self.flow_ms):]
-        return pd.DataFrame(
-            {
-                "symbol": [symbol],
-                "last_update_ms": [newest],
-                "last_trade_price": [price],
-                "duplicate_trade_count": [duplicates],
-                "retained": [len(ts)],
-                "ret": [inside[-1] / inside[0] - 1 if len(inside) > 1 else None],
-                "rv": [float(np.std(steps)) if len(inside) > 2 else 0.0],
-                "flow": [float(sum(flow)) if flow else None],
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def symbol_state(trades: DataFrame, window_ms: int, flow_ms: int, retention_ms: int = HOUR_MS) -> DataFrame:
-    """One row per symbol and micro-batch: state and window features as of the symbol's newest trade."""
-    return (
-        trades.select(*TRADE_COLUMNS)
-        .groupBy("symbol")
-        .transformWithStateInPandas(
-            statefulProcessor=SymbolTrades(window_ms, flow_ms, retention_ms),
-            outputStructType=FEATURE_SCHEMA,
-            outputMode="Update",
-            timeMode="None",
-        )
-    )
+    windows = FeatureParams(returns_ms=(("w", window_ms),), flow_ms=flow_ms, retention_ms=retention_ms)
+    params = StreamParams(windows, pane_ms=max(1, min(window_ms, flow_ms) // 8))
+    rows = market_state(market_events(trades=trades), params)
+    kept = ["symbol", "last_update_ms", "last_trade_price", "duplicate_trade_count", "retained"]
+    renamed = {"ret": "ret_w", "rv": "rv_w", "flow": "signed_notional_flow_30s"}
+    return rows.select(*kept, *[F.col(old).alias(new) for new, old in renamed.items()])
 
 
 ALERT_SCHEMA = (
