@@ -14,12 +14,12 @@ own, and so on while leaders of the bucket find copies. Links form classes (conn
 with pointer jumping; labels are written between rounds).
 
 Buckets that still hold more than one class are then finished without loss, linked members included: in a bucket of up to SMALL
-members all pairs of different classes are compared; members of larger ones are joined by their rarest cells (prefix filter
-with sizes and positions, which keeps every pair that can reach the threshold) and the pairs that remain are compared.
+members all pairs of different classes are compared; members of larger ones are joined by the rarest of their differences from the
+bucket's leader (prefix filter, see ``rare_pairs``, which keeps every pair that can reach the threshold) and the pairs that remain are compared.
 
 Bounds: a bucket costs its size times the number of leaders that find copies; a group of thousands of copies costs one
 comparison each. At similarity 0.8 a pair shares a bucket with probability 0.99995 (25 bands of 5); pairs that share one end in one
-class. Unlike texts of one template meet in the prefix join only where they share cells outside the template.
+class. Unlike texts of one template meet in the prefix join only where they share differences from it.
 
 Defined results: null texts and texts without a word are classes of one row; repeated rows share a class; ``class_id`` is
 the smallest non-null doc_id of the class (null if there is none) and names a class only where ids are unique: ``label``, the smallest
@@ -49,6 +49,8 @@ DARTS = K * math.log(K) + 2 * K
 SMALL = 8
 #: Counters that order cells by rarity in the prefix filter; two cells in one counter cost time only.
 RARITY_SLOTS = 1 << 20
+#: Text bytes that are hashed at a time: cells and darts take about twelve times as much.
+BATCH_BYTES = 2_000_000
 #: Distinct words whose hashes one Python process remembers (a memo only).
 MEMO = 500_000
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -154,11 +156,11 @@ def signed(docs: DataFrame) -> DataFrame:
         return step
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node(F.col("text")).alias("node"), F.col("text").cast("string").alias("text"))
-    return map_rows(source, make, "doc_id long, node binary, bands array<long>")
+    return map_rows(source, make, "doc_id long, node binary, bands array<long>", BATCH_BYTES)
 
 
 def cell_sets(texts: DataFrame) -> DataFrame:
-    """node, cells (32-bit hashes, distinct) of the given (node, text) rows."""
+    """node, cells (distinct) of the given (node, text) rows."""
 
     def make():
         hashes = WordHashes()
@@ -166,12 +168,12 @@ def cell_sets(texts: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, cell = cells_of(batch.column(1).to_pylist(), hashes)
             cut = np.searchsorted(row, np.arange(1, batch.num_rows))
-            sets = [np.unique((x >> np.uint64(32)).astype(np.uint32).view(np.int32)) for x in np.split(cell, cut)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "cells"])
+            sets = [np.unique(x.view(np.int64)) for x in np.split(cell, cut)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "cells"])
 
         return step
 
-    return map_rows(texts.select("node", "text"), make, "node binary, cells array<int>")
+    return map_rows(texts.select("node", "text"), make, "node binary, cells array<long>", BATCH_BYTES)
 
 
 def verified(pairs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -197,62 +199,93 @@ def bucket_pairs(members: DataFrame) -> DataFrame:
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
-    """How many of the sets have a cell, by counters of fixed number."""
-    slot = F.pmod(F.col("cell"), F.lit(RARITY_SLOTS))
-    counted = sets.select(F.explode("cells").alias("cell")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    """How many of the sets have an element, by counters of fixed number."""
+    slot = F.pmod(F.col("element"), F.lit(RARITY_SLOTS))
+    counted = sets.select(F.explode("elements").alias("element")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     out = np.zeros(RARITY_SLOTS, np.int32)
     out[counted.column("slot").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 2**31 - 1)
     return out
 
 
-def rare_pairs(nodes: DataFrame, cells: DataFrame) -> DataFrame:
+def edits(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """leader, node, label, n (cells), elements: in what the node's cells differ from those of the leader.
+
+    An element is the hash of the leader, a cell and whether the node has it instead of the leader.
+    """
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        elements, sizes = [], []
+        for leader, own, base in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True):
+            own, base = np.array(own, np.int64), np.array(base, np.int64)
+            seed = np.uint64(xxhash.xxh3_64_intdigest(leader))
+            added, gone = (np.setdiff1d(x, y, assume_unique=True).view(np.uint64) for x, y in ((own, base), (base, own)))
+            elements.append(mixed(np.concatenate([added * MULTIPLIERS[1], gone * MULTIPLIERS[2]]) + seed).view(np.int64))
+            sizes.append(len(own))
+        columns = [*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(elements, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["leader", "node", "label", "n", "elements"])
+
+    base = cells.select(F.col("node").alias("leader"), F.col("cells").alias("leader_cells"))
+    both = members.join(cells, "node").join(base, "leader").select("leader", "node", "label", "cells", "leader_cells")
+    return map_rows(both, lambda: step, "leader binary, node binary, label binary, n int, elements array<long>", BATCH_BYTES)
+
+
+def rare_pairs(members: DataFrame, cells: DataFrame) -> DataFrame:
     """Every pair (leader, node) with different labels that can reach the threshold, and few others.
 
-    Cells are put in one order, rarest first. Of a similar pair the first common cell is among the first n - ceil(T n) + 1
-    of the larger set and the first m - ceil(2 T / (1 + T) m) + 1 of the smaller one, and enough cells follow it in both.
+    ``members``: (leader, node, label), the leader of a bucket with its members. Two nodes whose differences from the leader have nothing in common are
+    at most as similar to each other as the less similar of the two is to the leader; so a similar pair, of which one is no
+    copy of the leader, shares differences: with e and f differences, n and m cells, at least (e + f - (n + m) (1 - T) / (1 + T)) / 2,
+    and at least one. What all members of a family share drops out, however many they are. Differences are put in
+    one order, rarest first, and a pair meets in the first ones (prefix filter), under a condition on sizes and places.
+    Members of the leader's most frequent label never meet each other.
     """
-    sets = cut_lineage(nodes.join(cells, "node").select("node", "label", "cells"))
+    sets = cut_lineage(edits(members, cells))
     often = sets.sparkSession.sparkContext.broadcast(rarity(sets))  # fixed by RARITY_SLOTS
+    labels = sets.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("k"), F.min(F.size("elements")).alias("e"))
+    main = labels.groupBy("leader").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.min("e").alias("least"))
+    other = labels.join(main, "leader").filter(F.col("label") != F.col("main")).groupBy("leader").agg(F.min("e").alias("least_other"))
+    known = sets.join(main.join(other, "leader"), "leader")
+    is_main = F.col("label") == F.col("main")
+    known = known.select("node", "label", "n", "elements", is_main.alias("main"), F.when(is_main, F.col("least_other")).otherwise(F.col("least")).alias("least"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, sizes, places, kept, small = [], [], [], [], []
-        for k, own in enumerate(batch.column(2).to_pylist()):
+        rows, places, kept, sizes = [], [], [], []
+        for k, (n, own, least) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 5)), strict=True)):
             own = np.array(own, np.int64)
-            n = len(own)
-            count = often.value[own % RARITY_SLOTS]
-            at = np.arange(n - math.ceil(THRESHOLD * n - 1e-6) + 1)
+            # a partner has at most n / T cells and differs from this node in at most n (1 - T) / T
+            common = max(1, math.ceil((len(own) + least - n * (1 - THRESHOLD) / THRESHOLD) / 2 - 1e-6), math.ceil(len(own) - n * (1 - THRESHOLD) / THRESHOLD - 1e-6))
+            count = often.value[np.mod(own, RARITY_SLOTS)]
+            at = np.arange(max(0, len(own) - common + 1))
             first = np.lexsort((own, count))[at]
             at, first = at[count[first] > 1], first[count[first] > 1]
             rows.append(np.full(len(at), k))
-            sizes.append(np.full(len(at), n))
             places.append(at)
             kept.append(own[first])
-            small.append(at < n - math.ceil(2 * THRESHOLD / (1 + THRESHOLD) * n - 1e-6) + 1)
-        row = np.concatenate(rows)
-        columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), *map(pa.array, (np.concatenate(kept).astype(np.int32), np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32), np.concatenate(small)))]
-        return pa.RecordBatch.from_arrays(columns, ["node", "label", "cell", "n", "at", "small"])
-
-    rows = cut_lineage(map_rows(sets, lambda: step, "node binary, label binary, cell int, n int, at int, small boolean"))
-    large = rows.select("cell", *[F.col(c).alias(f"large_{c}") for c in ("node", "label", "n", "at")])
-    rows = rows.filter("small").drop("small")
-    # labels meet first, so that members of one class are never paired
-    labels = rows.select("cell", "label").distinct().join(large.select("cell", "large_label").distinct(), "cell").filter(F.col("label") != F.col("large_label"))
-    both = labels.join(rows, ["cell", "label"]).join(large, ["cell", "large_label"])
-    ordered = F.struct("n", "node") < F.struct(F.col("large_n").alias("n"), F.col("large_node").alias("node"))
-    needed = THRESHOLD / (1 + THRESHOLD) * (F.col("n") + F.col("large_n")) - 1e-6
-    can = (F.col("n") >= THRESHOLD * F.col("large_n") - 1e-6) & (F.least(F.col("n") - F.col("at"), F.col("large_n") - F.col("large_at")) >= needed)
-    return both.filter(ordered & can).select(F.greatest("node", "large_node").alias("leader"), F.least("node", "large_node").alias("node")).distinct()
+            sizes.append(np.full(len(at), len(own)))
+        row = pa.array(np.concatenate(rows))
+        taken = [batch.column(c).take(row) for c in (0, 1, 2, 4)]
+        return pa.RecordBatch.from_arrays([*taken, pa.array(np.concatenate(kept)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (sizes, places))], ["node", "label", "n", "main", "element", "e", "at"])
+
+    rows = cut_lineage(map_rows(known, lambda: step, "node binary, label binary, n int, main boolean, element long, e int, at int", BATCH_BYTES))
+    one = rows.filter("NOT main").select("element", *[F.col(c).alias(f"one_{c}") for c in ("node", "label", "n", "e", "at")])
+    needed = (F.col("one_e") + F.col("e") - (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("one_n") + F.col("n"))) / 2 - 1e-6
+    like = (F.least("one_n", "n") >= THRESHOLD * F.greatest("one_n", "n") - 1e-6) & (F.least(F.col("one_e") - F.col("one_at"), F.col("e") - F.col("at")) >= needed)
+    once = F.col("main") | (F.col("one_node") > F.col("node"))
+    met = one.join(rows, (one["element"] == rows["element"]) & (F.col("one_label") != F.col("label")) & once & like)
+    return met.select(F.greatest("one_node", "node").alias("leader"), F.least("one_node", "node").alias("node")).distinct()
 
 
 def left_out(in_buckets: DataFrame, found: DataFrame, compared: DataFrame, cells: DataFrame) -> DataFrame:
     """Verified links between members of one bucket whose classes the leaders left apart."""
-    labelled = in_buckets.select("band", "key", "node").join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = in_buckets.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = cut_lineage(labelled)
     apart = labelled.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
     apart = apart.filter(F.col("low") != F.col("high")).drop("low", "high")
     members = cut_lineage(labelled.join(apart, ["band", "key"]))
     pairs = bucket_pairs(members.filter(F.col("members") <= SMALL))
-    large = cut_lineage(members.filter(F.col("members") > SMALL).select("node", "label").distinct())
+    hubs = members.filter(F.col("members") > SMALL)
+    led = hubs.join(led_by(hubs), ["band", "key"])
+    large = cut_lineage(led.filter(F.col("node") != F.col("leader")).select("leader", "node", "label").distinct())  # leaders are compared
     if not large.isEmpty():
         pairs = pairs.unionByName(rare_pairs(large, cells))
     return verified(cut_lineage(pairs.distinct().join(compared, ["leader", "node"], "left_anti")), cells)
@@ -285,7 +318,7 @@ def links(docs: DataFrame, sign: DataFrame) -> DataFrame:
         if not first:  # a bucket stays open while its leaders find copies
             rest = rest.join(marked.filter("linked").select("band", "key").distinct(), ["band", "key"], "left_semi")
         open_, first = cut_lineage(rest), False
-    return cut_lineage(found.unionByName(left_out(in_buckets, found, compared, cells)))
+    return cut_lineage(found.unionByName(left_out(in_buckets.drop("n").join(weights, "node"), found, compared, cells)))
 
 
 def components(edges: DataFrame) -> DataFrame:
