@@ -1,10 +1,10 @@
 """Window features and feature snapshots: one row per symbol and decision time.
 
-Decision times are a regular grid (one time is a grid of length one). A tick is paired with the grid
-points whose window can see it by arithmetic on the row (``sequence`` + ``explode``), right before a
-hash aggregation, so the copies are combined map-side and never shuffled. Adjacent-pair terms use a
-``prev`` column computed once over the whole tape: a pair belongs to window [t - w, t] when its later
-trade is not after t and its earlier trade is not before t - w.
+Decision times are a regular grid (one time is a grid of length one; both take the same path). Ticks are added up
+per pane once and windows are joined from panes (``sliding``); no tick is copied per decision time. Adjacent-pair terms
+use a ``prev`` column computed once over the whole tape: a pair belongs to window [t - w, t] when its later trade
+is not after t and its earlier trade is not before t - w, that is all pairs of the window's trades but the first one's, which is taken
+off again. Newest values and running totals of all streams are found together (``as_of``).
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql.window import Window
 from tapewright.functions import book
 from tapewright.functions.common import half_sign, signed
 from tapewright.operators import metrics, scoring, state
-from tapewright.operators.ordered import ordered_scan
-from tapewright.operators.timegrid import DecisionTimes, asof, asof_sum, grid, visible
+from tapewright.operators.ordered import no_hot_key, ordered_scan
+from tapewright.operators.sliding import pane_of, sliding
+from tapewright.operators.timegrid import DecisionTimes, Newest, Total, as_of, grid
 
 
 @dataclass(frozen=True)
@@ -64,67 +65,107 @@ class Market:
         return seen.distinct()
 
 
-# Wider than any tape: a single decision time then looks at everything before it in one pass.
-UNBOUNDED_MS = 2**42
-
 # --- trade windows ------------------------------------------------------------------------------
 
-def scan_trades(trades: DataFrame) -> DataFrame:
+def scan_trades(trades: DataFrame, all_small: bool = False) -> DataFrame:
     """Trades with ``prev`` (price, time of the trade before) in time order, arrival on ties."""
     return ordered_scan(
-        trades, ["symbol"], "exchange_ts_ms", "ingest_seq", previous=["price", "exchange_ts_ms"], position="_pos"
+        trades, ["symbol"], "exchange_ts_ms", "ingest_seq", previous=["price", "exchange_ts_ms"], position="_pos", all_small=all_small
     )
 
 
-def window_return(inside: Column, price: str = "price", pos: str = "_pos") -> Column:
-    """Aggregate: first-to-last return of the rows inside; needs two of them."""
-    order = F.when(inside, F.col(pos))
-    ret = book.simple_return(F.min_by(price, order), F.max_by(price, order))
-    return F.when(F.count_if(inside) >= 2, ret)
+RETURN_PARTS = {"n", "first", "last", "steps", "step_sum", "step_squares"}
+FLOW_PARTS = {"n", "flow"}
 
 
-def realized_vol(inside: Column, pair_inside: Column) -> Column:
-    """Aggregate: population deviation of adjacent returns; 0 below three trades."""
+def trade_parts() -> dict[str, tuple[str, Column]]:
+    """What a window adds up over its trades (``scan_trades``)."""
     step = book.simple_return(F.col("prev.price"), F.col("price"))
-    return F.when(F.count_if(inside) < 3, F.lit(0.0)).otherwise(F.stddev_pop(F.when(pair_inside, step)))
+    return {
+        "n": ("sum", F.lit(1).cast("long")),
+        "first": ("min", F.struct("_pos", "price", step.alias("step"))),
+        "last": ("max", F.struct("_pos", "price")),
+        "steps": ("sum", F.when(step.isNotNull(), 1).otherwise(0).cast("long")),
+        "step_sum": ("sum", step),
+        "step_squares": ("sum", step * step),
+        "flow": ("sum", signed("side", "notional")),
+    }
 
 
-def _inside(window_ms: int) -> tuple[Column, Column]:
-    since = F.col("now_ms") - window_ms
-    inside = F.col("exchange_ts_ms") >= since
-    pair = F.coalesce(F.col("prev.exchange_ts_ms") >= since, F.lit(False))
-    return inside, pair
+#: A variance up to this share of the mean square is rounding.
+ROUNDING = 1e-13
 
 
-def trade_windows(
-    scanned: DataFrame, times: DecisionTimes, p: FeatureParams = FeatureParams(), extra: list[Column] = ()
-) -> DataFrame:
-    """Returns and realised volatility per window and signed flow, per symbol and decision time.
+def deviation(n: Column, total: Column, squares: Column) -> Column:
+    """Population deviation from a count, a sum and a sum of squares; 0 where only rounding is left."""
+    mean_square = squares / n
+    variance = mean_square - F.pow(total / n, 2)
+    return F.when(n > 0, F.when(variance > mean_square * ROUNDING, F.sqrt(variance)).otherwise(F.lit(0.0)))
 
-    ``extra`` aggregates ride along in the same pass; they see every tick up to a single decision time.
-    """
-    longest = max(p.flow_ms, *(w for _, w in p.returns_ms))
-    aggs = list(extra)
+
+def window_return(w: Column) -> Column:
+    """First-to-last return of a window; needs two trades."""
+    return F.when(w["n"] >= 2, book.simple_return(w["first"]["price"], w["last"]["price"]))
+
+
+def realized_vol(w: Column) -> Column:
+    """Population deviation of adjacent returns inside a window; 0 below three trades."""
+    own = w["first"]["step"]  # reaches back before the window
+    off = F.coalesce(own, F.lit(0.0))
+    spread = deviation(w["steps"] - F.when(own.isNotNull(), 1).otherwise(0), w["step_sum"] - off, w["step_squares"] - off * off)
+    return F.when(w["n"] >= 3, spread).otherwise(F.lit(0.0))
+
+
+def tape_windows(
+    scanned: DataFrame, times: DecisionTimes, p: FeatureParams, frame: DataFrame | None = None, with_metrics: bool = False, all_small: bool = False
+) -> DataFrame:
+    """Returns and realised volatility per window and signed flow, per symbol and decision time; on demand also the inputs of the trade metrics."""
+    windows: dict[int, set[str]] = {}
+
+    def want(ms: int, names: set[str]) -> None:
+        windows[ms] = windows.get(ms, set()) | names
+
+    for _, ms in p.returns_ms:
+        want(ms, RETURN_PARTS)
+    want(p.flow_ms, FLOW_PARTS)
+    parts = trade_parts()
+    if with_metrics:
+        parts |= metrics.metric_parts()
+        want(p.vwap_ms, metrics.SHORT_PARTS)
+        want(p.roll_ms, metrics.LONG_PARTS)
+        want(p.flow_ms, metrics.FLOW_PARTS)
+        near = scanned.filter((F.col("exchange_ts_ms") >= times.start_ms - max(windows)) & (F.col("exchange_ts_ms") <= times.end_ms))
+        kept = near.select("symbol", "exchange_ts_ms", "tid", "side", "price", "size", "notional", "_pos", F.col("prev.price").alias("_before"))
+        # the scan by trade id has a ``prev`` of its own
+        scanned = metrics.metric_scan(kept, all_small)
+        step = book.simple_return(F.col("_before"), F.col("price"))
+        parts |= {
+            "first": ("min", F.struct("_pos", "price", step.alias("step"))),
+            "steps": ("sum", F.when(step.isNotNull(), 1).otherwise(0).cast("long")),
+            "step_sum": ("sum", step),
+            "step_squares": ("sum", step * step),
+        }
+    rows = sliding(scanned, "exchange_ts_ms", times, windows, parts, frame)
+    out = []
     for label, ms in p.returns_ms:
-        inside, pair = _inside(ms)
-        aggs.append(window_return(inside).alias(f"ret_{label}"))
-        aggs.append(realized_vol(inside, pair).alias(f"rv_{label}"))
-    flow_inside, _ = _inside(p.flow_ms)
-    aggs.append(F.sum(F.when(flow_inside, signed("side", "notional"))).alias("signed_notional_flow_30s"))
-    if extra:
-        seen = visible(scanned, "exchange_ts_ms", times, UNBOUNDED_MS)
-    else:
-        seen = visible(scanned, "exchange_ts_ms", times, longest)
-    return seen.groupBy("symbol", "now_ms").agg(*aggs)
+        out += [window_return(F.col(f"w{ms}")).alias(f"ret_{label}"), realized_vol(F.col(f"w{ms}")).alias(f"rv_{label}")]
+    out.append(F.col(f"w{p.flow_ms}.flow").alias("signed_notional_flow_30s"))
+    if with_metrics:
+        out += [c.alias(name) for name, c in metrics.metric_columns(p).items()]
+    return rows.select("symbol", "now_ms", *out)
+
+
+def trade_windows(scanned: DataFrame, times: DecisionTimes, p: FeatureParams = FeatureParams()) -> DataFrame:
+    """``tape_windows`` of trades that were scanned by ``scan_trades``."""
+    return tape_windows(scanned, times, p)
 
 
 def history_return_and_vol(scanned: DataFrame) -> DataFrame:
     """Return and realised volatility over the whole tape given."""
-    everything, pair = F.lit(True), F.col("prev").isNotNull()
+    step = book.simple_return(F.col("prev.price"), F.col("price"))
     first, last = F.min_by("price", "_pos"), F.max_by("price", "_pos")
-    return scanned.groupBy("symbol").agg(
-        book.simple_return(first, last).alias("ret_all"), realized_vol(everything, pair).alias("rv_all")
-    )
+    spread = F.when(F.count(F.lit(1)) < 3, F.lit(0.0)).otherwise(F.stddev_pop(step))
+    return scanned.groupBy("symbol").agg(book.simple_return(first, last).alias("ret_all"), spread.alias("rv_all"))
 
 
 # --- quote windows ------------------------------------------------------------------------------
@@ -143,44 +184,63 @@ def queue_change(before: Column, now: Column, side: str) -> Column:
 QUOTE = ["exchange_ts_ms", "bid_price", "bid_size", "ask_price", "ask_size"]
 
 
-def quote_windows(quotes: DataFrame, times: DecisionTimes, p: FeatureParams = FeatureParams()) -> DataFrame:
+def quote_windows(
+    quotes: DataFrame, times: DecisionTimes, p: FeatureParams = FeatureParams(), frame: DataFrame | None = None, all_small: bool = False
+) -> DataFrame:
     """Order-flow imbalance and spread-shock resilience over all quotes of the windows.
 
     Imbalance is a sum over adjacent quotes, whose earlier one is known from one ordered scan. The shock is the first
-    widest spread; the median before it comes from counts per distinct spread and their running sums, so no window
-    is gathered in one row.
+    widest spread; only where it is wide enough, and not the first, the median before it is asked for: the quotes of
+    the panes between are joined with those windows and counted per distinct spread on the spot, so that counts are shuffled, not quotes.
     """
     on = ["symbol", "now_ms"]
     narrow = quotes.select("symbol", "ingest_seq", *QUOTE)
-    scanned = ordered_scan(narrow, ["symbol"], "exchange_ts_ms", "ingest_seq", previous=QUOTE, position="_pos")
+    scanned = ordered_scan(narrow, ["symbol"], "exchange_ts_ms", "ingest_seq", previous=QUOTE, position="_pos", all_small=all_small)
     change = queue_change(F.col("prev"), F.struct(*QUOTE), "bid") + queue_change(F.col("prev"), F.struct(*QUOTE), "ask")
     marked = scanned.select(
-        "symbol", "exchange_ts_ms", "_pos", F.col("prev.exchange_ts_ms").alias("_prev_ms"), change.alias("_change"),
-        book.spread_bps("bid_price", "ask_price").alias("bps"),
+        "symbol", "exchange_ts_ms", "_pos", change.alias("_change"), book.spread_bps("bid_price", "ask_price").alias("bps")
+    )
+    valid = F.col("bps").isNotNull()
+    parts = {
+        "n": ("sum", F.lit(1).cast("long")),
+        "first": ("min", F.struct("_pos", F.col("_change").alias("change"))),
+        "change": ("sum", F.col("_change")),
+        "spreads": ("sum", F.when(valid, 1).otherwise(0).cast("long")),
+        "earliest": ("min", F.when(valid, F.col("_pos"))),
+        "top": ("max", F.when(valid, F.struct("bps", (-F.col("_pos")).alias("back"), F.col("exchange_ts_ms").alias("ts")))),
+        "newest": ("max", F.when(valid, F.struct("_pos", "bps", F.col("exchange_ts_ms").alias("ts")))),
+    }
+    windows: dict[int, set[str]] = {p.flow_ms: {"n", "first", "change"}}
+    windows[p.shock_ms] = windows.get(p.shock_ms, set()) | {"spreads", "earliest", "top", "newest"}
+    flow, shock = F.col(f"w{p.flow_ms}"), F.col(f"w{p.shock_ms}")
+    rows = sliding(marked, "exchange_ts_ms", times, windows, parts, frame).select(
+        *on,
+        F.when(flow["n"] >= 2, flow["change"] - flow["first"]["change"]).alias("bbo_ofi_proxy_30s"),
+        F.coalesce(shock["spreads"], F.lit(0)).alias("_n"), shock["top"].alias("_top"), shock["newest"].alias("_last"), shock["earliest"].alias("_earliest"),
     )
-    seen = visible(marked, "exchange_ts_ms", times, max(p.flow_ms, p.shock_ms))
-    in_flow = F.col("exchange_ts_ms") >= F.col("now_ms") - p.flow_ms
-    in_pair = F.coalesce(F.col("_prev_ms") >= F.col("now_ms") - p.flow_ms, F.lit(False))
-    in_shock = (F.col("exchange_ts_ms") >= F.col("now_ms") - p.shock_ms) & F.col("bps").isNotNull()
-    spread = F.struct("bps", (-F.col("_pos")).alias("back"), F.col("exchange_ts_ms").alias("ts"))
-    rows = seen.groupBy(*on).agg(
-        F.when(F.count_if(in_flow) >= 2, F.coalesce(F.sum(F.when(in_pair, F.col("_change"))), F.lit(0.0))).alias("bbo_ofi_proxy_30s"),
-        F.count_if(in_shock).alias("_n"),
-        F.max(F.when(in_shock, spread)).alias("_top"),
-        F.max_by(spread, F.when(in_shock, F.col("_pos"))).alias("_last"),
+    base = median_before(marked, rows, times, p.shock_ms)
+    return spread_resilience(rows.join(base, on, "left"), p).select(
+        *on, "bbo_ofi_proxy_30s", "spread_shock_bps", "spread_recovery_ms", "resilience_state"
     )
-    tops = rows.filter("_n > 1").select(*on, (-F.col("_top.back")).alias("_at"))
-    before = seen.filter(in_shock).join(tops, on).filter(F.col("_pos") < F.col("_at"))
+
+
+def median_before(marked: DataFrame, rows: DataFrame, times: DecisionTimes, window_ms: int) -> DataFrame:
+    """_base: the median spread before the first widest one, of the windows that can hold a shock."""
+    on = ["symbol", "now_ms"]
+    wide = rows.filter((F.col("_top.bps") >= SHOCK_MIN_BPS) & (-F.col("_top.back") > F.col("_earliest")))
+    since = F.col("now_ms") - window_ms
+    panes = F.sequence(F.ceil((since - times.start_ms) / F.lit(times.step_ms)), F.ceil((F.col("_top.ts") - times.start_ms) / F.lit(times.step_ms)))
+    asked = wide.select(*on, since.alias("_since"), (-F.col("_top.back")).alias("_at"), F.explode(panes).alias("_k"))
+    held = marked.filter(F.col("bps").isNotNull() & (F.col("exchange_ts_ms") >= times.start_ms - window_ms) & (F.col("exchange_ts_ms") <= times.end_ms))
+    held = held.select("symbol", pane_of("exchange_ts_ms", times).alias("_k"), "exchange_ts_ms", "_pos", "bps")
+    before = held.join(asked, ["symbol", "_k"]).filter((F.col("exchange_ts_ms") >= F.col("_since")) & (F.col("_pos") < F.col("_at")))
     counts = before.groupBy(*on, "bps").agg(F.count(F.lit(1)).alias("_c"))
     window = Window.partitionBy(*on)
     up_to = F.sum("_c").over(window.orderBy("bps").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumns({"_up": up_to, "_all": F.sum("_c").over(window)})
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     holds = [(F.col("_up") >= k) & (F.col("_up") - F.col("_c") < k) for k in (low, high)]
-    base = ranked.groupBy(*on).agg(((F.max(F.when(holds[0], F.col("bps"))) + F.max(F.when(holds[1], F.col("bps")))) / 2).alias("_base"))
-    return spread_resilience(rows.join(base, on, "left"), p).select(
-        *on, "bbo_ofi_proxy_30s", "spread_shock_bps", "spread_recovery_ms", "resilience_state"
-    )
+    return ranked.groupBy(*on).agg(((F.max(F.when(holds[0], F.col("bps"))) + F.max(F.when(holds[1], F.col("bps")))) / 2).alias("_base"))
 
 
 # Fixed values of the spread-shock rule.
@@ -229,41 +289,56 @@ def adverse_selection_proxy(resilience: str, flow: str, ofi: str, depth: str) ->
 
 # --- candle anomalies ---------------------------------------------------------------------------
 
-def candle_z(candles: DataFrame) -> DataFrame:
-    """z-score of the newest candle's volume and count against earlier candles of its interval.
+def candle_scores(candles: DataFrame, times: DecisionTimes, frame: DataFrame) -> DataFrame:
+    """The frame with ``volume_z_1h``, ``trade_count_z_1h`` and ``_candle_ms`` (newest close) as of each decision time.
 
-    Expects the output of ``upsert_candles``.
+    An update counts from its receive time on. Per candle the update with the newest receive time up to the decision time is in force; the
+    newest candle (over all intervals) is scored against the earlier candles of its interval. An update adds the difference to
+    the one it replaces, so that numbers, sums and squares are running totals, for one time as for a grid.
     """
-    whole = Window.partitionBy("symbol")
-    newest = F.max_by(
-        F.struct("interval", "open_ts_ms", "volume_base", "trade_count"),
-        F.struct("open_ts_ms", "ingest_seq"),
-    ).over(whole)
-    rows = candles.withColumn("_new", newest)
-    earlier = (F.col("interval") == F.col("_new.interval")) & (F.col("open_ts_ms") < F.col("_new.open_ts_ms"))
-
-    def z(value: str) -> Column:
-        base = F.when(earlier, F.col(value).cast("double"))
-        spread = F.stddev_pop(base)
-        latest = F.first("_new")[value].cast("double")
-        return F.when((F.count(base) >= 2) & (spread > 0), (latest - F.avg(base)) / spread).otherwise(F.lit(0.0))
-
-    return rows.groupBy("symbol").agg(
-        z("volume_base").alias("volume_z_1h"), z("trade_count").alias("trade_count_z_1h")
-    )
+    on = ["symbol", "now_ms"]
+    received = candles.withColumn("_recv_ms", F.expr("recv_ts_ns div 1000000"))
+    version = Window.partitionBy("symbol", "interval", "open_ts_ms").orderBy("recv_ts_ns", "ingest_seq")
+    old = F.lag(F.struct("volume_base", "trade_count")).over(version)
+    updates = received.select("symbol", "interval", "_recv_ms", "volume_base", F.col("trade_count").cast("double").alias("trade_count"), old.alias("_old"))
+    zero = F.lit(0.0)
+
+    def added(name: str, power: int) -> Column:
+        now, before = F.col(name), F.col(f"_old.{name}").cast("double")
+        return F.coalesce(F.pow(now, power), zero) - F.coalesce(F.pow(before, power), zero)
+
+    def known(name: str) -> Column:
+        return (F.when(F.col(name).isNotNull(), 1).otherwise(0) - F.when(F.col(f"_old.{name}").isNotNull(), 1).otherwise(0)).cast("long")
+
+    names = ("volume_base", "trade_count")
+    totals = [Total(f"_{kind}_{c}", updates, "_recv_ms", value) for c in names for kind, value in (("n", known(c)), ("s", added(c, 1)), ("q", added(c, 2)))]
+    newest = Newest(
+        "_new", received, "_recv_ms", ("open_ts_ms", "recv_ts_ns", "ingest_seq"),
+        {"interval": F.col("interval"), "volume_base": F.col("volume_base"), "trade_count": F.col("trade_count").cast("double")},
+    )
+    clock = Newest("_close", received, "_recv_ms", ("close_ts_ms",), {"ms": F.col("close_ts_ms")})
+    rows = as_of(frame, [newest, clock], times).withColumns({"interval": F.col("_new.interval"), "_candle_ms": F.col("_close.ms")})
+    kinds = candles.select("symbol", "interval").distinct()
+    sums = as_of(frame.select(*on).join(kinds, "symbol"), totals, times, ("symbol", "interval"))
 
+    def z(name: str) -> Column:
+        own = F.col(f"_new.{name}")
+        n = F.col(f"_n_{name}") - F.when(own.isNotNull(), 1).otherwise(0)
+        total, squares = F.col(f"_s_{name}") - F.coalesce(own, zero), F.col(f"_q_{name}") - F.coalesce(own * own, zero)
+        spread = F.when(n >= 2, deviation(n, total, squares))
+        return F.when(F.col("_new").isNotNull(), F.when(spread > 0, (own - total / n) / spread).otherwise(zero))
 
-def candle_z_series(candles: DataFrame) -> DataFrame:
-    """The same score for every candle as if it were the newest (one interval per symbol and row)."""
-    earlier = Window.partitionBy("symbol", "interval").orderBy("open_ts_ms").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(sums.select(*on, "interval", *[piece.name for piece in totals]), [*on, "interval"], "left")
+    scores = {"volume_z_1h": z("volume_base"), "trade_count_z_1h": z("trade_count")}
+    return joined.withColumns(scores).drop("interval", "_new", "_close", *[piece.name for piece in totals])
 
-    def z(value: str) -> Column:
-        v = F.col(value).cast("double")
-        spread = F.stddev_pop(v).over(earlier)
-        enough = (F.count(v).over(earlier) >= 2) & (spread > 0)
-        return F.when(enough, (v - F.avg(v).over(earlier)) / spread).otherwise(F.lit(0.0))
 
-    return candles.withColumn("volume_z_1h", z("volume_base")).withColumn("trade_count_z_1h", z("trade_count"))
+def candle_z(candles: DataFrame) -> DataFrame:
+    """z-scores of each symbol's newest candle after all updates."""
+    last = candles.agg(F.max(F.expr("recv_ts_ns div 1000000")).alias("ms")).first()["ms"]
+    times = DecisionTimes.at(last if last is not None else 0)
+    frame = candles.select("symbol").distinct().withColumn("now_ms", F.lit(times.start_ms).cast("long"))
+    return candle_scores(candles, times, frame).select("symbol", "volume_z_1h", "trade_count_z_1h")
 
 
 # --- snapshots ----------------------------------------------------------------------------------
@@ -295,74 +370,49 @@ class SnapshotOptions:
 
 
 def snapshots_at(market: Market, times: DecisionTimes, options: SnapshotOptions = SnapshotOptions()) -> DataFrame:
-    """Feature snapshot of every symbol at every decision time."""
+    """Feature snapshot of every symbol at every decision time, seeing what had happened or been received by then."""
     p = options.params
-    base = grid(market.universe(), times)
-    scanned = scan_trades(market.trades)
+    on = ["symbol", "now_ms"]
+    frame = grid(market.universe(), times)
+    streams = [df for df in (market.trades, market.quotes, market.contexts, market.mids, market.books) if df is not None]
+    all_small = no_hot_key(streams, ["symbol"])
+    scanned = scan_trades(market.trades, all_small)
+    recv_ms = F.expr("recv_ts_ns div 1000000")
 
     # Sparse means fewer than two trades within the retention of the newest one.
     second = F.col("prev.exchange_ts_ms") >= F.col("exchange_ts_ms") - p.retention_ms
-    newest = [F.col("price"), F.col("exchange_ts_ms").alias("ts"), F.coalesce(second, F.lit(False)).alias("paired")]
-    on = ["symbol", "now_ms"]
-    if times.count == 1:
-        rides = [F.max_by(c, F.col("_pos")).alias(f"_last_{name}") for name, c in zip(("price", "ts", "paired"), newest)]
-        windows = trade_windows(scanned, times, p, rides)
-        trade = F.struct(*[F.col(f"_last_{name}").alias(name) for name in ("price", "ts", "paired")])
-        rows = base.join(windows, on, "left").withColumn("_trade", trade)
-    else:
-        rows = asof(scanned, "exchange_ts_ms", ["_pos"], newest, "_trade", base, times)
-        rows = rows.join(trade_windows(scanned, times, p), on, "left")
-    if market.duplicates is not None:
-        rows = rows.join(market.duplicates, "symbol", "left")
-    else:
-        rows = asof_sum(market.trades, "exchange_ts_ms", F.col("copies"), "duplicate_trade_count", rows, times)
-    rows = asof(
-        market.quotes, "exchange_ts_ms", ["exchange_ts_ms", "ingest_seq"],
-        [F.col(c) for c in ("exchange_ts_ms", "bid_price", "bid_size", "ask_price", "ask_size")],
-        "_quote", rows, times,
-    )
-    rows = asof(
-        state.mid_updates(market.quotes, market.mids), "visible_ms", ["ingest_seq"],
-        [F.col("mid"), F.col("visible_ms")], "_mid", rows, times,
-    )
+    quote = {c: F.col(c) for c in QUOTE}
+    pieces: list[Newest | Total] = [
+        Newest("_trade", scanned, "exchange_ts_ms", ("exchange_ts_ms", "ingest_seq"), {"price": F.col("price"), "ts": F.col("exchange_ts_ms"), "paired": F.coalesce(second, F.lit(False))}),
+        Newest("_quote", market.quotes, "exchange_ts_ms", ("exchange_ts_ms", "ingest_seq"), quote),
+        Newest("_mid", state.mid_updates(market.quotes, market.mids, all_small), "visible_ms", ("ingest_seq",), {"mid": F.col("mid")}),
+    ]
     clocks = [F.col("_trade.ts"), F.col("_quote.exchange_ts_ms")]
-    recv = market.contexts
-    if recv is not None:
-        recv = recv.withColumn("visible_ms", F.expr("recv_ts_ns div 1000000"))
-        rows = asof(
-            recv, "visible_ms", ["recv_ts_ns", "ingest_seq"],
-            [F.col("visible_ms"), F.col("day_ntl_vlm"), F.col("mark_px")], "_context", rows, times,
-        )
-        rows = rows.join(state.first_context_mid(market.contexts), "symbol", "left")
+    if market.duplicates is None:
+        pieces.append(Total("duplicate_trade_count", market.trades, "exchange_ts_ms", F.col("copies")))
+    if market.contexts is not None:
+        seen = market.contexts.withColumn("visible_ms", recv_ms)
+        fields = {c: F.col(c) for c in ("visible_ms", "day_ntl_vlm", "mark_px")}
+        pieces.append(Newest("_context", seen, "visible_ms", ("recv_ts_ns", "ingest_seq"), fields))
+        pieces.append(Newest("_fallback", state.first_context_mid(market.contexts, all_small), "fallback_ms", ("fallback_ms",), {"mid": F.col("fallback_mid")}))
         clocks.append(F.when(F.col("_context.visible_ms") > 0, F.col("_context.visible_ms")))
-        mark, volume = F.col("_context.mark_px"), F.col("_context.day_ntl_vlm")
-        fallback = F.when(F.col("fallback_ms") <= F.col("now_ms"), F.col("fallback_mid"))
+        mark, volume, fallback = F.col("_context.mark_px"), F.col("_context.day_ntl_vlm"), F.col("_fallback.mid")
     else:
         mark = volume = fallback = F.lit(None).cast("double")
     if market.mids is not None:
-        seen = market.mids.withColumn("visible_ms", F.expr("recv_ts_ns div 1000000")).filter("visible_ms > 0")
-        rows = asof(seen, "visible_ms", ["visible_ms"], [F.col("visible_ms")], "_mids", rows, times)
+        seen = market.mids.withColumn("visible_ms", recv_ms).filter("visible_ms > 0")
+        pieces.append(Newest("_mids", seen, "visible_ms", ("visible_ms",), {"visible_ms": F.col("visible_ms")}))
         clocks.append(F.col("_mids.visible_ms"))
     if market.books is not None:
-        current = state.current_on_arrival(market.books, "recv_ts_ns")
-        rows = asof(current, "exchange_ts_ms", ["exchange_ts_ms"], [F.col("exchange_ts_ms")], "_book", rows, times)
+        current = state.current_on_arrival(market.books, "recv_ts_ns", all_small)
+        pieces.append(Newest("_book", current, "exchange_ts_ms", ("exchange_ts_ms",), {"exchange_ts_ms": F.col("exchange_ts_ms")}))
         clocks.append(F.col("_book.exchange_ts_ms"))
+    rows = as_of(frame, pieces, times)
+    if market.duplicates is not None:
+        rows = rows.join(market.duplicates, "symbol", "left")
     if market.candles is not None:
-        if times.count == 1:
-            received = market.candles.filter(F.expr("recv_ts_ns div 1000000") <= times.start_ms)
-            kept = state.upsert_candles(received)
-            newest_close = received.groupBy("symbol").agg(F.max("close_ts_ms").alias("_candle_ms"))
-            rows = rows.join(candle_z(kept), "symbol", "left").join(newest_close, "symbol", "left")
-            clocks.append(F.col("_candle_ms"))
-        else:
-            series = candle_z_series(state.upsert_candles(market.candles))
-            rows = asof(
-                series.withColumn("visible_ms", F.greatest(F.expr("recv_ts_ns div 1000000"), F.col("close_ts_ms"))),
-                "visible_ms", ["open_ts_ms", "ingest_seq"],
-                [F.col("visible_ms"), F.col("volume_z_1h"), F.col("trade_count_z_1h")], "_candle", rows, times,
-            )
-            rows = rows.withColumns({c: F.col(f"_candle.{c}") for c in ("volume_z_1h", "trade_count_z_1h")})
-            clocks.append(F.col("_candle.visible_ms"))
+        rows = rows.join(candle_scores(market.candles, times, frame), on, "left")
+        clocks.append(F.col("_candle_ms"))
     else:
         empty = F.lit(None).cast("double")
         rows = rows.withColumns({"volume_z_1h": empty, "trade_count_z_1h": empty})
@@ -372,8 +422,8 @@ def snapshots_at(market: Market, times: DecisionTimes, options: SnapshotOptions
     else:
         rows = rows.withColumn("has_gap", F.lit(False))
 
-    rows = rows.join(quote_windows(market.quotes, times, p), on, "left")
-    rows = rows.join(metrics.trade_metrics(market.trades, times, p), on, "left")
+    rows = rows.join(quote_windows(market.quotes, times, p, frame, all_small), on, "left")
+    rows = rows.join(tape_windows(scanned, times, p, frame, with_metrics=True, all_small=all_small), on, "left")
 
     vols = {f"rv_{label}": F.coalesce(F.col(f"rv_{label}"), F.lit(0.0)) for label, _ in p.returns_ms}
     rows = rows.withColumns(

@@ -12,7 +12,6 @@ from tapewright.errors import ContractError
 from tapewright.functions import book
 from tapewright.functions.common import signed
 from tapewright.operators.ordered import ordered_scan
-from tapewright.operators.timegrid import visible
 
 METRIC_TYPE = "struct<name:string,support:string,value:double,unit:string,reason:string>"
 
@@ -66,51 +65,73 @@ BAD_INPUT_REASON = {
 }
 
 
-def trade_metrics(trades: DataFrame, times, p) -> DataFrame:
-    """Raw values and observation counts of the trade-based metrics, per symbol and decision time.
+def metric_scan(trades: DataFrame, all_small: bool = False) -> DataFrame:
+    """Trades with ``prev``, ``prev2`` and ``next`` in (time, trade id) order.
 
-    These metrics order trades by (time, trade id), unlike the return windows, which keep arrival
-    order on equal times; hence their own scan, over the shorter windows only.
+    These metrics order trades by trade id on equal times, unlike the return windows, which keep arrival
+    order; hence their own scan.
     """
-    longest = max(p.vwap_ms, p.roll_ms, p.flow_ms)
-    near = trades.filter(
-        (F.col("exchange_ts_ms") >= times.start_ms - longest) & (F.col("exchange_ts_ms") <= times.end_ms)
-    ).select("symbol", "exchange_ts_ms", "tid", "side", "price", "size", "notional")
-    scanned = ordered_scan(
-        near, ["symbol"], "exchange_ts_ms", "tid", previous=["price", "exchange_ts_ms"], depth=2, position="_pos"
-    )
-    ts = F.col("exchange_ts_ms")
-
-    def since(window_ms: int) -> tuple[Column, Column, Column]:
-        start = F.col("now_ms") - window_ms
-        two = F.coalesce(F.col("prev.exchange_ts_ms") >= start, F.lit(False))
-        three = F.coalesce(F.col("prev2.exchange_ts_ms") >= start, F.lit(False))
-        return ts >= start, two, three
-
-    price, prev, prev2 = F.col("price"), F.col("prev.price"), F.col("prev2.price")
-    one, _, _ = since(p.vwap_ms)
-    roll, _, roll3 = since(p.roll_ms)
-    flow, _, _ = since(p.flow_ms)
-    first, last = (agg("price", F.when(one, F.col("_pos"))) for agg in (F.min_by, F.max_by))
-    step, step_before = book.simple_return(prev, price), book.simple_return(prev2, prev)
-    usable = flow & (F.abs("notional") < float("inf")) & (F.col("notional") > 0)
-    return (
-        visible(scanned, "exchange_ts_ms", times, longest)
-        .groupBy("symbol", "now_ms")
-        .agg(
-            F.count_if(one).alias("m_n_short"),
-            F.count_if(roll).alias("m_n_long"),
-            F.count_if(flow).alias("m_n_flow"),
-            F.sum(F.when(one, F.col("size"))).alias("m_size"),
-            F.sum(F.when(one, price * F.col("size"))).alias("m_px_size"),
-            F.sum(F.when(one, F.col("notional"))).alias("m_notional"),
-            book.simple_return(first, last).alias("m_ret"),
-            F.avg(F.when(roll3, (prev - prev2) * (price - prev))).alias("m_cov"),
-            F.sum(F.when(roll3, F.abs(step_before) * F.abs(step))).alias("m_bipower"),
-            F.sum(F.when(usable, F.col("notional"))).alias("m_abs_flow"),
-            F.sum(F.when(usable, signed("side", "notional"))).alias("m_net_flow"),
-        )
-    )
+    return ordered_scan(trades, ["symbol"], "exchange_ts_ms", "tid", previous=["price"], depth=2, position="_mpos", following=["price"], all_small=all_small)
+
+
+SHORT_PARTS = {"m_n", "m_size", "m_px_size", "m_notional", "m_first", "m_last"}
+LONG_PARTS = {"m_n", "m_first", "m_triples", "m_cov", "m_bipower"}
+FLOW_PARTS = {"m_n", "m_gross", "m_net"}
+
+
+def metric_parts() -> dict[str, tuple[str, Column]]:
+    """What a window adds up over its trades (``metric_scan``); triples end at the trade of the row."""
+    price, prev, prev2, after = F.col("price"), F.col("prev.price"), F.col("prev2.price"), F.col("next.price")
+    cov = (prev - prev2) * (price - prev)
+    bipower = F.abs(book.simple_return(prev2, prev)) * F.abs(book.simple_return(prev, price))
+    next_cov = (price - prev) * (after - price)
+    next_bipower = F.abs(book.simple_return(prev, price)) * F.abs(book.simple_return(price, after))
+    usable = (F.abs("notional") < float("inf")) & (F.col("notional") > 0)
+    first = F.struct("_mpos", price.alias("price"), cov.alias("cov"), bipower.alias("bipower"), next_cov.alias("next_cov"), next_bipower.alias("next_bipower"))
+    return {
+        "m_n": ("sum", F.lit(1).cast("long")),
+        "m_size": ("sum", F.col("size")),
+        "m_px_size": ("sum", price * F.col("size")),
+        "m_notional": ("sum", F.col("notional")),
+        "m_first": ("min", first),
+        "m_last": ("max", F.struct("_mpos", price.alias("price"))),
+        "m_triples": ("sum", F.when(cov.isNotNull(), 1).otherwise(0).cast("long")),
+        "m_cov": ("sum", cov),
+        "m_bipower": ("sum", bipower),
+        "m_gross": ("sum", F.when(usable, F.col("notional"))),
+        "m_net": ("sum", F.when(usable, signed("side", "notional"))),
+    }
+
+
+def metric_columns(p) -> dict[str, Column]:
+    """Raw values and observation counts of the trade-based metrics from the windows of ``sliding``.
+
+    Triples that reach back before the window are those of its first two trades; they are taken off again.
+    """
+    short, long, flow = (F.col(f"w{ms}") for ms in (p.vwap_ms, p.roll_ms, p.flow_ms))
+    two = long["m_n"] >= 2
+
+    def inside(total: Column, name: str) -> Column:
+        first = long["m_first"]
+        return total - F.coalesce(first[name], F.lit(0.0)) - F.when(two, F.coalesce(first[f"next_{name}"], F.lit(0.0))).otherwise(F.lit(0.0))
+
+    def missing(name: str) -> Column:
+        return F.when(long["m_first"][name].isNotNull(), 1).otherwise(0)
+
+    triples = long["m_triples"] - missing("cov") - F.when(two, missing("next_cov")).otherwise(0)
+    return {
+        "m_n_short": F.coalesce(short["m_n"], F.lit(0).cast("long")),
+        "m_n_long": F.coalesce(long["m_n"], F.lit(0).cast("long")),
+        "m_n_flow": F.coalesce(flow["m_n"], F.lit(0).cast("long")),
+        "m_size": short["m_size"],
+        "m_px_size": short["m_px_size"],
+        "m_notional": short["m_notional"],
+        "m_ret": book.simple_return(short["m_first"]["price"], short["m_last"]["price"]),
+        "m_cov": F.when(triples > 0, inside(long["m_cov"], "cov") / triples),
+        "m_bipower": F.when(triples > 0, F.greatest(inside(long["m_bipower"], "bipower"), F.lit(0.0))),
+        "m_abs_flow": flow["m_gross"],
+        "m_net_flow": flow["m_net"],
+    }
 
 
 def _enough(count: str, floor: int) -> Column:

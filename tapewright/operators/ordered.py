@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,13 @@ def hot_key_cuts(df: DataFrame, keys: list[str], ts: str, seq: str) -> DataFrame
     return spark.createDataFrame(cuts.collect(), cuts.schema)
 
 
+def no_hot_key(tables: list[DataFrame], keys: list[str]) -> bool:
+    """Whether no key of any of the tables needs chunks: one job for all of them."""
+    counts = [t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select("_n") for t in tables]
+    largest = reduce(DataFrame.union, counts).agg(F.max("_n").alias("_n")).first()["_n"] or 0
+    return largest <= rows_per_chunk(tables[0])
+
+
 def split_hot_keys(df: DataFrame, keys: list[str], ts: str, seq: str) -> tuple[DataFrame, bool]:
     """Add ``_chunk`` (ascending along (ts, seq) within a key) and ``_hot``; tells whether any key is hot.
 
@@ -122,15 +130,18 @@ def ordered_scan(
     depth: int = 1,
     running_max: dict[str, str] | None = None,
     position: str | None = None,
+    following: list[str] = (),
+    all_small: bool = False,
 ) -> DataFrame:
     """One pass in (ts, seq) order per key, exact across chunk borders.
 
     ``previous`` adds struct ``prev`` (and ``prev2`` for depth 2) with those columns of the rows
-    before; ``running_max`` adds inclusive running maxima; ``position`` adds a number that grows
-    along the order (usable as the order key of ``min_by``/``max_by`` in hash aggregation).
+    before; ``following`` adds struct ``next`` of the row after; ``running_max`` adds inclusive running maxima; ``position`` adds a
+    number that grows along the order (usable as the order key of ``min_by``/``max_by`` in hash aggregation). ``all_small`` says that
+    ``no_hot_key`` has been asked before.
     """
     running_max = running_max or {}
-    tagged, any_hot = split_hot_keys(df, keys, ts, seq)
+    tagged, any_hot = (df.withColumn("_chunk", F.lit(0).cast("long")), False) if all_small else split_hot_keys(df, keys, ts, seq)
     order = Window.partitionBy(*keys, "_chunk").orderBy(ts, seq)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -139,11 +150,13 @@ def ordered_scan(
         added["_l1"] = F.lag(F.struct(*previous), 1).over(order)
         if depth == 2:
             added["_l2"] = F.lag(F.struct(*previous), 2).over(order)
+    if following:
+        added["_n1"] = F.lead(F.struct(*following), 1).over(order)
     for name, source in running_max.items():
         added[f"_m_{name}"] = F.max(source).over(so_far)
     local = tagged.withColumns(added)
     if not any_hot:
-        return _finish_scan(local, previous, depth, running_max, position)
+        return _finish_scan(local, previous, depth, running_max, position, following)
 
     # One row per chunk of a hot key. Depth 1 needs no ordering of the rows, so it is a partial
     # aggregate over the scan; depth 2 also needs the row before the last one of each chunk.
@@ -153,6 +166,8 @@ def ordered_scan(
     if previous:
         last = F.struct(F.struct(*previous).alias("row"), *([F.col("_l1").alias("before")] if deep else []))
         edge_aggs.append(F.max_by(last, F.struct(ts, seq)).alias("_e_last"))
+    if following:
+        edge_aggs.append(F.min_by(F.struct(*following), F.struct(ts, seq)).alias("_e_first"))
     for name, source in running_max.items():
         edge_aggs.append(F.max(source).alias(f"_e_{name}"))
     chunk_order = Window.partitionBy(*keys).orderBy("_chunk")
@@ -167,6 +182,8 @@ def ordered_scan(
                     F.lag("_e_last.row", 2).over(chunk_order),
                 ).alias("_c2")
             )
+    if following:
+        carry_cols.append(F.lead("_e_first", 1).over(chunk_order).alias("_cn"))
     for name in running_max:
         carry_cols.append(F.max(f"_e_{name}").over(earlier).alias(f"_c_{name}"))
     out = local
@@ -174,10 +191,10 @@ def ordered_scan(
         carry = edge_rows.groupBy(*keys, "_chunk").agg(*edge_aggs).select(*keys, "_chunk", *carry_cols)
         out = local.join(F.broadcast(carry), [*keys, "_chunk"], "left")
 
-    return _finish_scan(out, previous, depth, running_max, position)
+    return _finish_scan(out, previous, depth, running_max, position, following)
 
 
-def _finish_scan(out: DataFrame, previous, depth: int, running_max: dict[str, str], position: str | None) -> DataFrame:
+def _finish_scan(out: DataFrame, previous, depth: int, running_max: dict[str, str], position: str | None, following) -> DataFrame:
     """Merge the in-chunk values with what was carried over the chunk border, drop the helpers."""
     carried = set(out.columns)
 
@@ -192,11 +209,13 @@ def _finish_scan(out: DataFrame, previous, depth: int, running_max: dict[str, st
             if "_c1" in carried:
                 border = F.when(F.col("_l1").isNull(), F.col("_c2")).otherwise(F.col("_c1"))
                 final["prev2"] = F.coalesce(F.col("_l2"), border)
+    if following:
+        final["next"] = both("_n1", "_cn", F.coalesce)
     for name in running_max:
         final[name] = both(f"_m_{name}", f"_c_{name}", F.greatest)
     if position:
         final[position] = F.col("_chunk") * F.lit(2**40) + F.col("_rn")
-    helpers = ["_chunk", "_hot", "_rn", "_l1", "_l2", "_c1", "_c2"]
+    helpers = ["_chunk", "_hot", "_rn", "_l1", "_l2", "_c1", "_c2", "_n1", "_cn"]
     helpers += [f"_m_{n}" for n in running_max] + [f"_c_{n}" for n in running_max]
     return out.withColumns(final).drop(*helpers)
 

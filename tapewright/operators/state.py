@@ -103,9 +103,9 @@ def quote_history(quotes: DataFrame, cap: int | None = None) -> DataFrame:
     return _capped(quotes, ["symbol"], order, cap)
 
 
-def current_on_arrival(df: DataFrame, time_col: str) -> DataFrame:
+def current_on_arrival(df: DataFrame, time_col: str, all_small: bool = False) -> DataFrame:
     """Rows that were not older than anything seen before them (ties count as current)."""
-    scanned = ordered_scan(df, ["symbol"], "ingest_seq", "ingest_seq", running_max={"_newest": time_col})
+    scanned = ordered_scan(df, ["symbol"], "ingest_seq", "ingest_seq", running_max={"_newest": time_col}, all_small=all_small)
     return scanned.filter(F.col(time_col) == F.col("_newest")).drop("_newest")
 
 
@@ -134,12 +134,12 @@ def latest_mids(mids: DataFrame) -> DataFrame:
     return _latest(mids, ["recv_ts_ns", "ingest_seq"], fields, ["symbol"])
 
 
-def mid_updates(quotes: DataFrame | None, mids: DataFrame | None) -> DataFrame:
+def mid_updates(quotes: DataFrame | None, mids: DataFrame | None, all_small: bool = False) -> DataFrame:
     """Every accepted mid update in one stream: two-sided current quotes and current all-mids rows."""
     parts = []
     if quotes is not None:
         parts.append(
-            current_on_arrival(quotes, "exchange_ts_ms")
+            current_on_arrival(quotes, "exchange_ts_ms", all_small)
             .filter(F.col("bid_price").isNotNull() & F.col("ask_price").isNotNull())
             .select(
                 "symbol",
@@ -150,17 +150,17 @@ def mid_updates(quotes: DataFrame | None, mids: DataFrame | None) -> DataFrame:
         )
     if mids is not None:
         parts.append(
-            current_on_arrival(mids, "recv_ts_ns").select(
+            current_on_arrival(mids, "recv_ts_ns", all_small).select(
                 "symbol", "ingest_seq", F.expr("recv_ts_ns div 1000000").alias("visible_ms"), "mid"
             )
         )
     return reduce(DataFrame.unionByName, parts)
 
 
-def first_context_mid(contexts: DataFrame) -> DataFrame:
+def first_context_mid(contexts: DataFrame, all_small: bool = False) -> DataFrame:
     """The first accepted non-null context mid: the fallback while no quote or all-mids set one."""
     return (
-        current_on_arrival(contexts, "recv_ts_ns")
+        current_on_arrival(contexts, "recv_ts_ns", all_small)
         .filter(F.col("mid_px").isNotNull())
         .groupBy("symbol")
         .agg(

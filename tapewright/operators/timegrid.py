@@ -1,20 +1,26 @@
-"""Decision-time grids: which ticks a decision time can see, and the newest row as of each time."""
+"""Decision-time grids, and the newest values and running totals as of each time."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Longer than any tape: the step of a grid with a single point.
+WHOLE_TAPE_MS = 2**42
+#: Grid points of one symbol that one task fills forward.
+POINTS_PER_BLOCK = 4096
+
 
 @dataclass(frozen=True)
 class DecisionTimes:
     """Grid ``start, start + step, ...`` of ``count`` decision times (epoch milliseconds)."""
 
     start_ms: int
-    step_ms: int = 1
+    step_ms: int = WHOLE_TAPE_MS
     count: int = 1
 
     @property
@@ -31,21 +37,6 @@ class DecisionTimes:
         return DecisionTimes(int(first_ms), int(step_ms), -(-(last_ms - first_ms) // step_ms) + 1)
 
 
-def visible(df: DataFrame, ts: str, times: DecisionTimes, window_ms: int) -> DataFrame:
-    """One row per (tick, decision time that sees it): ``now - window <= ts <= now``."""
-    within = df.filter((F.col(ts) >= times.start_ms - window_ms) & (F.col(ts) <= times.end_ms))
-    if times.count == 1:
-        return within.withColumn("now_ms", F.lit(times.start_ms).cast("long"))
-    first = F.greatest(F.ceil((F.col(ts) - times.start_ms) / times.step_ms), F.lit(0).cast("long"))
-    last = F.least(
-        F.floor((F.col(ts) + window_ms - times.start_ms) / times.step_ms), F.lit(times.count - 1).cast("long")
-    )
-    points = F.when(first <= last, F.sequence(first, last))
-    return within.withColumn("_g", F.explode(points)).withColumn(
-        "now_ms", F.col("_g") * times.step_ms + times.start_ms
-    ).drop("_g")
-
-
 def grid(symbols: DataFrame, times: DecisionTimes) -> DataFrame:
     """A row per symbol and decision time, also for symbols without any tick yet."""
     points = F.sequence(F.lit(0).cast("long"), F.lit(times.count - 1).cast("long"))
@@ -60,34 +51,60 @@ def first_seen_at(ts: str, times: DecisionTimes) -> Column:
     return index * times.step_ms + times.start_ms
 
 
-def asof(df: DataFrame, ts: str, order: list[str], fields: list[Column], name: str, frame: DataFrame, times: DecisionTimes) -> DataFrame:
-    """Add struct ``name`` = the newest row at each decision time.
+@dataclass(frozen=True)
+class Newest:
+    """The row that is greatest by ``order`` among those with ``ts`` up to a decision time: a struct of ``fields``."""
+
+    name: str
+    df: DataFrame
+    ts: str
+    order: tuple[str, ...]
+    fields: dict[str, Column]
+
+    def column(self) -> Column:
+        return F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(self.order)], *[c.alias(n) for n, c in self.fields.items()])
+
+    merge = staticmethod(F.max)
+
 
-    Ticks collapse to one row per (symbol, pane) first; the fill-forward window then runs over the
-    grid, whose size per symbol is the number of decision times.
+@dataclass(frozen=True)
+class Total:
+    """The sum of ``value`` over the rows with ``ts`` up to a decision time."""
+
+    name: str
+    df: DataFrame
+    ts: str
+    value: Column
+
+    def column(self) -> Column:
+        return self.value
+
+    merge = staticmethod(F.sum)
+
+
+def as_of(frame: DataFrame, pieces: list[Newest | Total], times: DecisionTimes, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Add a column per piece to a frame of (keys, now_ms): all pieces in one aggregation, one join and one scan along the grid.
+
+    Rows collapse to one per key and pane, combined map-side. The scan has two levels: blocks of grid points run on their own,
+    and what a block ends with is carried into the later ones from a table with one row per block.
     """
-    panes = (
-        df.filter(F.col(ts) <= times.end_ms)
-        .withColumn("now_ms", first_seen_at(ts, times))
-        .groupBy("symbol", "now_ms")
-        .agg(F.max_by(F.struct(*fields), F.struct(*order)).alias(name))
-    )
-    joined = frame.join(panes, ["symbol", "now_ms"], "left")
+    parts = [piece.df.filter(F.col(piece.ts) <= times.end_ms).select(*keys, first_seen_at(piece.ts, times).alias("now_ms"), piece.column().alias(piece.name)) for piece in pieces]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    on = [*keys, "now_ms"]
+    out = frame.join(rows.groupBy(*on).agg(*[piece.merge(piece.name).alias(piece.name) for piece in pieces]), on, "left")
     if times.count == 1:
-        return joined
-    filled = Window.partitionBy("symbol").orderBy("now_ms").rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(name, F.last(name, ignorenulls=True).over(filled))
-
-
-def asof_sum(df: DataFrame, ts: str, value: Column, name: str, frame: DataFrame, times: DecisionTimes) -> DataFrame:
-    """Running total up to each decision time, from per-pane sums."""
-    panes = (
-        df.filter(F.col(ts) <= times.end_ms)
-        .withColumn("now_ms", first_seen_at(ts, times))
-        .groupBy("symbol", "now_ms")
-        .agg(F.sum(value).alias(name))
-    )
-    joined = frame.join(panes, ["symbol", "now_ms"], "left")
-    so_far = Window.partitionBy("symbol").orderBy("now_ms").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(name).over(so_far) if times.count > 1 else F.col(name)
-    return joined.withColumn(name, F.coalesce(total, F.lit(0)).cast("long"))
+        return out
+    out = out.withColumn("_block", F.floor((F.col("now_ms") - times.start_ms) / F.lit(times.step_ms * POINTS_PER_BLOCK)))
+    in_block = Window.partitionBy(*keys, "_block").orderBy("now_ms").rowsBetween(Window.unboundedPreceding, 0)
+    filled = out.withColumns({piece.name: piece.merge(piece.name).over(in_block) for piece in pieces})
+    if times.count <= POINTS_PER_BLOCK:
+        return filled.drop("_block")
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = out.groupBy(*keys, "_block").agg(*[piece.merge(piece.name).alias(piece.name) for piece in pieces])
+    carried = ends.select(*keys, "_block", *[piece.merge(piece.name).over(before).alias(f"_c_{piece.name}") for piece in pieces])
+    both = filled.join(carried, [*keys, "_block"], "left")
+    for piece in pieces:
+        here, carry = F.col(piece.name), F.col(f"_c_{piece.name}")
+        whole = F.greatest(here, carry) if isinstance(piece, Newest) else F.when(here.isNull() & carry.isNull(), None).otherwise(F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0)))
+        both = both.withColumn(piece.name, whole)
+    return both.drop("_block", *[f"_c_{piece.name}" for piece in pieces])

@@ -124,7 +124,7 @@ register(
 )
 register(
     "F10_candle_z",
-    lambda s, d: features.candle_z(state.upsert_candles(views.candles(s, d))).select(
+    lambda s, d: features.candle_z(views.candles(s, d)).select(
         "symbol", *rounded("volume_z_1h", "trade_count_z_1h")
     ),
     ob.single(f"SELECT symbol, {r6('volume_z_1h')} AS volume_z_1h, {r6('trade_count_z_1h')} AS trade_count_z_1h FROM snap"),
