@@ -240,33 +240,44 @@ def rare_pairs(members: DataFrame, cells: DataFrame) -> DataFrame:
     Members of the leader's most frequent label never meet each other.
     """
     sets = cut_lineage(edits(members, cells))
-    often = sets.sparkSession.sparkContext.broadcast(rarity(sets))  # fixed by RARITY_SLOTS
     labels = sets.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("k"), F.min(F.size("elements")).alias("e"))
     main = labels.groupBy("leader").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.min("e").alias("least"))
     other = labels.join(main, "leader").filter(F.col("label") != F.col("main")).groupBy("leader").agg(F.min("e").alias("least_other"))
-    known = sets.join(main.join(other, "leader"), "leader")
     is_main = F.col("label") == F.col("main")
+    known = sets.join(main.join(other, "leader"), "leader")
     known = known.select("node", "label", "n", "elements", is_main.alias("main"), F.when(is_main, F.col("least_other")).otherwise(F.col("least")).alias("least"))
+    known = cut_lineage(known)
+    # a pair has at least one node outside the main label: what no such node has is never shared and comes first in the order
+    outside = known.sparkSession.sparkContext.broadcast(rarity(known.filter("NOT main")) > 0)  # fixed by RARITY_SLOTS
+
+    def shared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [np.array(own, np.int64) for own in batch.column(3).to_pylist()]
+        kept = [own[outside.value[np.mod(own, RARITY_SLOTS)]] for own in lists]
+        columns = [*batch.columns[:3], pa.array(kept, pa.list_(pa.int64())), *batch.columns[4:], pa.array([len(x) for x in lists], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["node", "label", "n", "elements", "main", "least", "e"])
+
+    known = cut_lineage(map_rows(known, lambda: shared, "node binary, label binary, n int, elements array<long>, main boolean, least int, e int", BATCH_BYTES))
+    often = known.sparkSession.sparkContext.broadcast(rarity(known))  # fixed by RARITY_SLOTS
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, places, kept, sizes = [], [], [], []
-        for k, (n, own, least) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 5)), strict=True)):
+        rows, places, kept = [], [], []
+        for k, (n, own, least, e) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 5, 6)), strict=True)):
             own = np.array(own, np.int64)
             # a partner has at most n / T cells and differs from this node in at most n (1 - T) / T
-            common = max(1, math.ceil((len(own) + least - n * (1 - THRESHOLD) / THRESHOLD) / 2 - 1e-6), math.ceil(len(own) - n * (1 - THRESHOLD) / THRESHOLD - 1e-6))
+            apart = n * (1 - THRESHOLD) / THRESHOLD + 1e-6
+            common = max(1, math.ceil((e + least - apart) / 2), math.ceil(e - apart))
             count = often.value[np.mod(own, RARITY_SLOTS)]
-            at = np.arange(max(0, len(own) - common + 1))
-            first = np.lexsort((own, count))[at]
+            at = np.arange(e - len(own), max(e - len(own), e - common + 1))
+            first = np.lexsort((own, count))[at - (e - len(own))]
             at, first = at[count[first] > 1], first[count[first] > 1]
             rows.append(np.full(len(at), k))
             places.append(at)
             kept.append(own[first])
-            sizes.append(np.full(len(at), len(own)))
         row = pa.array(np.concatenate(rows))
-        taken = [batch.column(c).take(row) for c in (0, 1, 2, 4)]
-        return pa.RecordBatch.from_arrays([*taken, pa.array(np.concatenate(kept)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (sizes, places))], ["node", "label", "n", "main", "element", "e", "at"])
+        taken = [batch.column(c).take(row) for c in (0, 1, 2, 4, 6)]
+        return pa.RecordBatch.from_arrays([*taken, pa.array(np.concatenate(kept)), pa.array(np.concatenate(places).astype(np.int32))], ["node", "label", "n", "main", "e", "element", "at"])
 
-    rows = cut_lineage(map_rows(known, lambda: step, "node binary, label binary, n int, main boolean, element long, e int, at int", BATCH_BYTES))
+    rows = cut_lineage(map_rows(known, lambda: step, "node binary, label binary, n int, main boolean, e int, element long, at int", BATCH_BYTES))
     one = rows.filter("NOT main").select("element", *[F.col(c).alias(f"one_{c}") for c in ("node", "label", "n", "e", "at")])
     needed = (F.col("one_e") + F.col("e") - (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("one_n") + F.col("n"))) / 2 - 1e-6
     like = (F.least("one_n", "n") >= THRESHOLD * F.greatest("one_n", "n") - 1e-6) & (F.least(F.col("one_e") - F.col("one_at"), F.col("e") - F.col("at")) >= needed)
