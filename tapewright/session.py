@@ -16,6 +16,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites in error messages cost a stack trace per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
