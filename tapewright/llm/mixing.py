@@ -9,8 +9,8 @@ variables are Poisson). The copies are dealt to tasks and sorted by a hash of (i
 All steps are DataFrame functions. The table of rates has one row per source; it is broadcast only below
 BROADCAST_SOURCES rows, otherwise the join is left to adaptive execution, which splits hot sources.
 
-Defined results: a null source is a source of its own; null ids share one hash; rows with equal ids get equal
-counts; null texts are kept; columns of the input named like the added ones are replaced; without rows the
+Defined results: a null source is a source of its own; a row without id is known by the md5 of its text; rows with equal ids (or texts, without id) get
+equal counts; null texts are kept; columns of the input named like the added ones are replaced; without rows the
 result is empty.
 """
 
@@ -98,17 +98,16 @@ def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = Non
     side = per_source.select(F.col("source").alias(key), F.col("cdf").alias(cdf), F.col("parts").alias(parts))
     if found["n"] <= BROADCAST_SOURCES:
         side = F.broadcast(side)
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = F.aggregate(
-        F.sequence(F.lit(0), F.col(parts) - 1),
-        F.lit(0),
-        lambda n, part: n + F.size(F.filter(F.col(cdf), lambda c: c <= unit_hash(doc, F.lit(str(seed)), part.cast("string")))),
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")) if "text" in base.columns else F.lit("")
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null-"), F.md5(text.cast("binary"))))
+    # the uniform numbers first: one md5 per row and part, whatever the length of the table they are looked up in
+    units = F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda part: unit_hash(doc, F.lit(str(seed)), part.cast("string")))
+    drawn = F.aggregate(units, F.lit(0), lambda n, u: n + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
     counted = base.join(side, F.col("source").eqNullSafe(F.col(key))).withColumn(count, drawn).drop(key, cdf, parts).filter(F.col(count) > 0)
     first, last = F.lit(0), F.col(count) - 1
     if (found["parts"] or 1) * PART_MEAN > COPIES_PER_ROW:  # rare sources: deal the copies of a row in blocks
         starts = F.sequence(F.lit(0), F.col(count) - 1, F.lit(COPIES_PER_ROW))
-        counted = counted.withColumn(block, F.explode(starts)).repartition(F.xxhash64("doc_id", block))
+        counted = counted.withColumn(block, F.explode(starts)).repartition(F.xxhash64(doc, F.col(block)))
         first, last = F.col(block), F.least(F.col(count) - 1, F.col(block) + COPIES_PER_ROW - 1)
     made = counted.select("*", F.explode(F.sequence(first, last)).alias(private("copy"))).select(
         *[F.col(f"`{c}`") for c in base.columns],
@@ -131,17 +130,18 @@ steps AS (
   SELECT source, parts, mean / parts AS m, unnest(generate_series(0, ceil(mean / parts + 12 * sqrt(mean / parts) + 30)::INT)) AS k FROM cut),
 cdf AS (
   SELECT source, k, sum(exp(k * ln(m) - m - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS c FROM steps),
+named AS (SELECT *, coalesce(doc_id::VARCHAR, 'null-' || md5(coalesce(text, ''))) AS doc FROM {docs}),
 draws AS (
-  SELECT d.doc_id, d.source, unnest(generate_series(0, cut.parts - 1)) AS part
-  FROM (SELECT DISTINCT doc_id, source FROM {docs}) d JOIN cut ON d.source IS NOT DISTINCT FROM cut.source),
+  SELECT d.doc, d.source, unnest(generate_series(0, cut.parts - 1)) AS part
+  FROM (SELECT DISTINCT doc, source FROM named) d JOIN cut ON d.source IS NOT DISTINCT FROM cut.source),
 units AS (
-  SELECT *, CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{seed}:' || part), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM draws),
+  SELECT *, CAST('0x' || substr(md5(doc || ':{seed}:' || part), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM draws),
 counted AS (
-  SELECT u.doc_id, u.source, count(*) AS n_copies FROM units u JOIN cdf c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u
-  GROUP BY u.doc_id, u.source),
+  SELECT u.doc, u.source, count(*) AS n_copies FROM units u JOIN cdf c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u
+  GROUP BY u.doc, u.source),
 copied AS (
-  SELECT doc_id, source, n_copies, unnest(generate_series(0, n_copies - 1))::INT AS copy FROM counted)
-SELECT d.*, c.copy, c.n_copies::INT AS n_copies,
-  CAST('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':{seed}:order:' || c.copy), 1, 15) AS BIGINT) AS mix_key
-FROM {docs} d JOIN copied c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.source IS NOT DISTINCT FROM c.source
+  SELECT doc, source, n_copies, unnest(generate_series(0, n_copies - 1))::INT AS copy FROM counted)
+SELECT d.* EXCLUDE (doc), c.copy, c.n_copies::INT AS n_copies,
+  CAST('0x' || substr(md5(d.doc || ':{seed}:order:' || c.copy), 1, 15) AS BIGINT) AS mix_key
+FROM named d JOIN copied c ON d.doc = c.doc AND d.source IS NOT DISTINCT FROM c.source
 """

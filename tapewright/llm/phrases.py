@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import blocks_for, cut_lineage, private, trimmed
+from tapewright.session import checkpoint_dir
 
 LENGTH = 100
 TRIGGER = 48
@@ -184,6 +185,8 @@ def packed(table: pa.Table, rows: list[int], sizes: np.ndarray, order: np.ndarra
     return pa.table({"of_block": table.column("block").take(rows), "part": table.column("part").take(rows), "answer": pa.array(packs, pa.binary())})
 
 
+#: Buckets of the table of texts; Spark refuses more than 100,000. Beyond it a bucket holds several blocks.
+MOST_BUCKETS = 50_000
 ANSWER = "of_block int, part int, answer binary"
 
 
@@ -197,7 +200,8 @@ def cuts_below(cuts: list[int], value: Column) -> Column:
 
 
 def blocked(docs: DataFrame, blocks: int) -> DataFrame:
-    """The rows written once as a bucketed table, one bucket per block: later rounds read it without an exchange."""
+    """The rows written once as a bucketed table in the shared folder, one bucket per block up to MOST_BUCKETS: later rounds read it without an
+    exchange. The session's catalog names the table; its files lie where every executor sees them."""
     key = F.col("doc_id").cast("long")
     cuts = docs.agg(F.percentile_approx(key, [k / blocks for k in range(1, blocks)] or [0.5], 10_000).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts)) if blocks > 1 else []
@@ -206,7 +210,9 @@ def blocked(docs: DataFrame, blocks: int) -> DataFrame:
     }).drop("text")
     name = f"tw_blocks_{uuid.uuid4().hex}"
     n = len(cuts) + 1
-    marked.repartition(n, private("block")).write.option("compression", "zstd").bucketBy(n, private("block")).format("parquet").saveAsTable(name)
+    n = min(n, MOST_BUCKETS)
+    path = f"{checkpoint_dir(docs.sparkSession)}/tables/{name}"
+    marked.repartition(n, private("block")).write.option("compression", "zstd").option("path", path).bucketBy(n, private("block")).format("parquet").saveAsTable(name)
     return docs.sparkSession.table(name)
 
 

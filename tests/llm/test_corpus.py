@@ -161,6 +161,12 @@ def test_mixture_rates_and_edges(spark, edge_docs, no_docs):
     assert rows.filter("n_copies <= copy or copy < 0").isEmpty()
     same = mixing.copies(docs, {"big": 1.0, "mid": 1.0, None: 0.5}, epochs=2.0)
     assert same.exceptAll(rows).isEmpty()
+    bare = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("s").alias("source"))
+    many = mixing.copies(bare, {"s": 1.0}, epochs=2.0).repartition(1)
+    counts = [r["n"] for r in many.groupBy("text").agg(F.count(F.lit(1)).alias("n")).collect()]
+    # Poisson with mean 2: about 13.5 % of the texts are left out, and their places in the order differ
+    assert abs(len(counts) / 4000 - 0.865) < 0.03 and abs(sum(counts) / 4000 - 2) < 0.1
+    assert many.select("mix_key").distinct().count() == sum(counts)
     edge = mixing.copies(edge_docs)
     assert set(edge.columns) == {*edge_docs.columns, *mixing.ADDED} and edge.count() > 0
     assert mixing.copies(no_docs).count() == 0
