@@ -204,12 +204,13 @@ register(
     "Q4_explain",
     lambda s, d: scoring.explain(now(s, d)).select(
         "symbol", "position", "name", "kind", "direction", "evidence_window", "weight",
-        *rounded("raw_value", "normalized_value", "signed_contribution", "confidence_penalty", digits=4),
+        *rounded("raw_value", "normalized_value", "signed_contribution", "confidence_penalty", digits=8),
     ),
+    # contributions of the tape have six decimals: rounding to fewer would hit ties, which the order of a sum decides
     ob.single("""SELECT symbol, u.pos AS position, u.name AS name, u.kind AS kind,
       CASE WHEN u.c > 0 THEN 'positive' WHEN u.c < 0 THEN 'negative' ELSE 'neutral' END AS direction, u.win AS evidence_window, u.weight AS weight,
-      round(CAST(u.raw AS DOUBLE), 4) + 0 AS raw_value, round(CAST(u.norm AS DOUBLE), 4) + 0 AS normalized_value, round(CAST(u.c AS DOUBLE), 4) + 0 AS signed_contribution,
-      round(adjusted_total - raw_total, 4) + 0 AS confidence_penalty
+      round(CAST(u.raw AS DOUBLE), 8) + 0 AS raw_value, round(CAST(u.norm AS DOUBLE), 8) + 0 AS normalized_value, round(CAST(u.c AS DOUBLE), 8) + 0 AS signed_contribution,
+      round(adjusted_total - raw_total, 8) + 0 AS confidence_penalty
     FROM (SELECT symbol, raw_total, adjusted_total, unnest(comps) AS u FROM snap)"""),
 )
 _NAMES = "CASE top.name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scoring.SHORT_NAME.items()) + " END"

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tapewright.operators.ordered import ordered_scan, split_hot_keys
+from tapewright.operators.ordered import ROWS_PER_CHUNK_CONF, ordered_scan, split_hot_keys, value_at_rank
 
 
 def tape(seed, n=600):
@@ -63,8 +63,6 @@ def test_depth_one_edges_are_plain_aggregates(spark, tiny_chunks):
 
 
 def test_hot_key_is_cut_evenly(spark):
-    from tapewright.operators.ordered import ROWS_PER_CHUNK_CONF
-
     spark.conf.set(ROWS_PER_CHUNK_CONF, "1000")
     try:
         df = spark.range(40_000).select(
@@ -79,3 +77,37 @@ def test_hot_key_is_cut_evenly(spark):
     assert hot and len(sizes) > 20
     # Half of the hot rows share one timestamp; the tie is split too.
     assert max(sizes) < 2_500
+
+
+def test_burst_at_one_time_is_cut_by_its_own_ids(spark):
+    """10,000 equal times with neighbouring ids in a tape whose ids span far more."""
+    spark.conf.set(ROWS_PER_CHUNK_CONF, "1000")
+    try:
+        i = F.col("id")
+        burst = (i >= 20_000) & (i < 30_000)
+        df = spark.range(40_000).select(
+            F.lit("HOT").alias("symbol"), F.when(burst, 20_000).otherwise(i).alias("ts").cast("long"), F.when(burst, i).otherwise(i * 1_000_003).alias("seq"), i.cast("double").alias("px")
+        )
+        tagged, _ = split_hot_keys(df, ["symbol"], "ts", "seq")
+        chunks = tagged.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "seq")).alias("a"), F.max(F.struct("ts", "seq")).alias("b")).orderBy("_chunk").collect()
+        scanned = ordered_scan(df, ["symbol"], "ts", "seq", previous=["px"], following=["px"]).select("ts", "seq", "px", "prev.px", "next.px").collect()
+    finally:
+        spark.conf.unset(ROWS_PER_CHUNK_CONF)
+    assert max(r.n for r in chunks) <= 1_500
+    assert all(tuple(x.b) < tuple(y.a) for x, y in zip(chunks, chunks[1:]))
+    rows = sorted(map(tuple, scanned))
+    prices = [r[2] for r in rows]
+    assert [r[3] for r in rows] == [None, *prices[:-1]] and [r[4] for r in rows] == [*prices[1:], None]
+
+
+def test_value_at_rank_narrows_many_values(spark):
+    ranks = {"low": lambda n: F.lit(1), "middle": lambda n: F.floor((n + 1) / 2), "p95": lambda n: F.ceil(n * 95 / F.lit(100)), "top": lambda n: n}
+    df = spark.range(1_000_000).select(F.pow((F.col("id") * 7919 % 1_000_003 + 1).cast("double"), F.lit(3)).alias("v"), (F.col("id") % 3).alias("k"))
+    values = sorted((i * 7919 % 1_000_003 + 1) ** 3 for i in range(1_000_000))
+    found = value_at_rank(df, [], "v", ranks).first()
+    assert [found[c] for c in ranks] == [float(values[k - 1]) for k in (1, 500_000, 950_000, 1_000_000)]
+    for row in value_at_rank(df.filter("k < 2"), ["k"], "v", ranks, at_once=300).collect():
+        mine = sorted((i * 7919 % 1_000_003 + 1) ** 3 for i in range(row.k, 1_000_000, 3))
+        n = len(mine)
+        assert [row[c] for c in ranks] == [float(mine[j - 1]) for j in (1, (n + 1) // 2, -(-n * 95 // 100), n)]
+    assert value_at_rank(df.filter("v < 0"), [], "v", ranks).collect()[0].low is None
