@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 from tapewright.errors import ContractError
 from tapewright.functions.common import EPSILON, finite_or_null
 from tapewright.operators import features
-from tapewright.operators.ordered import newest_per_key
+from tapewright.operators.ordered import newest_per_key, ordered_scan
 from tapewright.operators.timegrid import DecisionTimes
+from tapewright.session import cut_lineage
 
 # Compared fields with their scales, the two score fields, floors and bounds.
 FIELDS = {
@@ -36,27 +37,52 @@ TARGETS_PER_BLOCK = 2_048
 def sample_clock(updates: DataFrame, cadence_ms: int = CADENCE_MS, exact: bool = False) -> list[int] | DecisionTimes:
     """Decision times from update times (column ``ms``).
 
-    Default: a regular grid from the first update, plus the last one. ``exact`` follows the updates:
-    each sample is the first update at least one cadence after the sample before. That chain is
-    sequential, so it costs one range-limited ``min`` job per sample (288 per day at the default
-    cadence) and holds nothing but the sample times.
+    Default: a regular grid from the first update, plus the last one. ``exact`` follows the updates in arrival order
+    (``exact_clock``); the samples come back as a list, at most one per cadence.
     """
-    positive = updates.filter("ms > 0")
-    bounds = positive.agg(F.min("ms").alias("a"), F.max("ms").alias("b")).first()
-    if bounds["a"] is None:
-        return []
-    if not exact:
-        return DecisionTimes.covering(bounds["a"], bounds["b"], cadence_ms)
-    at, last = int(bounds["a"]), int(bounds["b"])
-    times = [at]
-    while at + cadence_ms <= last:
-        span, following = 4 * cadence_ms, None
-        while following is None:
-            near = positive.filter(F.col("ms").between(at + cadence_ms, at + cadence_ms + span))
-            following, span = near.agg(F.min("ms")).first()[0], span * 4
-        at = int(following)
-        times.append(at)
-    return times if times[-1] == last else [*times, last]
+    if exact:
+        return [row["sample_ms"] for row in exact_clock(updates, cadence_ms).orderBy("sample_ms").collect()]
+    bounds = updates.filter("ms > 0").agg(F.min("ms").alias("a"), F.max("ms").alias("b")).first()
+    return [] if bounds["a"] is None else DecisionTimes.covering(bounds["a"], bounds["b"], cadence_ms)
+
+
+def exact_clock(updates: DataFrame, cadence_ms: int = CADENCE_MS) -> DataFrame:
+    """sample_ms: the first update, then each first update at least one cadence after the sample before, and the last update.
+
+    Updates (``ms``, and ``ingest_seq`` for the order of arrival) move the clock only forwards, so that only those later than all before count. Of these
+    every one points to the first one a cadence later, which lies in the next bucket of one cadence or is the first of the
+    next bucket with any. The chain from the first update is found by pointer doubling: the samples known so far jump as
+    far as they are many, so their number doubles with every round, and pointers are joined with themselves.
+    """
+    cadence_ms = max(1, cadence_ms)
+    positive = updates.filter("ms > 0").withColumn("_all", F.lit(0))
+    if "ingest_seq" in updates.columns:
+        positive = ordered_scan(positive, ["_all"], "ingest_seq", "ingest_seq", running_max={"_newest": "ms"})
+        positive = positive.filter(F.col("ms") == F.col("_newest"))
+    records = cut_lineage(positive.select("ms").distinct().withColumn("_bucket", F.floor(F.col("ms") / F.lit(cadence_ms))))
+    firsts = records.groupBy("_bucket").agg(F.min("ms").alias("_first")).withColumn("_all", F.lit(0))
+    following = ordered_scan(firsts, ["_all"], "_bucket", "_bucket", following=["_bucket", "_first"]).select("_bucket", F.col("next._bucket").alias("_to"), F.col("next._first").alias("_first"))
+    # in the next bucket: the first record that is at least a cadence later, by a scan over records and the times asked for
+    asked = records.select("ms", (F.col("_bucket") + 1).alias("_bucket"), (F.col("ms") + cadence_ms).alias("_at"), F.lit(1).alias("_asks"))
+    held = records.select(F.lit(None).cast("long").alias("ms"), "_bucket", F.col("ms").alias("_at"), F.lit(0).alias("_asks"))
+    later = Window.partitionBy("_bucket").orderBy(F.desc("_at"), "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    near = held.unionByName(asked).withColumn("_near", F.min(F.when(F.col("_asks") == 0, F.col("_at"))).over(later)).filter("_asks = 1").select("ms", "_bucket", "_near")
+    # otherwise the first record of the first bucket after it
+    own = near.withColumn("_own", F.col("_bucket") - 1)
+    hop = own.join(following.select(F.col("_bucket").alias("_own"), "_to", "_first"), "_own", "left")
+    after = following.select(F.col("_bucket").alias("_to"), F.col("_first").alias("_second"))
+    hop = hop.join(after, "_to", "left")
+    skipped = F.when(F.col("_to") == F.col("_bucket"), F.col("_second")).otherwise(F.col("_first"))
+    hops = cut_lineage(hop.select("ms", F.coalesce("_near", skipped).alias("to")).filter("to IS NOT NULL"))
+    reached = cut_lineage(records.agg(F.min("ms").alias("ms")).filter("ms IS NOT NULL"))
+    while True:
+        new = cut_lineage(reached.join(hops, "ms").select(F.col("to").alias("ms")))
+        if new.isEmpty():
+            break
+        reached = cut_lineage(reached.unionByName(new))
+        hops = cut_lineage(hops.join(hops.select(F.col("ms").alias("to"), F.col("to").alias("_far")), "to").select("ms", F.col("_far").alias("to")))
+    last = records.agg(F.max("ms").alias("ms")).filter("ms IS NOT NULL")
+    return reached.unionByName(last).select(F.col("ms").alias("sample_ms")).distinct()
 
 
 def analog_candidates(market: features.Market, times: DecisionTimes, options=features.SnapshotOptions(), cap: int | None = None) -> DataFrame:

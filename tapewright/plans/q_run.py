@@ -150,6 +150,14 @@ register(
     _clock,
     ob.base(f"SELECT unnest(range(a, a + CAST(ceil((b - a) / {DAY}.0) AS BIGINT) * {DAY} + 1, {DAY})) AS sample_ms FROM (SELECT min(ts) AS a, max(ts) AS b FROM tr)"),
 )
+register(
+    "N1_sample_clock_exact",
+    lambda s, d: analog.exact_clock(views.trades_dup(s, d).select(F.col("exchange_ts_ms").alias("ms"), "ingest_seq"), 5 * HOUR),
+    ob.base(f"""
+    , rec AS (SELECT DISTINCT newest AS ms FROM (SELECT max(ts) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS newest FROM trd))
+    , chain AS (SELECT min(ms) AS ms FROM rec UNION ALL SELECT (SELECT min(rec.ms) FROM rec WHERE rec.ms >= chain.ms + {5 * HOUR}) FROM chain WHERE ms IS NOT NULL)
+    SELECT ms AS sample_ms FROM chain WHERE ms IS NOT NULL UNION SELECT max(ms) FROM rec""").replace("WITH ", "WITH RECURSIVE ", 1),
+)
 register(
     "N2_analog_candidates",
     lambda s, d: analog.candidates_from(daily(s, d)).select("symbol", "now_ms", *rounded("momentum_score", "tob_imbalance")),
