@@ -10,27 +10,33 @@ from tapewright.sources import files, wire
 
 
 def frame_stream(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
-    """Raw capture files as a stream of frames; ``max_files`` bounds a micro-batch."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    rows = lines.select(F.from_json("value", files.RAW).alias("r")).select("r.*")
-    return rows.withColumnRenamed("payload", "value")
+    """Raw capture files as a stream of frames; ``max_files`` bounds a micro-batch.
+
+    As in batch, a line that is no capture record has a ``problem`` and its text in ``line``.
+    """
+    return files.parse_raw(spark.readStream.option("maxFilesPerTrigger", max_files).text(path))
 
 
 def run_ingest(frames: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write raw frames, every typed table and the rejects of each micro-batch.
+    """Write raw frames, every typed table and the rejects (unusable lines and refused frames) of each micro-batch.
 
     Each batch owns the folder ``batch=<id>`` of every table and overwrites it, so a batch that is
-    retried after a failure leaves no duplicates. A failing sink fails the batch.
+    retried after a failure leaves no duplicates. A failing sink fails the batch. Frames are decoded once a batch.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        bad = F.col("problem").isNotNull() if "problem" in batch.columns else F.lit(False)
+        lines = batch if "problem" in batch.columns else batch.withColumns({"problem": F.lit(None).cast("string"), "line": F.col("value")})
+        decoded = wire.decode(lines.filter(~bad).drop("problem", "line")).persist()
         try:
-            batch.write.mode("overwrite").parquet(f"{out}/raw/batch={batch_id}")
-            decoded = wire.decode(batch)
+            lines.filter(~bad).drop("problem", "line").write.mode("overwrite").parquet(f"{out}/raw/batch={batch_id}")
             for name, build in wire.NORMALIZERS.items():
-                build(decoded).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+                rows = build(decoded)
+                if name == "rejects":
+                    unusable = lines.filter(bad).select(*wire.META, "channel", "problem", F.col("line").alias("value"))
+                    rows = rows.unionByName(unusable)
+                rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
         finally:
-            batch.unpersist()
+            decoded.unpersist()
 
     stream = frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return stream.trigger(**(trigger or {"processingTime": "1 second"})).start()
@@ -67,21 +73,62 @@ def latest_values(trades: DataFrame, quotes: DataFrame) -> DataFrame:
     )
 
 
-def publish_latest(values: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def publish_latest(values: DataFrame, path: str, checkpoint: str, compact_every: int = 240, **trigger) -> StreamingQuery:
     """Publish changed rows: the newest state of a symbol wins and skipped ticks are not caught up.
 
-    Each micro-batch (250 ms apart by default) writes one version folder with the changed symbols.
+    Each micro-batch (250 ms apart by default) writes one version folder with the changed symbols; every ``compact_every`` batches (a
+    minute) the versions are merged, so that the number of folders stays bounded (0: never).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact_published(batch.sparkSession, path)
 
     stream = values.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return stream.trigger(**(trigger or {"processingTime": "250 milliseconds"})).start()
 
 
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """Current state: the highest version per symbol."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/v=*").drop("v")
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``prefix<number>`` below a path, ascending."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}*")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return sorted(int(f.getPath().getName()[len(prefix) :]) for f in found or [])
+
+
+def _newest_base(spark: SparkSession, path: str) -> int | None:
+    """The base that readers follow. A pointer is one file, moved into place when the base is complete."""
+    if not _folders(spark, path, "pointer="):
+        return None
+    return spark.read.schema("base long").option("basePath", path).parquet(f"{path}/pointer=*").agg(F.max("base").alias("b")).first()["b"]
+
+
+def compact_published(spark: SparkSession, path: str) -> int | None:
+    """Merge the newest base and all later versions into a new base, point readers to it, and drop what the base before it replaced.
+
+    Readers that started on the base before still find its files: one generation is kept. One compaction at a time.
+    """
+    versions, before = _folders(spark, path, "v="), _newest_base(spark, path)
+    later = [v for v in versions if before is None or v > before]
+    if not later:
+        return before
+    newest = later[-1]
+    read_published(spark, path, up_to=newest).write.mode("overwrite").parquet(f"{path}/base={newest}")
+    spark.range(1).select(F.lit(newest).cast("long").alias("base")).coalesce(1).write.mode("overwrite").parquet(f"{path}/pointer={newest}")
+    if before is not None:
+        old = [f"v={v}" for v in versions if v <= before]
+        old += [f"{kind}={b}" for kind in ("pointer", "base") for b in _folders(spark, path, f"{kind}=") if b < before]
+        for name in old:
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return newest
+
+
+def read_published(spark: SparkSession, path: str, up_to: int | None = None) -> DataFrame:
+    """Current state: the highest version per symbol, from the newest base and the versions after it."""
+    base = _newest_base(spark, path)
+    versions = [v for v in _folders(spark, path, "v=") if (base is None or v > base) and (up_to is None or v <= up_to)]
+    places = [f"{path}/v={v}" for v in versions] + ([f"{path}/base={base}"] if base is not None else [])
+    rows = spark.read.parquet(*places)
     payload = [c for c in rows.columns if c != "symbol"]
     return rows.groupBy("symbol").agg(F.max_by(F.struct(*payload), "version").alias("w")).select("symbol", "w.*")
 

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from compare import compare, duck
 from tapewright.plans import views
+from tapewright.streaming import ingest
 from tapewright.streaming.market import market_events
 from tapewright.streaming.panes import QuoteSum, TradeSum, imbalance, resilience, spreads_of, weighted_median
 
@@ -100,6 +101,21 @@ def test_unknown_stream_is_refused(spark):
         market_events(tickers=spark.range(1))
 
 
+def test_compaction_keeps_the_state_and_bounds_the_folders(spark, tmp_path):
+    path, rng, expected = str(tmp_path / "published"), np.random.default_rng(4), {}
+    for version in range(23):
+        rows = [(f"S{k}", float(version), version) for k in rng.choice(9, 3, replace=False)]
+        expected.update({symbol: price for symbol, price, _ in rows})
+        spark.createDataFrame(rows, "symbol string, price double, version int").write.parquet(f"{path}/v={version}")
+        if version % 5 == 4:
+            before = {r.symbol: r.price for r in ingest.read_published(spark, path).collect()}
+            assert ingest.compact_published(spark, path) == version
+            assert {r.symbol: r.price for r in ingest.read_published(spark, path).collect()} == before == expected
+            assert len(os.listdir(path)) <= 14
+    assert {r.symbol: r.price for r in ingest.read_published(spark, path).collect()} == expected
+    assert ingest.compact_published(spark, path) == 22 == ingest.compact_published(spark, path)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not mounted")
 def test_streamed_market_does_not_depend_on_arrow_batches(spark):
     """Every streamed value equals its SQL when the rows of a key reach Python three at a time."""
