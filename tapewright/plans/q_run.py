@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapewright.errors import ContractError
 from tapewright.operators import alerts, analog, annotate, gaps, metadata, ops, replay, state
 from tapewright.plans import oracle_base as ob
 from tapewright.plans import views
@@ -15,6 +16,7 @@ from tapewright.plans.oracle_base import DAY, HOUR, r6
 from tapewright.plans.q_scores import daily, now
 from tapewright.plans.registry import joined, register, rounded
 from tapewright.session import checkpoint_dir, cut_lineage
+from tapewright.sources.registry import SCHEMAS, registered_market
 
 PLAYBOOK = {
     "schema_version": 1,
@@ -345,31 +347,81 @@ register(
 # --- replay ---------------------------------------------------------------------------------------
 
 
+RUN_TABLES = {
+    "trades": views.trades_dup, "quotes": views.quotes_onesided, "contexts": views.contexts, "mids": views.mids, "books": views.books, "candles": views.candles,
+}
+
+
+def _recorded(s, d):
+    """A registry with one clean run: a file entry per stream, an open gap of the active symbols, a restored one of all; once per session."""
+    from tapewright.sources.registry import Registry
+
+    key = (s.sparkContext.applicationId, d, "recorded run")
+    if key not in views._TABLES:
+        root = f"{checkpoint_dir(s)}/run-{uuid.uuid4().hex}"
+        reg, files_ = Registry(s, f"{root}/registry"), []
+        for name, view in RUN_TABLES.items():
+            view(s, d).drop("k", "px").write.parquet(f"{root}/{name}")
+            size = s.read.parquet(f"{root}/{name}").count()
+            files_.append((f"{root}/{name}", name, None, 0, 0, size, 0, 0, "r1"))
+        reg.insert("runs", s.createDataFrame([("r1", 0, 1, "h", "1", "g", True, True, True, 2), ("r2", 0, None, "h", "1", "g", True, True, False, 0)], SCHEMAS["runs"]))
+        reg.insert("files", s.createDataFrame(files_, SCHEMAS["files"]))
+        gap = lambda name, symbols: symbols.agg(F.sort_array(F.collect_set("symbol")).alias("affected_symbols")).select(  # noqa: E731  a row per symbol
+            F.lit(name).alias("gap_id"), F.lit("r1").alias("run_id"), F.lit(1).cast("long").alias("conn_id"), F.lit(1).cast("long").alias("started_at_ns"),
+            F.lit(2).cast("long").alias("ended_at_ns"), F.lit("silence").alias("reason"), "affected_symbols", F.lit(False).alias("recovered"),
+        )
+        reg.insert("data_gaps", gap("g1", views.active_symbols(s, d)).unionByName(gap("g2", views.symbols(s, d))))
+        reg.insert("backfill_attempts", s.createDataFrame([("a1", "r1", "g2", "public", "1m", 1, 2, 5, "repaired", 10, "restored"), ("a2", "r1", "g1", "public", "1m", 1, 2, 4, "unrepaired", 0, "degraded")], SCHEMAS["backfill_attempts"]))
+        views._TABLES[key] = reg
+    return views._TABLES[key]
+
+
 def _replayed(s, d):
-    market = views.market(s, d)
-    market.candles = None
-    snapshots, at = replay.replay(market, views.active_symbols(s, d), views.OPTIONS)
-    return snapshots.select("symbol", F.lit(at).alias("at_ms"), F.col("confidence.score").alias("score"), *rounded("price", "ret_1h"))
+    """The registered run, all six streams, at its newest update."""
+    snapshots, at = replay.replay(registered_market(_recorded(s, d), "r1", views.SCALED.retention_ms), None, views.OPTIONS)
+    return snapshots.select("symbol", F.lit(at).alias("at_ms"), F.col("confidence.score").alias("score"), *rounded("price", "ret_1h", "volume_z_1h"))
 
 
-_NO_CANDLES = "greatest(lt_ts, lq_ts, lc_ts, lmd_ts, cz.close_ts)"
 register(
     "R1_replay",
     _replayed,
     ob.single(
-        f"""SELECT symbol, (SELECT max(x) FROM (SELECT max(ts) AS x FROM kept WHERE symbol IN (SELECT symbol FROM act) UNION ALL SELECT max(ts) FROM qt WHERE symbol IN (SELECT symbol FROM act)
-          UNION ALL SELECT max(ts) FROM md WHERE symbol IN (SELECT symbol FROM act))) AS at_ms, confidence_score AS score, {r6('price')} AS price, {r6('ret_1h')} AS ret_1h
-        FROM snap WHERE symbol IN (SELECT symbol FROM act)"""
-    )
-    .replace(_NO_CANDLES, "greatest(lt_ts, lq_ts, lc_ts, lmd_ts)")
-    .replace(
-        "times AS (SELECT max(ms) AS now_ms FROM ev)",
-        "act AS (SELECT symbol FROM ev GROUP BY 1 HAVING avg(px) > (SELECT avg(px) FROM ev)), "
-        "times AS (SELECT max(x) AS now_ms FROM (SELECT max(ts) AS x FROM kept JOIN act USING (symbol) UNION ALL SELECT max(ts) FROM qt JOIN act USING (symbol) UNION ALL SELECT max(ts) FROM md JOIN act USING (symbol)))",
+        f"""SELECT symbol, now_ms AS at_ms, CAST(greatest(confidence_score - CASE WHEN symbol IN (SELECT symbol FROM act) THEN 35 ELSE 0 END, 0) AS INTEGER) AS score,
+          {r6('price')} AS price, {r6('ret_1h')} AS ret_1h, {r6('volume_z_1h')} AS volume_z_1h FROM snap"""
+    ).replace(
+        ob.SINGLE_TIME,
+        "act AS (SELECT symbol FROM ev GROUP BY 1 HAVING avg(px) > (SELECT avg(px) FROM ev)), times AS (SELECT max(x) AS now_ms FROM "
+        "(SELECT max(ts) AS x FROM trd UNION ALL SELECT max(ts) FROM qt UNION ALL SELECT max(ts) FROM md UNION ALL SELECT max(ts) FROM cx UNION ALL SELECT max(close_ts) FROM cd))",
     ),
 )
 
 
+def _registered(s, d):
+    """What the registry holds of the run, and that replays of an unclean or unknown run and a second writer are refused."""
+    reg, refused = _recorded(s, d), 0
+    for run in ("r2", "r3"):
+        try:
+            registered_market(reg, run, views.SCALED.retention_ms)
+        except ContractError:
+            refused += 1
+    files_ = reg.files("r1").select(F.lit("files").alias("table"), F.col("event_type").alias("entry"), F.col("rows").alias("n"))
+    gaps_ = reg.gaps("r1").select(F.lit("gaps"), "gap_id", F.size("affected_symbols").cast("long"))
+    tried = reg.attempts("r1").select(F.lit("attempts"), "attempt_id", "rows_written")
+    return files_.union(gaps_).union(tried).union(s.createDataFrame([("runs", "refused", refused)], "a string, b string, c long"))
+
+
+register(
+    "R4_registry_run",
+    _registered,
+    ob.base("""
+    , act AS (SELECT symbol FROM ev GROUP BY 1 HAVING avg(px) > (SELECT avg(px) FROM ev))
+    SELECT 'files' AS "table", 'trades' AS entry, count(*) AS n FROM trd UNION ALL SELECT 'files', 'quotes', count(*) FROM qt UNION ALL SELECT 'files', 'contexts', count(*) FROM cx
+    UNION ALL SELECT 'files', 'mids', count(*) FROM md UNION ALL SELECT 'files', 'books', count(*) FROM qfull UNION ALL SELECT 'files', 'candles', count(*) FROM cd
+    UNION ALL SELECT 'gaps', 'g1', count(*) FROM act UNION ALL SELECT 'gaps', 'g2', count(DISTINCT symbol) FROM ev
+    UNION ALL SELECT 'attempts', 'a1', 10 UNION ALL SELECT 'attempts', 'a2', 0 UNION ALL SELECT 'runs', 'refused', 2"""),
+)
+
+
 def _two(s, d):
     rows, end = daily(s, d), views.daily_times(s, d).end_ms
     day = lambda ms: replay.confidence_of(rows.filter(F.col("now_ms") == ms))
@@ -396,10 +448,10 @@ register(
 )
 register(
     "R3_dataset_digest",
-    lambda s, d: replay.dataset_digest(views.read(s, d, "nation").unionByName(views.read(s, d, "nation")).select("n_nationkey", "n_name")),
-    """WITH h AS (SELECT sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS h FROM nation),
+    lambda s, d: replay.dataset_digest(views.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey")),
+    """WITH h AS (SELECT sha256('{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"l_returnflag":"' || l_returnflag || '","l_suppkey":' || l_suppkey || '}') AS h FROM lineitem),
     l AS (SELECT h, CAST('0x' || substr(h, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(h, 16, 15) AS BIGINT) AS b, CAST('0x' || substr(h, 31, 15) AS BIGINT) AS c, CAST('0x' || substr(h, 46, 15) AS BIGINT) AS d FROM h)
-    SELECT 2 * count(*) AS row_count, sha256(2 * count(*) || ':' || 2 * sum(a) || ':' || 2 * sum(b) || ':' || 2 * sum(c) || ':' || 2 * sum(d)) AS digest FROM l""",
+    SELECT count(*) AS row_count, sha256(count(*) || ':' || sum(a) || ':' || sum(b) || ':' || sum(c) || ':' || sum(d)) AS digest FROM l""",
 )
 
 # --- metadata -------------------------------------------------------------------------------------

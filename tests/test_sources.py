@@ -238,3 +238,32 @@ def test_equal_times_emit_once_and_long_runs_stream(spark):
         assert out.filter("at_ms < 10").agg(F.max("cooldown_remaining_ms")).first()[0] == 7
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_of_two_registry_writers_one_is_refused(spark, tmp_path, monkeypatch):
+    from tapewright.errors import ContractError
+    from tapewright.sources.registry import SCHEMAS, Registry
+
+    def symbol(name):
+        return spark.createDataFrame([(name, name, 0, 1)], SCHEMAS["symbols"])
+
+    one, two = Registry(spark, str(tmp_path)), Registry(spark, str(tmp_path))
+    one.insert("symbols", symbol("A"))
+    claim = Registry._claim
+
+    def late(self, table, number):
+        """The other writer commits between this writer's check and its claim."""
+        monkeypatch.setattr(Registry, "_claim", claim)
+        two.insert("symbols", symbol("B"))
+        return claim(self, table, number)
+
+    monkeypatch.setattr(Registry, "_claim", late)
+    with pytest.raises(ContractError, match="another writer"):
+        one.insert("symbols", symbol("B"))
+    assert sorted(r.symbol for r in one.read("symbols").collect()) == ["A", "B"]
+    assert one._claim("symbols", 3)  # a writer that dies before its rows are in place
+    with pytest.raises(ContractError, match="under way"):
+        two.insert("symbols", symbol("C"))
+    two.abandon("symbols")
+    two.insert("symbols", symbol("C"))
+    assert one.read("symbols").count() == 3
