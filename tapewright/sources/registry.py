@@ -60,7 +60,9 @@ class Registry:
         fs, path = self._place(table)
         if not fs.exists(path):
             return []
-        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        names = [n for n in (f.getPath().getName() for f in fs.listStatus(path)) if n[0] not in "._"]
+        if strange := [n for n in names if not n.startswith(("c=", "claim="))]:
+            raise ContractError(f"registry table {table} holds {strange[0]}, which is no commit")
         return sorted(int(name[len(prefix) :]) for name in names if name.startswith(prefix))
 
     def insert(self, table: str, rows: DataFrame) -> None:
