@@ -56,7 +56,7 @@ ZSTD_SUFFIX = ".zst"
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines of a capture folder (``value``, ``path``): plain, gzip and other codecs of the text source, and
     Zstandard files, which are unpacked as streams inside the tasks that read them."""
-    plain = spark.read.option("pathGlobFilter", "{*[!t],*[!s]t,*[!z]st}").text(path, recursiveFileLookup=True)
+    plain = spark.read.option("pathGlobFilter", "{*[!t],*[!s]t,*[!z]st,*[!.]zst,t,st,zst}").text(path, recursiveFileLookup=True)
     plain = plain.select("value", F.col("_metadata.file_path").alias("path"))
     packed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ZSTD_SUFFIX}").option("recursiveFileLookup", "true").load(path)
 

@@ -267,3 +267,13 @@ def test_of_two_registry_writers_one_is_refused(spark, tmp_path, monkeypatch):
     two.abandon("symbols")
     two.insert("symbols", symbol("C"))
     assert one.read("symbols").count() == 3
+
+
+def test_plain_captures_whose_names_end_like_packed_ones(spark, tmp_path):
+    import zstandard
+
+    for name in ("a.json", "frozenzst", "zst", "t", "best", "part.txt"):
+        (tmp_path / name).write_text(f"{name}\n")
+    (tmp_path / "b.zst").write_bytes(zstandard.ZstdCompressor().compress(b"packed\n"))
+    lines = sorted(r.value for r in files.raw_lines(spark, str(tmp_path)).collect())
+    assert lines == sorted(["a.json", "frozenzst", "zst", "t", "best", "part.txt", "packed"])
