@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -76,6 +77,52 @@ def template_texts():
     return rows
 
 
+def hub_texts():
+    """Edited copies of one text, 0.7 to 0.95 to it and to each other; edits come from a small pool, so that many copies share some."""
+    rng, base = random.Random(12), words_of(77, 130).split()
+    pool = [(rng.randrange(130), f"e{k}") for k in range(14)]
+    rows = [(9000, " ".join(base))]
+    for k in range(260):
+        own = list(base)
+        for at, word in rng.sample(pool, rng.randint(1, 4)):
+            own[at] = word
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            own[rng.randrange(130)] = f"u{k}x{rng.randrange(1000)}"
+        rows.append((9001 + k, " ".join(own)))
+    return rows
+
+
+def test_classes_of_a_hub_equal_brute_force(spark):
+    """A large bucket with several classes: linked members still find the copies that their leader is no copy of."""
+    rows = hub_texts()
+    cells = {}
+    for k, text in rows:
+        words, counts = text.split(), collections.Counter()
+        unit = set()
+        for j in range(len(words) - 4):
+            shingle = tuple(words[j : j + 5])
+            counts[shingle] += 1
+            unit.add((shingle, counts[shingle]))
+        cells[k] = unit
+    ids, parent, pairs = [k for k, _ in rows], {k: k for k, _ in rows}, 0
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            if len(cells[a] & cells[b]) >= 0.8 * len(cells[a] | cells[b]):
+                pairs += 1
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    expected = {k: root(k) for k in ids}
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert pairs > 300 and len(set(expected.values())) > 5
+    assert found == expected
+
+
 def test_pairs_within_a_template_are_found(spark):
     rows = template_texts()
     groups = collections.defaultdict(list)
