@@ -2,20 +2,26 @@
 
 Sound is an array of float samples per row. Frames of FRAME samples, HOP apart, give the energy of the twelve
 pitch classes; an integral image over (time, pitch class) makes the sum over any rectangle four look-ups, and
-SIXTEEN filters compare such sums. Each filter result is cut to two bits at thresholds that are quartiles of
-the corpus, so a frame position is one packed 32-bit integer in Gray code. Two recordings are aligned by the
-histogram of offsets of equal integers; the bit error over the overlap at the best offset decides.
+SIXTEEN filters compare such sums. Each filter result is cut to two bits at the quartiles of the whole corpus (from
+histograms over all rows), so a frame position is one packed 32-bit integer in Gray code.
 
-Distinct fingerprints form classes (exact copies share one), so a sound copied thousands of times is compared
-once. Frames that share an integer are joined by equality; within a class an integer counts once per frame.
+Queries are compared with all sounds in blocks: chunks of sounds meet blocks of queries. Within a pair of them each third
+of a print (11, 11 and 10 bits) is looked up among the queries' thirds; equal ones count in the histogram of offsets of
+the sound and each query. Every offset with LEAST_HITS equal thirds is checked by its bit error over the whole overlap,
+and the best one is returned. A run of equal thirds (silence) is one entry, however long: two runs add a trapezium to the
+histogram, kept as its second differences.
 
-Defined results: a null or too short sound has an empty fingerprint, its own class per distinct value and no
-matches; samples that are null or not finite count as 0; repeated ids are kept as rows; extra columns are
-ignored; without rows the results are empty.
+Distinct fingerprints form classes (exact copies share one), so a sound copied thousands of times is compared once.
+
+Defined results: a null or too short sound has an empty fingerprint and no matches, and shares a class with equal samples
+only; samples that are null or not finite count as 0; repeated ids are kept as rows; a class whose ids are all null has a
+null class_id and is compared all the same; extra columns are ignored; without rows the results are empty.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import cut_lineage
+from tapewright.llm.common import cut_lineage, trimmed
 
 RATE = 4000
 FRAME = 512
@@ -38,9 +44,15 @@ WIDEST = max(WIDTHS)
 #: Overlap in positions that a match needs, and the share of differing bits it may have.
 LEAST_OVERLAP = 16
 BIT_ERROR = 0.25
+#: Equal thirds at one offset that make it a candidate.
 LEAST_HITS = 3
-#: Rows whose filter results reach the driver for the quartiles (documented bound).
-QUARTILE_ROWS = 2048
+THIRDS = ((0, 11), (11, 11), (22, 10))
+#: Bins of the histograms behind the quartiles; filter results lie within plus and minus TOP.
+BINS, TOP = 8192, 6.0
+#: Queries of a block, bytes of prints of a chunk of sounds, cells of the histograms held at once.
+QUERIES_PER_BLOCK = 1000
+CHUNK_BYTES = 1_000_000
+MOST_CELLS = 1_000_000
 
 
 def pitch_matrix(rate: int = RATE, frame: int = FRAME) -> np.ndarray:
@@ -110,23 +122,28 @@ def packed(results: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return total.astype(np.uint32).view(np.int32)
 
 
-def quartiles(sounds: DataFrame, rows: int = QUARTILE_ROWS) -> np.ndarray:
-    """Three cuts per filter from about ``rows`` rows, chosen by hash at a rate from the row count."""
-    n = sounds.count()
-    rate = int(min(1.0, rows / max(n, 1)) * (1 << 20))
+def quartiles(sounds: DataFrame) -> np.ndarray:
+    """Three cuts per filter from histograms over every frame position of all rows (a fixed number of counters)."""
+    n_filters = len(FILTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n_filters * BINS, np.int64)
         for batch in batches:
-            found = [filter_results(chroma(s)) for s in samples_of(batch.column("sound"))]
-            kept = [f[:: max(1, len(f) // 16)] for f in found if len(f)]
-            if kept:
-                yield pa.RecordBatch.from_pydict({"values": list(np.concatenate(kept))})
-
-    chosen = sounds.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < rate).select("sound")
-    values = chosen.mapInArrow(run, "values array<double>").toPandas()["values"]
-    if not len(values):
-        return np.tile([-0.1, 0.0, 0.1], (len(FILTERS), 1))
-    return np.quantile(np.stack(list(values)), [0.25, 0.5, 0.75], axis=0).T
+            for sound in samples_of(batch.column(0)):
+                results = filter_results(chroma(sound))
+                cell = np.clip(((results + TOP) * (BINS / (2 * TOP))).astype(np.int64), 0, BINS - 1)
+                counts += np.bincount((cell + np.arange(n_filters) * BINS).ravel(), minlength=n_filters * BINS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used // BINS, pa.int32()), pa.array(used % BINS, pa.int32()), pa.array(counts[used], pa.int64())], ["filter", "bin", "n"])
+
+    found = sounds.select("sound").mapInArrow(run, "filter int, bin int, n long").groupBy("filter", "bin").agg(F.sum("n").alias("n")).toPandas()
+    if not len(found):
+        return np.tile([-0.1, 0.0, 0.1], (n_filters, 1))
+    counts = np.zeros((n_filters, BINS))
+    counts[found["filter"], found["bin"]] = found["n"]
+    share = counts.cumsum(axis=1) / counts.sum(axis=1, keepdims=True)
+    edges = (np.arange(BINS) + 1) * (2 * TOP / BINS) - TOP
+    return np.array([edges[np.searchsorted(row, [0.25, 0.5, 0.75])] for row in share])
 
 
 def samples_of(column: pa.Array) -> list[np.ndarray]:
@@ -136,52 +153,150 @@ def samples_of(column: pa.Array) -> list[np.ndarray]:
 
 
 def fingerprints(sounds: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """id, prints (array of packed integers) of each row's whole sound (columns id, sound)."""
+    """id, prints (packed integers of the whole sound) and their digest (of the samples where there are no prints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [packed(filter_results(chroma(s)), cuts) for s in samples_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int32()))], ["id", "prints"])
+            prints, keys = [], []
+            for sound, known in zip(samples_of(batch.column(1)), batch.column(1).is_valid().to_pylist(), strict=True):
+                prints.append(packed(filter_results(chroma(sound)), cuts))
+                own = b"p" + prints[-1].tobytes() if len(prints[-1]) else b"s" + sound.tobytes() if known else b""
+                keys.append(hashlib.md5(own).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int32())), pa.array(keys, pa.binary())], ["id", "prints", "key"])
 
-    return sounds.select("id", "sound").mapInArrow(run, "id long, prints array<int>")
+    return sounds.select("id", "sound").mapInArrow(run, "id long, prints array<int>, key binary")
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """id, class_id: the smallest id with the same fingerprint (empty fingerprints: a class of their own)."""
-    key = F.xxhash64("prints"), F.md5(F.array_join("prints", ",").cast("binary"))
-    keyed = prints.select("id", key[0].alias("k0"), key[1].alias("k1"))
-    first = keyed.groupBy("k0", "k1").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return keyed.join(first, ["k0", "k1"]).select("id", "class_id", "class_size")
-
-
-def representatives(prints: DataFrame, member: DataFrame) -> DataFrame:
-    """class_id and fingerprint of each class whose fingerprint is not empty."""
-    own = member.filter(F.col("id") == F.col("class_id")).select("id").distinct()
-    return prints.filter(F.size("prints") > 0).join(own, "id", "left_semi").groupBy("id").agg(F.min("prints").alias("prints"))
-
-
-def matches(prints: DataFrame, members: DataFrame, query_prints: DataFrame, query_members: DataFrame) -> DataFrame:
-    """Pairs (query class, class) that align: offset, hits, overlap and bit error, from both membership tables."""
-    ones = cut_lineage(representatives(prints, members).withColumnRenamed("id", "class_id"))
-    asking = cut_lineage(representatives(query_prints, query_members).withColumnRenamed("id", "query_id"))
-    frames = ones.select("class_id", F.posexplode("prints").alias("at", "value"))
-    asked = asking.select("query_id", F.posexplode("prints").alias("query_at", "value"))
-    offsets = (
-        asked.join(frames, "value").groupBy("query_id", "class_id", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
-    )
-    best = offsets.groupBy("query_id", "class_id").agg(F.max(F.struct("hits", -F.abs("offset"), "offset")).alias("b")).select("query_id", "class_id", "b.hits", "b.offset")
-    best = best.filter(F.col("hits") >= LEAST_HITS)
-    both = best.join(asking.withColumnRenamed("prints", "query_prints"), "query_id").join(ones.withColumnRenamed("prints", "other_prints"), "class_id")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    overlap = F.least(F.size("query_prints") - start, F.size("other_prints") - F.greatest(F.lit(0), F.col("offset")))
-    pairs = F.zip_with(
-        F.slice("query_prints", start + 1, F.greatest(overlap, F.lit(1))),
-        F.slice("other_prints", F.greatest(F.lit(0), F.col("offset")) + 1, F.greatest(overlap, F.lit(1))),
-        lambda x, y: F.bit_count(x.bitwiseXOR(y)),
-    )
-    wrong = F.aggregate(pairs, F.lit(0), lambda n, x: n + x)
-    scored = both.withColumn("overlap", overlap).withColumn("bit_error", wrong / (32.0 * F.col("overlap")))
-    return scored.filter((F.col("overlap") >= LEAST_OVERLAP) & (F.col("bit_error") <= BIT_ERROR)).select("query_id", "class_id", "offset", "hits", "overlap", "bit_error")
+    """id, class_id: the smallest id with the same fingerprint (without one: with the same samples)."""
+    first = prints.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return prints.select("id", "key").join(first, "key").select("id", "class_id", "class_size")
+
+
+def representatives(prints: DataFrame, name: str) -> DataFrame:
+    """Smallest id (called ``name``) and fingerprint of each class whose fingerprint is not empty, with its digest."""
+    return prints.filter(F.size("prints") > 0).groupBy("key").agg(F.min("id").alias(name), F.first("prints").alias("prints"))
+
+
+def runs(prints: list[np.ndarray], shift: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one third in consecutive positions: whose, value, first position, length."""
+    sizes = np.fromiter(map(len, prints), np.int64, len(prints))
+    value = (np.concatenate(prints).view(np.uint32) >> np.uint32(shift)) & np.uint32((1 << width) - 1)
+    owner = np.repeat(np.arange(len(prints)), sizes)
+    at = np.arange(len(value)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])))
+    return owner[first], value[first].astype(np.int64), at[first], np.diff(np.append(first, len(value)))
+
+
+class Asked:
+    """Queries of one block, with their thirds by value."""
+
+    def __init__(self, prints: list[np.ndarray]):
+        self.prints = prints
+        self.sizes = np.fromiter(map(len, prints), np.int64, len(prints))
+        self.flat = np.concatenate(prints).view(np.uint32)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.tables = []
+        for shift, width in THIRDS:
+            owner, value, at, length = runs(prints, shift, width)
+            order = np.argsort(value, kind="stable")
+            self.tables.append((owner[order], value[order], at[order], length[order]))
+
+    def hits(self, sound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, offset and hits of every offset with LEAST_HITS equal thirds, from the offset histograms."""
+        room = self.sizes + len(sound) + 1  # offsets from 1 - size to len(sound) - 1, and two places for the differences
+        base = np.cumsum(room) - room
+        steps = np.zeros(int(room.sum()), np.int64)
+        for (shift, width), (owner, value, at, length) in zip(THIRDS, self.tables, strict=True):
+            _, own_value, own_at, own_length = runs([sound], shift, width)
+            low, high = np.searchsorted(value, own_value, "left"), np.searchsorted(value, own_value, "right")
+            n = high - low
+            mine = np.repeat(np.arange(len(n)), n)
+            other = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            q, lq, lx = owner[other], length[other], own_length[mine]
+            start = base[q] + self.sizes[q] + own_at[mine] - at[other] - lq
+            ends = np.concatenate([start + lq, start + lx])
+            steps += np.bincount(np.concatenate([start, start + lq + lx]), minlength=len(steps)) - np.bincount(ends, minlength=len(steps))
+        # the differences of each query sum to 0, so sums run over all of them at once
+        total = steps.cumsum().cumsum()
+        found = np.flatnonzero(total >= LEAST_HITS)
+        q = np.searchsorted(base, found, "right") - 1
+        return q, found - base[q] - self.sizes[q] + 1, total[found]
+
+    def errors(self, sound: np.ndarray, q: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Overlap and differing bits of each (query, offset)."""
+        start = np.maximum(0, -offset)
+        overlap = np.minimum(self.sizes[q] - start, len(sound) - np.maximum(0, offset))
+        wrong = np.zeros(len(q), np.int64)
+        unsigned = sound.view(np.uint32)
+        cut = np.append(np.flatnonzero(np.diff(np.cumsum(overlap) // MOST_CELLS, prepend=-1)), len(q))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            n = overlap[a:b]
+            first = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(first, n)
+            differ = self.flat[np.repeat(self.begins[q[a:b]] + start[a:b], n) + place] ^ unsigned[np.repeat(np.maximum(0, offset[a:b]), n) + place]
+            wrong[a:b] = np.add.reduceat(np.bitwise_count(differ).astype(np.int64), first)
+        return overlap, wrong
+
+
+def aligned(queries: list[np.ndarray], sounds: list[np.ndarray]) -> list[tuple[int, int, int, int, int, float]]:
+    """(query, sound, offset, hits, overlap, bit error) of the best offset of each pair that aligns."""
+    out: list[tuple[int, int, int, int, int, float]] = []
+    order = np.argsort([len(x) for x in queries], kind="stable")
+    blocks: dict[int, list[tuple[np.ndarray, Asked]]] = {}
+    for k, sound in enumerate(sounds):
+        # as many queries at a time as the room for histograms allows; block sizes are powers of two, so few are built
+        at_once = 1 << int(math.log2(max(1, min(len(queries), MOST_CELLS // (len(sound) + len(queries[order[-1]]) + 1)))))
+        if at_once not in blocks:
+            cuts = [order[a : a + at_once] for a in range(0, len(order), at_once)]
+            blocks[at_once] = [(own, Asked([queries[x] for x in own])) for own in cuts]
+        for own, asked in blocks[at_once]:
+            q, offset, hits = asked.hits(sound)
+            room = np.minimum(asked.sizes[q] - np.maximum(0, -offset), len(sound) - np.maximum(0, offset)) >= LEAST_OVERLAP
+            q, offset, hits = q[room], offset[room], hits[room]
+            if not len(q):
+                continue
+            overlap, wrong = asked.errors(sound, q, offset)
+            error = wrong / (32.0 * overlap)
+            fits = np.flatnonzero(error <= BIT_ERROR)
+            best = fits[np.lexsort((offset[fits], np.abs(offset[fits]), -overlap[fits], error[fits], q[fits]))]
+            best = best[np.append(True, q[best][1:] != q[best][:-1])] if len(best) else best
+            out += [(int(own[q[x]]), k, int(offset[x]), int(hits[x]), int(overlap[x]), float(error[x])) for x in best]
+    return out
+
+
+def matches(prints: DataFrame, query_prints: DataFrame) -> DataFrame:
+    """Pairs (query class, class) that align: best offset, its hits, overlap and bit error.
+
+    The queries are a stated set that meets all sounds in blocks: chunks of sounds go to every block of queries.
+    """
+    ones, asking = cut_lineage(representatives(prints, "class_id")), cut_lineage(representatives(query_prints, "query_id"))
+    blocks = max(1, math.ceil(asking.count() / QUERIES_PER_BLOCK))
+    size = ones.agg(F.sum(F.size("prints").cast("long") * 4 + 32).alias("n")).first()["n"] or 0
+    chunks = max(1, math.ceil(size / CHUNK_BYTES))
+
+    def dealt(rows: DataFrame, own: str, n: int, other: str, copies: int) -> DataFrame:
+        deal = F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias(own)
+        return rows.select(deal, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other), F.col(rows.columns[1]), "prints")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, sounds = (t.column("prints").combine_chunks() for t in (left, right))
+        found = aligned(lists_of(asked), lists_of(sounds)) if len(asked) and len(sounds) else []
+        q, k, offset, hits, overlap, error = zip(*found, strict=True) if found else ((),) * 6
+        return pa.table({
+            "query_id": left.column("query_id").take(pa.array(q, pa.int64())), "class_id": right.column("class_id").take(pa.array(k, pa.int64())),
+            "offset": pa.array(offset, pa.int32()), "hits": pa.array(hits, pa.int64()), "overlap": pa.array(overlap, pa.int32()), "bit_error": pa.array(error, pa.float64()),
+        })
+
+    left = dealt(asking, "block", blocks, "chunk", chunks).groupBy("block", "chunk")
+    right = dealt(ones, "chunk", chunks, "block", blocks).groupBy("block", "chunk")
+    return left.cogroup(right).applyInArrow(trimmed(compare), "query_id long, class_id long, offset int, hits long, overlap int, bit_error double")
+
+
+def lists_of(column: pa.Array) -> list[np.ndarray]:
+    """Integer arrays of a list column without nulls."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)[:-1])
 
 
 def rendered(embeddings: DataFrame, note: int = 160) -> DataFrame:
@@ -220,4 +335,4 @@ def search(sounds: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame,
     cuts = quartiles(sounds)
     prints, query_prints = (cut_lineage(fingerprints(x, cuts)) for x in (sounds, queries))
     members, query_members = classes(prints), classes(query_prints)
-    return members, query_members, matches(prints, members, query_prints, query_members)
+    return members, query_members, matches(prints, query_prints)

@@ -266,10 +266,67 @@ def test_sounds_align_with_their_recordings(spark):
     classes = {r["id"]: r["class_id"] for r in members.collect()}
     assert classes[100] == classes[101] == classes[3] == 3
     assert all(best[k]["class_id"] == classes[k] and best[k]["offset"] == 9 and best[k]["bit_error"] < 0.05 for k in range(10))
+    # nothing to hear (a null vector is played as an empty one) and too little: classes by their samples
+    assert classes[102] == classes[103] == 102 and classes[104] == 104
     nothing = chroma.search(sounds.limit(0), queries.limit(0))
     assert [x.count() for x in nothing] == [0, 0, 0]
 
 
+def best_of_all_offsets(query: np.ndarray, sound: np.ndarray) -> tuple[int, float] | None:
+    """Overlap and bit error of the best offset of all (plain loop)."""
+    found = []
+    for offset in range(chroma.LEAST_OVERLAP - len(query), len(sound) - chroma.LEAST_OVERLAP + 1):
+        start = max(0, -offset)
+        n = min(len(query) - start, len(sound) - max(0, offset))
+        both = query[start : start + n] ^ sound[max(0, offset) : max(0, offset) + n]
+        error = int(np.bitwise_count(both.view(np.uint32)).sum()) / (32 * n)
+        if n >= chroma.LEAST_OVERLAP and error <= chroma.BIT_ERROR:
+            found.append((error, -n))
+    return (-min(found)[1], min(found)[0]) if found else None
+
+
+@pytest.mark.parametrize("hiss", [0.02, 0.2, 0.5])
+def test_recall_against_all_offsets(spark, hiss):
+    rng = np.random.default_rng(9)
+    vectors = spark.createDataFrame([(k, rng.normal(0, 0.13, 64).tolist()) for k in range(80 if hiss < 0.5 else 200)], "vec_id long, embedding array<float>")
+    sounds = chroma.rendered(vectors).cache()
+    queries = chroma.recorded(sounds, noise=hiss)
+    _, _, found = chroma.search(sounds, queries)
+    got = {(r["query_id"], r["class_id"]): (r["overlap"], r["bit_error"]) for r in found.collect()}
+    cuts = chroma.quartiles(sounds)
+    prints = [{r["id"]: np.array(r["prints"], np.int32) for r in chroma.fingerprints(x, cuts).collect()} for x in (queries, sounds)]
+    true = {(q, k): best for q, a in prints[0].items() for k, b in prints[1].items() if (best := best_of_all_offsets(a, b))}
+    assert len(true) >= (80 if hiss < 0.5 else 20)
+    assert set(got) <= set(true)
+    print(hiss, len(true), len(got))
+    same = sum(got.get(pair) == best for pair, best in true.items())
+    assert same >= 0.9 * len(true)
+
+
+def test_silence_long_and_short_sounds(spark):
+    note = np.sin(np.arange(30_000) * 0.3).tolist()
+    rows = [(1, [0.0] * 10_000), (2, [0.0] * 12_000), (3, [0.0] * 100), (4, [0.5] * 100), (5, [0.0] * 100), (6, None), (7, note), (None, note[:20_000]), (8, [None] * 11_000)]
+    sounds = spark.createDataFrame(rows, "id long, sound array<float>")
+    members, _, found = chroma.search(sounds, sounds.filter("id in (1, 7)"))
+    assert {r["id"]: r["class_id"] for r in members.collect() if r["id"]} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3, 6: 6, 7: 7, 8: 8}
+    pairs = {(r["query_id"], r["class_id"]): r["bit_error"] for r in found.collect()}
+    assert {(1, 1), (1, 2), (1, 8), (7, 7), (7, None)} <= set(pairs) and pairs[1, 2] == pairs[7, None] == 0
+
+
+def test_offset_histograms_equal_counts():
+    rng = np.random.default_rng(2)
+    queries = [rng.choice(np.array([0, 5, 1 << 11, 7 << 22, -1], np.int32), n) for n in (3, 17, 40)]
+    sound = np.repeat(rng.choice(np.array([0, 5, 1 << 11], np.int32), 12), 5).astype(np.int32)
+    counts: dict[tuple[int, int], int] = {}
+    for q, query in enumerate(queries):
+        for i, x in enumerate(query.view(np.uint32).tolist()):
+            for j, y in enumerate(sound.view(np.uint32).tolist()):
+                equal = sum((x >> a) % (1 << w) == (y >> a) % (1 << w) for a, w in chroma.THIRDS)
+                counts[q, j - i] = counts.get((q, j - i), 0) + equal
+    got = {(q, o): n for q, o, n in zip(*(x.tolist() for x in chroma.Asked(queries).hits(sound)), strict=True)}
+    assert got == {k: n for k, n in counts.items() if n >= chroma.LEAST_HITS}
+
+
 def test_integral_image_equals_plain_sums():
     frames = np.random.default_rng(1).random((20, chroma.CLASSES))
     got = chroma.filter_results(frames)
