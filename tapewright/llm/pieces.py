@@ -5,7 +5,13 @@ crosses: before a run of spaces, and around line ends. Each distinct chunk gives
 an equi-join with the piece table leaves the edges of its lattice, which are grouped by chunk and folded with
 ``aggregate``. The model is a BPE model: the path that a sum of scores would choose is not the one the library
 takes. So the fold applies, step by step, the best-scored edge that spans exactly two neighbouring parts, leftmost
-first, which gives the library's pieces exactly; the bounds between parts are bits of one long. Characters outside the piece table become byte pieces.
+first, which gives the library's pieces exactly; the bounds between parts are bits of one long. One pass over the edges,
+best score first, does the same wherever no edge can become possible after its turn; the pieces for which that cannot be
+ruled out are found from the model once (``Pieces.late``), and chunks with such an edge are folded step by step.
+Characters outside the piece table become byte pieces.
+
+Texts stay where they are read: each scan task packs them, compressed, into blocks, names the distinct chunks of a block
+once, and gets their ids back in the order asked.
 
 Chunks longer than LONG characters (texts without spaces) would make the fold quadratic; they are merged by a
 heap over the same pieces where the text is read, with the same result.
@@ -20,16 +26,18 @@ import functools
 import hashlib
 import heapq
 import re
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import blocks_for, trimmed
-from tapewright.llm.wordjoin import by_part, requests, text_blocks, unpack
+from tapewright.llm.common import arrow_rows, blocks_for, trimmed
+from tapewright.llm.wordjoin import SEPARATOR, by_part, requests, unpack
 
 SPACE = "▁"
 LONG = 48
@@ -87,6 +95,34 @@ class Pieces:
                 ids += [known] if known is not None else [self.byte_id[b] for b in part.encode("utf-8", "surrogatepass")]
         return ids
 
+    def late(self) -> set[str]:
+        """Pieces that may become possible after their turn in a pass by rank.
+
+        The first time this happens three neighbouring parts A, B, C get one merge that leaves two of them, whose whole ABC
+        has a better rank. All parts then rank no worse than the merge, and the pair that is not merged has no better rank (or
+        it would have been merged in its turn).
+        """
+        never = len(self.score)
+        rank = {p: k for k, p in enumerate(sorted(self.score, key=self.score.get, reverse=True))}
+        ties: dict[float, int] = {}
+        for piece in rank:  # pieces of equal score share a rank
+            rank[piece] = ties.setdefault(self.score[piece], rank[piece])
+
+        def of(part: str) -> int:
+            return -1 if len(part) == 1 else rank.get(part, never)
+
+        def possible(piece: str, own: int) -> bool:
+            for i in range(1, len(piece) - 1):
+                right, first = rank.get(piece[i:], never), of(piece[:i])
+                for j in range(i + 1, len(piece)):
+                    left = rank.get(piece[:j], never)
+                    parts = max(first, of(piece[i:j]), of(piece[j:]))
+                    if any(own <= merge < never and other >= merge >= parts for merge, other in ((left, right), (right, left))):
+                        return True
+            return False
+
+        return {piece for piece, own in rank.items() if possible(piece, own)}
+
     def text(self, ids: list[int] | np.ndarray) -> str:
         raw = b"".join([self.raw[k] for k in ids])
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
@@ -102,10 +138,11 @@ def chunks(text: str) -> list[str]:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """piece, id, cost (rank of its score, best first): as many rows as the model has pieces."""
+    """piece, id, cost (rank of its score, best first), late (see ``Pieces.late``): as many rows as the model has pieces."""
     own = pieces(path)
+    late = own.late()
     rank = {score: k for k, score in enumerate(sorted(set(own.score.values()), reverse=True))}
-    return spark.createDataFrame([(p, k, rank[own.score[p]]) for p, k in own.id_of.items()], "piece string, id long, cost long")
+    return spark.createDataFrame([(p, k, rank[own.score[p]], p in late) for p, k in own.id_of.items()], "piece string, id long, cost long, late boolean")
 
 
 def lattice(chunk_rows: DataFrame, path: str) -> DataFrame:
@@ -118,15 +155,32 @@ def lattice(chunk_rows: DataFrame, path: str) -> DataFrame:
     edges = cut.join(table, "piece", "left").filter(F.col("id").isNotNull() | (F.col("size") == 1))
     # one long per edge keeps the grouping small: cost, start, size, id + 1 (0: no piece)
     packed = F.shiftleft(F.coalesce("cost", F.lit(0).cast("long")), 36) + F.shiftleft(F.col("start").cast("long"), 28) + F.shiftleft(F.col("size").cast("long"), 20) + F.coalesce(F.col("id") + 1, F.lit(0).cast("long"))
-    grouped = edges.select("part", "chunk", packed.alias("edge")).groupBy("part", "chunk").agg(F.sort_array(F.collect_list("edge")).alias("packs"))
+    grouped = edges.select("part", "chunk", packed.alias("edge"), "late").groupBy("part", "chunk").agg(F.sort_array(F.collect_list("edge")).alias("packs"), F.coalesce(F.max("late"), F.lit(False)).alias("late"))
+
+    def start_of(x):
+        return F.shiftright(x, 28).bitwiseAND(255).cast("int")
+
+    def size_of(x):
+        return F.shiftright(x, 20).bitwiseAND(255).cast("int")
+
+    def window(bounds, x):
+        """Bounds from the start to the end of an edge, as the lowest bits."""
+        return F.call_function("shiftright", bounds, start_of(x)).bitwiseAND(bit(size_of(x) + 1) - 1)
+
+    def in_turn(bounds, x):
+        """Bounds after an edge had its turn: without the one inside it, if it spans exactly two parts."""
+        seen, ends = window(bounds, x), bit(size_of(x)) + 1
+        spans = (F.bit_count(seen) == 3) & (seen.bitwiseAND(ends) == ends) & (size_of(x) > 1)
+        return F.when(spans, bounds - F.call_function("shiftleft", seen - ends, start_of(x))).otherwise(bounds)
 
     def unpacked(x):
-        s = F.shiftright(x, 28).bitwiseAND(255).cast("int")
-        e = s + F.shiftright(x, 20).bitwiseAND(255).cast("int")
-        return F.struct(s.alias("s"), (x.bitwiseAND((1 << 20) - 1) - 1).cast("int").alias("id"), bit(s).bitwiseOR(bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inner"))
+        s = start_of(x)
+        e = s + size_of(x)
+        return F.struct(bit(s).bitwiseOR(bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inner"))
 
-    grouped = grouped.select("part", "chunk", F.transform("packs", unpacked).alias("edges"))
-    wide = grouped.withColumn("wide", F.filter("edges", lambda x: x["inner"] > 0))
+    stepwise = F.filter(F.transform("packs", unpacked), lambda x: x["inner"] > 0)
+    none = F.array().cast("array<struct<ends:bigint,inner:bigint>>")
+    wide = grouped.withColumn("wide", F.when(F.col("late"), stepwise).otherwise(none))
 
     def step(bounds, _):
         spans = F.filter("wide", lambda x: (bounds.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bounds.bitwiseAND(x["inner"])) == 1))
@@ -134,9 +188,12 @@ def lattice(chunk_rows: DataFrame, path: str) -> DataFrame:
 
     most = F.least(F.length("chunk") - 1, F.size("wide"))  # merges: each takes one edge and one inner bound
     rounds = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    folded = wide.withColumn("bounds", F.aggregate(rounds, bit(F.length("chunk") + 1) - 1, step))
-    path_edges = F.filter("edges", lambda x: (F.col("bounds").bitwiseAND(x["ends"]) == x["ends"]) & (F.col("bounds").bitwiseAND(x["inner"]) == 0))
-    in_order = F.sort_array(F.transform(path_edges, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
+    whole = bit(F.length("chunk") + 1) - 1
+    bounds = F.when(F.col("late"), F.aggregate(rounds, whole, step)).otherwise(F.aggregate("packs", whole, in_turn))
+    path_edges = F.filter("packs", lambda x: window(F.col("bounds"), x) == bit(size_of(x)) + 1)
+    # start and id + 1 of the edges on the path
+    in_order = F.sort_array(F.transform(path_edges, lambda x: F.shiftleft(start_of(x).cast("long"), 20) + x.bitwiseAND((1 << 20) - 1)))
+    folded = wide.withColumn("bounds", bounds).select("part", "chunk", in_order.alias("steps"))
     byte_ids = F.array(*[F.lit(own.byte_id.get(b, 0)) for b in range(256)])
 
     def raw_ids(letter):
@@ -145,7 +202,11 @@ def lattice(chunk_rows: DataFrame, path: str) -> DataFrame:
             lambda i: F.get(byte_ids, F.conv(F.hex(F.encode(letter, "UTF-8")).substr((i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")),
         )
 
-    ids = F.flatten(F.transform(in_order, lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(raw_ids(F.col("chunk").substr(x["s"] + 1, F.lit(1))))))
+    def id_of(x):
+        return (x.bitwiseAND((1 << 20) - 1) - 1).cast("int")
+
+    letters = F.flatten(F.transform("steps", lambda x: F.when(id_of(x) >= 0, F.array(id_of(x))).otherwise(raw_ids(F.col("chunk").substr(F.shiftright(x, 20).cast("int") + 1, F.lit(1))))))
+    ids = F.when(F.exists("steps", lambda x: id_of(x) < 0), letters).otherwise(F.transform("steps", id_of))
     return folded.select(F.col("part").alias("of_part"), "chunk", ids.alias("ids"))
 
 
@@ -153,16 +214,40 @@ def bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
+def packed_blocks(docs: DataFrame, blocks: int) -> DataFrame:
+    """block, packed: the rows (doc_id, text) of each scan task, compressed, in blocks of BLOCK_BYTES at most or one row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for number, rows in enumerate(arrow_rows(batches, BLOCK_BYTES)):
+            yield pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), pa.array([pack_rows(rows)], pa.binary())], ["block", "packed"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return source.mapInArrow(run, "block long, packed binary").repartition(blocks, "block")
+
+
+def pack_rows(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+        writer.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def rows_of(block: pa.Table) -> pa.Table:
+    return pa.ipc.open_stream(block.column("packed")[0].as_py()).read_all()
+
+
 def assembled(docs: DataFrame, path: str, finish: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
     """``finish`` of every block of texts (doc_id, text) and the ids of each of them."""
     docs.sparkSession.conf.set(IN_MEMORY_KEYS_CONF, IN_MEMORY_KEYS)
     blocks = blocks_for(docs, "text", BLOCK_BYTES)
     parts = PARTS_PER_BLOCK * blocks
-    blocked = text_blocks(docs, blocks)
+    blocked = packed_blocks(docs, blocks)
 
     def count(block: pa.Table) -> tuple[list[bytes], list[dict[bytes, int]]]:
         found: set[str] = set()
-        for text in block.column("text"):
+        for text in rows_of(block).column("text"):
             found.update(chunks(text.as_py()))
         return [c.encode() for c in found if len(c) <= LONG and c != "\n"], []
 
@@ -178,18 +263,23 @@ def assembled(docs: DataFrame, path: str, finish: Callable[[pa.Table, list[np.nd
         sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
         begins = np.append(0, np.cumsum(sizes))
-        packs, counts = [], []
+        packs, counts, sums = [], [], []
         for words in wanted.column("words").to_pylist():
             at = np.array([place[w] for w in unpack(words)], np.int64)
             n = sizes[at]
             packs.append(n.astype("<u2").tobytes() + flat[slices(begins[at], n)].tobytes())
             counts.append(len(at))
-        return pa.table({"of_block": wanted.column("block"), "part": wanted.column("part"), "n": pa.array(counts, pa.int32()), "pack": pa.array(packs, pa.binary())})
+            sums.append(zlib.crc32(words))
+        return pa.table({
+            "of_block": wanted.column("block"), "part": wanted.column("part"), "n": pa.array(counts, pa.int32()),
+            "asked": pa.array(sums, pa.int64()), "pack": pa.array(packs, pa.binary()),
+        })
 
-    answers = asked.groupBy("part").cogroup(solved.groupBy("of_part")).applyInArrow(trimmed(answer), "of_block int, part int, n int, pack binary")
+    answers = asked.groupBy("part").cogroup(solved.groupBy("of_part")).applyInArrow(trimmed(answer), "of_block long, part int, n int, asked long, pack binary")
 
-    def read(key: tuple, texts: pa.Table, packs: pa.Table) -> pa.Table:
+    def read(key: tuple, block: pa.Table, packs: pa.Table) -> pa.Table:
         own = pieces(path)
+        texts = rows_of(block)
         numbers: dict[str, int] = {}
         lists = []
         for text in texts.column("text"):
@@ -198,7 +288,9 @@ def assembled(docs: DataFrame, path: str, finish: Callable[[pa.Table, list[np.nd
         begins, sizes = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         rows = by_part((c.encode() for c in numbers if len(c) <= LONG and c != "\n"), parts)
         flats, at = [], 0
-        for part, n, pack in zip(*(packs.column(c).to_pylist() for c in ("part", "n", "pack")), strict=True):
+        for part, n, asked_sum, pack in zip(*(packs.column(c).to_pylist() for c in ("part", "n", "asked", "pack")), strict=True):
+            if zlib.crc32(SEPARATOR.join(rows[part])) != asked_sum:  # the rows of a lost task came back in another order
+                raise RuntimeError("a block of texts changed between asking and reading; write the input first")
             own_at = np.fromiter((numbers[w.decode()] for w in rows[part]), np.int64, n)
             size = np.frombuffer(pack, "<u2", n).astype(np.int64)
             sizes[own_at], begins[own_at] = size, at + np.cumsum(size) - size

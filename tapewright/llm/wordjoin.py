@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import block_of, trimmed
 
-REQUEST = "part int, block int, words binary, counts binary"
+REQUEST = "part int, block {}, words binary, counts binary"
 SEPARATOR = b"\n"
 
 
@@ -52,12 +52,13 @@ def requests(blocked: DataFrame, parts: int, count_words: Callable[[pa.Table], t
         packs = [np.array([[t.get(x, 0) for x in w] for t in tables], np.int64).tobytes() for w in rows.values()]
         return pa.table({
             "part": pa.array(list(rows), pa.int32()),
-            "block": pa.array([number] * len(rows), pa.int32()),
+            "block": pa.array([number] * len(rows), block.column("block").type),
             "words": pa.array([SEPARATOR.join(w) for w in rows.values()], pa.binary()),
             "counts": pa.array(packs, pa.binary()),
         })
 
-    return blocked.groupBy("block").applyInArrow(trimmed(ask), REQUEST).repartition(parts, "part")
+    schema = REQUEST.format(blocked.schema["block"].dataType.simpleString())
+    return blocked.groupBy("block").applyInArrow(trimmed(ask), schema).repartition(parts, "part")
 
 
 def unpack(words: bytes) -> list[bytes]:
