@@ -190,7 +190,9 @@ def lattice(chunk_rows: DataFrame, path: str) -> DataFrame:
     rounds = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
     whole = bit(F.length("chunk") + 1) - 1
     bounds = F.when(F.col("late"), F.aggregate(rounds, whole, step)).otherwise(F.aggregate("packs", whole, in_turn))
-    path_edges = F.filter("packs", lambda x: window(F.col("bounds"), x) == bit(size_of(x)) + 1)
+    # two uses of the bounds keep Catalyst from moving the fold into this filter, where it would run once per edge
+    bounds_now = F.col("bounds")
+    path_edges = F.filter("packs", lambda x: (bounds_now.bitwiseAND(bit(start_of(x))) != 0) & (window(bounds_now, x) == bit(size_of(x)) + 1))
     # start and id + 1 of the edges on the path
     in_order = F.sort_array(F.transform(path_edges, lambda x: F.shiftleft(start_of(x).cast("long"), 20) + x.bitwiseAND((1 << 20) - 1)))
     folded = wide.withColumn("bounds", bounds).select("part", "chunk", in_order.alias("steps"))
