@@ -17,6 +17,6 @@ def quiet(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["G5_backfill_summary"])
+@pytest.mark.parametrize("name", ["G5_backfill_summary", "R4_registry_tables"])
 def test_tape_without_gaps_equals_sql(spark, quiet, name):
     assert compare(entry.queries()[name](spark, quiet), duck(quiet), entry.oracle_sql()[name]) is None
