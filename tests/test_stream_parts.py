@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import compare, duck
@@ -11,6 +12,17 @@ from tapewright.plans import q_streams, views
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize("order", ["x", None])
+def test_micro_batches_and_files_are_bounded(spark, order):
+    rows = spark.range(3000).select(((F.col("id") * 7) % 3000).alias("x"))
+    stream = q_streams.as_stream(spark, rows, "parts", order=order, batch_rows=500, file_rows=250)
+    found = q_streams.collected(spark, stream, "append", "parts-out")
+    got = found.groupBy("batch").agg(F.count("x").alias("n"), F.min("x").alias("a"), F.max("x").alias("z")).orderBy("batch").collect()
+    assert len(got) == 6 and sum(r.n for r in got) == 3000 and max(r.n for r in got) <= 600
+    if order:
+        assert all(before.z < after.a for before, after in zip(got, got[1:]))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not mounted")
 def test_capture_is_cut_into_files(spark, monkeypatch):
     monkeypatch.setattr(q_streams, "CAPTURE_ROWS", 100)
