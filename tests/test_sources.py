@@ -277,3 +277,38 @@ def test_plain_captures_whose_names_end_like_packed_ones(spark, tmp_path):
     (tmp_path / "b.zst").write_bytes(zstandard.ZstdCompressor().compress(b"packed\n"))
     lines = sorted(r.value for r in files.raw_lines(spark, str(tmp_path)).collect())
     assert lines == sorted(["a.json", "frozenzst", "zst", "t", "best", "part.txt", "packed"])
+
+
+def counted(spark, df, column):
+    """The table with a counter of how often its rows were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(count, "string").asNondeterministic()(column)), seen
+
+
+def test_frames_and_documents_are_decoded_once(spark, tmp_path):
+    mids = [{"channel": "allMids", "data": {"mids": {"A": str(i + 1)}}} for i in range(20)]
+    rows, seen = counted(spark, frames(spark, [*mids, {"channel": "trades", "data": "broken"}]), "value")
+    tables = wire.split_events(rows)
+    rejects = tables.pop("rejects").collect()
+    assert [json.loads(r.value)["channel"] for r in rejects] == ["trades"]
+    files.export_events_parquet(tables, f"{tmp_path}/ev")
+    assert seen.value == 21
+    back = files.read_events_parquet(spark, f"{tmp_path}/ev", fail=False)
+    assert sorted(r.mid for r in back["mids"].collect()) == [float(i + 1) for i in range(20)]
+    assert all("from_json" not in t._jdf.queryExecution().toString() for t in back.values())
+
+
+def test_a_bad_document_ends_the_reading_of_every_table(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "all_mids", 5, None, '{"AllMids": {"recv_ts_ns": 5, "mids_by_hl_coin": {"A": 1.5}}}'), (1, "x", 5, None, "nothing")],
+                                 "row_index long, event_type string, recv_ts_ns long, hl_coin string, event_json string")
+    rows.write.parquet(f"{tmp_path}/ev/events")
+    files.write_manifest(spark, f"{tmp_path}/ev", files.EVENT_MANIFEST)
+    with pytest.raises(Exception, match="unreadable document: nothing"):
+        files.read_events_parquet(spark, f"{tmp_path}/ev")["mids"].collect()
+    tables = files.read_events_parquet(spark, f"{tmp_path}/ev", fail=False)
+    assert tables["mids"].count() == 1 and [r.line for r in tables["rejects"].collect()] == ["nothing"]
