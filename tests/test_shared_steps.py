@@ -1,8 +1,9 @@
-"""Steps that several results share are computed once."""
+"""Steps that several results share are computed once, and a task holds a bounded part of a key."""
 
 from pyspark.sql import functions as F
 
 from tapewright.operators import features
+from tapewright.operators.ordered import split_hot_keys
 from tapewright.operators.timegrid import DecisionTimes
 
 
@@ -20,3 +21,10 @@ def test_quotes_are_ordered_once_for_all_windows(spark):
     frame = spark.createDataFrame([("A", 10_000 * k) for k in range(1, 7)], "symbol string, now_ms long")
     found = features.quote_windows(quotes, times, features.FeatureParams(), frame, all_small=True).collect()
     assert len(found) == 6 and seen.value == 60
+
+
+def test_a_large_key_is_cut_by_default(spark):
+    rows = spark.range(2_500_000).select(F.lit(0).alias("key"), F.col("id").alias("ts"), F.col("id").alias("seq"))
+    parts, hot = split_hot_keys(rows, ["key"], "ts", "seq")
+    sizes = [r["count"] for r in parts.groupBy("_chunk").count().collect()]
+    assert hot and sum(sizes) == 2_500_000 and max(sizes) <= 1_000_000
