@@ -312,3 +312,18 @@ def test_a_bad_document_ends_the_reading_of_every_table(spark, tmp_path):
         files.read_events_parquet(spark, f"{tmp_path}/ev")["mids"].collect()
     tables = files.read_events_parquet(spark, f"{tmp_path}/ev", fail=False)
     assert tables["mids"].count() == 1 and [r.line for r in tables["rejects"].collect()] == ["nothing"]
+
+
+def test_lines_are_numbered_without_a_sort(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "with_row_index", lambda *a: pytest.fail("all lines were sorted"))
+    (tmp_path / "docs").mkdir()
+    for name, count in (("b", 300), ("a", 200), ("c", 1)):
+        lines = [json.dumps({"AllMids": {"recv_ts_ns": i, "mids_by_hl_coin": {name: i + 1.0}}}) for i in range(count)]
+        (tmp_path / "docs" / f"{name}.txt").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # several blocks a file
+    try:
+        rows = files.read_normalized(spark, f"{tmp_path}/docs")["mids"].orderBy("ingest_seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.ingest_seq for r in rows] == list(range(501))
+    assert [(r.symbol, r.mid) for r in rows] == [(n, i + 1.0) for n, c in (("a", 200), ("b", 300), ("c", 1)) for i in range(c)]
