@@ -1,17 +1,16 @@
 """Encoding and decoding with a SentencePiece BPE model as a relational lattice (operator 5).
 
 A text becomes the model's internal form (a space in front, spaces as U+2581) and is cut into chunks that no piece
-crosses: before a run of spaces, and around line ends. Each distinct chunk gives its substrings up to the longest piece;
-an equi-join with the piece table leaves the edges of its lattice, which are grouped by chunk and folded with
-``aggregate``. The model is a BPE model: the path that a sum of scores would choose is not the one the library
-takes. So the fold applies, step by step, the best-scored edge that spans exactly two neighbouring parts, leftmost
-first, which gives the library's pieces exactly; the bounds between parts are bits of one long. One pass over the edges,
-best score first, does the same wherever no edge can become possible after its turn; the pieces for which that cannot be
-ruled out are found from the model once (``Pieces.late``), and chunks with such an edge are folded step by step.
-Characters outside the piece table become byte pieces.
+crosses: before a run of spaces, and around line ends. Chunks are dealt to parts by hash, so each distinct one is solved once. Its
+substrings are joined with the pieces character by character (a table of prefixes, so a substring that begins no piece is not
+extended), which leaves the edges of its lattice. The model is a BPE model: the path that a sum of scores would choose is not the one the
+library takes. So the fold applies, step by step, the best-scored edge that spans exactly two neighbouring parts, leftmost
+first, which gives the library's pieces exactly; the bounds between parts are bits of one long. A step is taken for all chunks
+of a part at once. Characters outside the piece table become byte pieces.
 
 Texts stay where they are read: each scan task packs them, compressed, into blocks, names the distinct chunks of a block
-once, and gets their ids back in the order asked.
+once, and gets their ids back in the order asked. Texts are then put together from their chunks: a chunk is decoded and its ids are
+written out once per block.
 
 Chunks longer than LONG characters (texts without spaces) would make the fold quadratic; they are merged by a
 heap over the same pieces where the text is read, with the same result.
@@ -28,25 +27,25 @@ import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import arrow_rows, blocks_for, trimmed
-from tapewright.llm.wordjoin import SEPARATOR, by_part, requests, unpack
+from tapewright.llm.wordjoin import SEPARATOR, by_part, requests, squeezed, unpack, unsqueezed
 
 SPACE = "▁"
 LONG = 48
-#: Word parts per block of texts: a lattice takes about forty times the room of its chunk.
-PARTS_PER_BLOCK = 2
 BLOCK_BYTES = 6_000_000
-#: Chunks whose edges Spark gathers in a hash table per task, before it would sort all edges instead.
-IN_MEMORY_KEYS_CONF = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-IN_MEMORY_KEYS = "100000"
+#: Chunks solved together: what the edges of one call hold (about 1 KB a chunk).
+TOGETHER = 5_000
+#: Bits of a code point in a key of the prefix table.
+CODE_BITS = 21
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -69,6 +68,7 @@ class Pieces:
             else:
                 self.id_of[piece], self.score[piece] = k, model.get_score(k)
                 self.raw.append(piece.replace(SPACE, " ").encode())
+        self.names = [b"%d" % k for k in range(len(self.raw))]
         self.longest = max(map(len, self.id_of), default=1)
 
     def merged(self, chunk: str) -> list[int]:
@@ -95,33 +95,90 @@ class Pieces:
                 ids += [known] if known is not None else [self.byte_id[b] for b in part.encode("utf-8", "surrogatepass")]
         return ids
 
-    def late(self) -> set[str]:
-        """Pieces that may become possible after their turn in a pass by rank.
-
-        The first time this happens three neighbouring parts A, B, C get one merge that leaves two of them, whose whole ABC
-        has a better rank. All parts then rank no worse than the merge, and the pair that is not merged has no better rank (or
-        it would have been merged in its turn).
-        """
-        never = len(self.score)
-        rank = {p: k for k, p in enumerate(sorted(self.score, key=self.score.get, reverse=True))}
-        ties: dict[float, int] = {}
-        for piece in rank:  # pieces of equal score share a rank
-            rank[piece] = ties.setdefault(self.score[piece], rank[piece])
-
-        def of(part: str) -> int:
-            return -1 if len(part) == 1 else rank.get(part, never)
-
-        def possible(piece: str, own: int) -> bool:
-            for i in range(1, len(piece) - 1):
-                right, first = rank.get(piece[i:], never), of(piece[:i])
-                for j in range(i + 1, len(piece)):
-                    left = rank.get(piece[:j], never)
-                    parts = max(first, of(piece[i:j]), of(piece[j:]))
-                    if any(own <= merge < never and other >= merge >= parts for merge, other in ((left, right), (right, left))):
-                        return True
-            return False
-
-        return {piece for piece, own in rank.items() if possible(piece, own)}
+    @functools.cached_property
+    def prefixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Table of all prefixes of pieces: sorted keys (shorter prefix, code point) and the prefix each leads to; id (-1: no piece) and rank by prefix."""
+        rank = {score: k for k, score in enumerate(sorted(set(self.score.values()), reverse=True))}
+        nodes: dict[int, int] = {}
+        ids, ranks = [-1], [0]
+        for piece, number in self.id_of.items():
+            node = 0
+            for letter in piece:
+                node = nodes.setdefault(node << CODE_BITS | ord(letter), len(ids))
+                if node == len(ids):
+                    ids.append(-1)
+                    ranks.append(0)
+            ids[node], ranks[node] = number, rank[self.score[piece]]
+        keys = np.fromiter(nodes, np.int64, len(nodes))
+        order = np.argsort(keys)
+        return keys[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order], np.array(ids), np.array(ranks)
+
+    def solve(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks of LONG characters at most, one after the other, and how many each has."""
+        parts = [self.fold(chunks[k : k + TOGETHER]) for k in range(0, len(chunks), TOGETHER)] or [self.fold([])]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([sizes for _, sizes in parts])
+
+    def edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that occur in code points, of which ``left`` belong to the same chunk from each on: place, size, rank, id."""
+        keys, leads_to, id_of, rank_of = self.prefixes
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        found = []
+        for size in range(1, self.longest + 1):
+            if size > 1:
+                on = left[at] >= size
+                at, node = at[on], node[on]
+            if not len(at) or not len(keys):
+                break
+            wanted = node << CODE_BITS | codes[at + (size - 1)]
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            on = keys[place] == wanted
+            at, node = at[on], leads_to[place[on]]
+            piece = id_of[node] >= 0
+            found.append((at[piece], np.full(int(piece.sum()), size), rank_of[node[piece]], id_of[node[piece]]))
+        none = np.zeros((4, 1, 0), np.int64)
+        return tuple(np.concatenate(x) for x in (zip(*found, strict=True) if found else none))
+
+    def fold(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        begins, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(chunks)), sizes)
+        at, size, rank, ids = self.edges(codes, (begins + sizes)[of] - np.arange(len(codes)))
+        part = np.full(len(codes), -1)  # id of the part that begins at a place
+        single = size == 1
+        part[at[single]] = ids[single]
+        at, size, rank, ids = (x[~single] for x in (at, size, rank, ids))
+        # by chunk, best first, then leftmost; a rank is below the number of pieces
+        order = np.argsort((of[at] * (len(self.score) + 1) + rank) * (LONG + 1) + at - begins[of[at]])
+        at, size, ids = at[order], size[order], ids[order]
+        chunk = of[at]
+        low = np.int64(1) << (at - begins[chunk])
+        high = low << size
+        ends, inner = low | high, high - (low << 1)
+        bounds = (np.int64(1) << (sizes + 1)) - 1
+        while len(chunk):
+            now = bounds[chunk]
+            inside = now & inner
+            possible = ((now & ends) == ends) & (inside != 0)  # both ends are still bounds, and it is not a part yet
+            turn = np.flatnonzero(possible & ((inside & (inside - 1)) == 0))
+            turn = turn[np.append(True, chunk[turn][1:] != chunk[turn][:-1])] if len(turn) else turn
+            bounds[chunk[turn]] -= inside[turn]
+            part[at[turn]] = ids[turn]
+            moved = np.zeros(len(chunks), bool)
+            moved[chunk[turn]] = True  # where nothing merged, nothing ever will
+            on = possible & moved[chunk]
+            on[turn] = False
+            chunk, at, ids, ends, inner = chunk[on], at[on], ids[on], ends[on], inner[on]
+        starts = np.flatnonzero(bounds[of] >> (np.arange(len(codes)) - begins[of]) & 1)
+        out, owner = part[starts], of[starts]
+        raw = np.flatnonzero(out < 0)
+        if len(raw):
+            spelled = [[self.byte_id.get(b, 0) for b in chr(c).encode("utf-8", "surrogatepass")] for c in codes[starts[raw]]]
+            many = np.ones(len(out), np.int64)
+            many[raw] = [len(x) for x in spelled]
+            places = (np.cumsum(many) - many)[raw]
+            out, owner = np.repeat(out, many), np.repeat(owner, many)
+            out[slices(places, many[raw])] = [k for x in spelled for k in x]
+        return out, np.bincount(owner, minlength=len(chunks))
 
     def text(self, ids: list[int] | np.ndarray) -> str:
         raw = b"".join([self.raw[k] for k in ids])
@@ -137,83 +194,19 @@ def chunks(text: str) -> list[str]:
     return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """piece, id, cost (rank of its score, best first), late (see ``Pieces.late``): as many rows as the model has pieces."""
-    own = pieces(path)
-    late = own.late()
-    rank = {score: k for k, score in enumerate(sorted(set(own.score.values()), reverse=True))}
-    return spark.createDataFrame([(p, k, rank[own.score[p]], p in late) for p, k in own.id_of.items()], "piece string, id long, cost long, late boolean")
+def lattice(chunk_rows: DataFrame, path: str) -> DataFrame:
+    """(of_part, chunk) -> ids of rows (part, chunk), where the rows are; chunks have LONG characters at most."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, sizes = pieces(path).solve(batch.column("chunk").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("chunk"), id_lists(flat, sizes)], ["of_part", "chunk", "ids"])
 
-def lattice(chunk_rows: DataFrame, path: str) -> DataFrame:
-    """(of_part, chunk) -> ids. Every step keeps the rows where they are: the grouping is by (part, chunk)."""
-    spark, own = chunk_rows.sparkSession, pieces(path)
-    table = F.broadcast(piece_table(spark, path))  # fixed by the model file
-    starts = chunk_rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("chunk") - 1)))
-    cut = starts.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(own.longest), F.length("chunk") - F.col("start")))))
-    cut = cut.withColumn("piece", F.col("chunk").substr(F.col("start") + 1, F.col("size")))
-    edges = cut.join(table, "piece", "left").filter(F.col("id").isNotNull() | (F.col("size") == 1))
-    # one long per edge keeps the grouping small: cost, start, size, id + 1 (0: no piece)
-    packed = F.shiftleft(F.coalesce("cost", F.lit(0).cast("long")), 36) + F.shiftleft(F.col("start").cast("long"), 28) + F.shiftleft(F.col("size").cast("long"), 20) + F.coalesce(F.col("id") + 1, F.lit(0).cast("long"))
-    grouped = edges.select("part", "chunk", packed.alias("edge"), "late").groupBy("part", "chunk").agg(F.sort_array(F.collect_list("edge")).alias("packs"), F.coalesce(F.max("late"), F.lit(False)).alias("late"))
-
-    def start_of(x):
-        return F.shiftright(x, 28).bitwiseAND(255).cast("int")
-
-    def size_of(x):
-        return F.shiftright(x, 20).bitwiseAND(255).cast("int")
-
-    def window(bounds, x):
-        """Bounds from the start to the end of an edge, as the lowest bits."""
-        return F.call_function("shiftright", bounds, start_of(x)).bitwiseAND(bit(size_of(x) + 1) - 1)
-
-    def in_turn(bounds, x):
-        """Bounds after an edge had its turn: without the one inside it, if it spans exactly two parts."""
-        seen, ends = window(bounds, x), bit(size_of(x)) + 1
-        spans = (F.bit_count(seen) == 3) & (seen.bitwiseAND(ends) == ends) & (size_of(x) > 1)
-        return F.when(spans, bounds - F.call_function("shiftleft", seen - ends, start_of(x))).otherwise(bounds)
-
-    def unpacked(x):
-        s = start_of(x)
-        e = s + size_of(x)
-        return F.struct(bit(s).bitwiseOR(bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inner"))
-
-    stepwise = F.filter(F.transform("packs", unpacked), lambda x: x["inner"] > 0)
-    none = F.array().cast("array<struct<ends:bigint,inner:bigint>>")
-    wide = grouped.withColumn("wide", F.when(F.col("late"), stepwise).otherwise(none))
-
-    def step(bounds, _):
-        spans = F.filter("wide", lambda x: (bounds.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bounds.bitwiseAND(x["inner"])) == 1))
-        return F.coalesce(F.get(F.transform(F.slice(spans, 1, 1), lambda x: bounds - bounds.bitwiseAND(x["inner"])), F.lit(0)), bounds)
-
-    most = F.least(F.length("chunk") - 1, F.size("wide"))  # merges: each takes one edge and one inner bound
-    rounds = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    whole = bit(F.length("chunk") + 1) - 1
-    bounds = F.when(F.col("late"), F.aggregate(rounds, whole, step)).otherwise(F.aggregate("packs", whole, in_turn))
-    # two uses of the bounds keep Catalyst from moving the fold into this filter, where it would run once per edge
-    bounds_now = F.col("bounds")
-    path_edges = F.filter("packs", lambda x: (bounds_now.bitwiseAND(bit(start_of(x))) != 0) & (window(bounds_now, x) == bit(size_of(x)) + 1))
-    # start and id + 1 of the edges on the path
-    in_order = F.sort_array(F.transform(path_edges, lambda x: F.shiftleft(start_of(x).cast("long"), 20) + x.bitwiseAND((1 << 20) - 1)))
-    folded = wide.withColumn("bounds", bounds).select("part", "chunk", in_order.alias("steps"))
-    byte_ids = F.array(*[F.lit(own.byte_id.get(b, 0)) for b in range(256)])
-
-    def raw_ids(letter):
-        return F.transform(
-            F.sequence(F.lit(0), F.octet_length(letter) - 1),
-            lambda i: F.get(byte_ids, F.conv(F.hex(F.encode(letter, "UTF-8")).substr((i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")),
-        )
-
-    def id_of(x):
-        return (x.bitwiseAND((1 << 20) - 1) - 1).cast("int")
-
-    letters = F.flatten(F.transform("steps", lambda x: F.when(id_of(x) >= 0, F.array(id_of(x))).otherwise(raw_ids(F.col("chunk").substr(F.shiftright(x, 20).cast("int") + 1, F.lit(1))))))
-    ids = F.when(F.exists("steps", lambda x: id_of(x) < 0), letters).otherwise(F.transform("steps", id_of))
-    return folded.select(F.col("part").alias("of_part"), "chunk", ids.alias("ids"))
-
-
-def bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    return chunk_rows.select("part", F.col("chunk").cast("string").alias("chunk")).mapInArrow(run, f"of_part {chunk_rows.schema['part'].dataType.simpleString()}, chunk string, ids array<int>")
+
+
+def id_lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
 
 
 def packed_blocks(docs: DataFrame, blocks: int) -> DataFrame:
@@ -240,72 +233,86 @@ def rows_of(block: pa.Table) -> pa.Table:
     return pa.ipc.open_stream(block.column("packed")[0].as_py()).read_all()
 
 
-def assembled(docs: DataFrame, path: str, finish: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
-    """``finish`` of every block of texts (doc_id, text) and the ids of each of them."""
-    docs.sparkSession.conf.set(IN_MEMORY_KEYS_CONF, IN_MEMORY_KEYS)
+class Found(NamedTuple):
+    """The chunks of a block, their ids (``flat``, from ``begins``, ``sizes`` of them), and the texts as chunk numbers, one after the other."""
+
+    chunks: list[str]
+    flat: np.ndarray
+    begins: np.ndarray
+    sizes: np.ndarray
+    texts: list[np.ndarray]
+
+    def ids(self) -> pa.ListArray:
+        """Ids of every text."""
+        flat = [self.flat[slices(self.begins[x], self.sizes[x])] for x in self.texts]
+        return id_lists(np.concatenate([*flat, np.zeros(0, np.int64)]), np.fromiter(map(len, flat), np.int64, len(flat)))
+
+
+class Numbers(dict):
+    """Consecutive numbers, given when a key is first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
+def assembled(docs: DataFrame, path: str, finish: Callable[[pa.Table, Found], pa.Table], schema: str) -> DataFrame:
+    """``finish`` of every block of texts (doc_id, text) and the ids of their chunks."""
     blocks = blocks_for(docs, "text", BLOCK_BYTES)
-    parts = PARTS_PER_BLOCK * blocks
     blocked = packed_blocks(docs, blocks)
+    wide = "<u2" if len(pieces(path).raw) <= 1 << 16 else "<u4"
 
     def count(block: pa.Table) -> tuple[list[bytes], list[dict[bytes, int]]]:
         found: set[str] = set()
-        for text in rows_of(block).column("text"):
-            found.update(chunks(text.as_py()))
+        for text in rows_of(block).column("text").to_pylist():
+            found.update(chunks(text))
         return [c.encode() for c in found if len(c) <= LONG and c != "\n"], []
 
-    # both uses read the same three columns, so that the exchange by part is reused
-    asked = requests(blocked, parts, count).select("part", "block", "words")
-    listed = F.explode(F.split(F.decode("words", "UTF-8"), "\n"))
-    distinct = asked.select("part", "block", listed.alias("chunk")).filter(F.col("chunk") != "").groupBy("part", "chunk").agg(F.min("block").alias("block"))
-    solved = lattice(distinct.filter("block >= 0").drop("block"), path)
-
-    def answer(key: tuple, wanted: pa.Table, known: pa.Table) -> pa.Table:
-        ids = known.column("ids").combine_chunks()
-        place = {c.encode(): k for k, c in enumerate(known.column("chunk").to_pylist())}
-        sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        begins = np.append(0, np.cumsum(sizes))
-        packs, counts, sums = [], [], []
-        for words in wanted.column("words").to_pylist():
-            at = np.array([place[w] for w in unpack(words)], np.int64)
-            n = sizes[at]
-            packs.append(n.astype("<u2").tobytes() + flat[slices(begins[at], n)].tobytes())
-            counts.append(len(at))
-            sums.append(zlib.crc32(words))
+    asked = requests(blocked, blocks, count, squeeze=True).select("part", "block", "words")
+
+    def answer(wanted: pa.Table) -> pa.Table:
+        lists = [unpack(unsqueezed(w)) for w in wanted.column("words").to_pylist()]
+        place = Numbers()
+        at = [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in lists]
+        flat, sizes = pieces(path).solve([w.decode() for w in place])
+        flat, sizes = flat.astype(wide), sizes.astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
         return pa.table({
-            "of_block": wanted.column("block"), "part": wanted.column("part"), "n": pa.array(counts, pa.int32()),
-            "asked": pa.array(sums, pa.int64()), "pack": pa.array(packs, pa.binary()),
+            "of_block": wanted.column("block"), "part": wanted.column("part"), "n": pa.array(list(map(len, lists)), pa.int32()),
+            "asked": pa.array([zlib.crc32(SEPARATOR.join(words)) for words in lists], pa.int64()),
+            "pack": pa.array([squeezed(sizes[x].astype("u1").tobytes() + flat[slices(begins[x], sizes[x])].tobytes()) for x in at], pa.binary()),
         })
 
-    answers = asked.groupBy("part").cogroup(solved.groupBy("of_part")).applyInArrow(trimmed(answer), "of_block long, part int, n int, asked long, pack binary")
+    answers = asked.groupBy("part").applyInArrow(trimmed(answer), "of_block long, part int, n int, asked long, pack binary")
 
     def read(key: tuple, block: pa.Table, packs: pa.Table) -> pa.Table:
         own = pieces(path)
         texts = rows_of(block)
-        numbers: dict[str, int] = {}
+        numbers = Numbers()
         lists = []
-        for text in texts.column("text"):
-            cs = chunks(text.as_py())
-            lists.append(np.fromiter((numbers.setdefault(c, len(numbers)) for c in cs), np.int32, len(cs)))
+        for text in texts.column("text").to_pylist():
+            cs = chunks(text)
+            lists.append(np.fromiter(map(numbers.__getitem__, cs), np.int32, len(cs)))
         begins, sizes = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-        rows = by_part((c.encode() for c in numbers if len(c) <= LONG and c != "\n"), parts)
+        rows = by_part((c.encode() for c in numbers if len(c) <= LONG and c != "\n"), blocks)
         flats, at = [], 0
         for part, n, asked_sum, pack in zip(*(packs.column(c).to_pylist() for c in ("part", "n", "asked", "pack")), strict=True):
             if zlib.crc32(SEPARATOR.join(rows[part])) != asked_sum:  # the rows of a lost task came back in another order
                 raise RuntimeError("a block of texts changed between asking and reading; write the input first")
             own_at = np.fromiter((numbers[w.decode()] for w in rows[part]), np.int64, n)
-            size = np.frombuffer(pack, "<u2", n).astype(np.int64)
+            raw = unsqueezed(pack)
+            size = np.frombuffer(raw, "u1", n).astype(np.int64)
             sizes[own_at], begins[own_at] = size, at + np.cumsum(size) - size
-            flats.append(np.frombuffer(pack, "<u4", offset=2 * n))
+            flats.append(np.frombuffer(raw, wide, offset=n))
             at += len(flats[-1])
         for chunk, number in numbers.items():
             if len(chunk) > LONG or chunk == "\n":
-                ids = np.array(own.merged(chunk), "<u4")
+                ids = np.array(own.merged(chunk), wide)
                 sizes[number], begins[number] = len(ids), at
                 flats.append(ids)
                 at += len(ids)
-        flat = np.concatenate([*flats, np.zeros(0, "<u4")]).astype(np.int32)
-        return finish(texts, [flat[slices(begins[x], sizes[x])] for x in lists])
+        flat = np.concatenate([*flats, np.zeros(0, wide)]).astype(np.int32)
+        return finish(texts, Found(list(numbers), flat, begins, sizes, lists))
 
     return blocked.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(trimmed(read), schema)
 
@@ -318,8 +325,8 @@ def slices(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, text, ids of every document's whole text."""
 
-    def finish(texts: pa.Table, ids: list[np.ndarray]) -> pa.Table:
-        return pa.table({"doc_id": texts.column("doc_id"), "text": texts.column("text"), "ids": pa.array(ids, pa.list_(pa.int32()))})
+    def finish(texts: pa.Table, found: Found) -> pa.Table:
+        return pa.table({"doc_id": texts.column("doc_id"), "text": texts.column("text"), "ids": found.ids()})
 
     return assembled(docs, path, finish, "doc_id long, text string, ids array<int>")
 
@@ -340,14 +347,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def summary(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids joined by spaces), whether decoding gives the text back; ids on demand."""
 
-    def finish(texts: pa.Table, ids: list[np.ndarray]) -> pa.Table:
+    def finish(texts: pa.Table, found: Found) -> pa.Table:
         own = pieces(path)
-        lists = [x.tolist() for x in ids]
-        same = [own.text(x) == t.as_py().replace(SPACE, " ") for x, t in zip(lists, texts.column("text"), strict=True)]
+        flat = found.flat.tolist()
+        spans = list(zip(found.begins.tolist(), (found.begins + found.sizes).tolist(), strict=True))
+        names, raw = [own.names[k] for k in flat], [own.raw[k] for k in flat]
+        listed = [b" ".join(names[a:b]) for a, b in spans]
+        # texts are joined from chunks and their decoding from that of the chunks: one that differs shows in its chunk
+        plain = np.array([b"".join(raw[a:b]) == c.replace(SPACE, " ").encode() for (a, b), c in zip(spans, found.chunks, strict=True)], bool)
+        same = [
+            bool(plain[x].all()) or own.text(found.flat[slices(found.begins[x], found.sizes[x])].tolist()) == t.replace(SPACE, " ")
+            for x, t in zip(found.texts, texts.column("text").to_pylist(), strict=True)
+        ]
         out = {
-            "doc_id": texts.column("doc_id"), "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in lists]), "round_trip": pa.array(same, pa.bool_()),
+            "doc_id": texts.column("doc_id"), "n_tokens": pa.array([int(found.sizes[x].sum()) for x in found.texts], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(b" ".join([listed[k] for k in x.tolist()])).hexdigest() for x in found.texts], pa.string()),
+            "round_trip": pa.array(same, pa.bool_()),
         }
-        return pa.table({**out, "ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else out)
+        return pa.table({**out, "ids": found.ids()} if with_ids else out)
 
     return assembled(docs, path, finish, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids)

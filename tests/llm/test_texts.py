@@ -191,3 +191,25 @@ def test_digest_of_ids(edge_docs):
     path = catalog.vocabulary(catalog.PIECES)
     row = pieces.summary(edge_docs.filter("doc_id = 4"), path, with_ids=True).first()
     assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, row["ids"])).encode()).hexdigest()
+
+
+def test_the_lattice_is_solved_without_a_row_per_substring(spark, edge_docs):
+    """Each distinct chunk once per part, its edges in arrays; asked and answered packs are compressed and give their bytes back."""
+    path = catalog.vocabulary(catalog.PIECES)
+    assert "Generate" not in pieces.summary(edge_docs, path)._jdf.queryExecution().toString()
+    raw = "\n".join(f"▁word{k}" for k in range(500)).encode()
+    assert pieces.unsqueezed(pieces.squeezed(raw)) == raw and len(pieces.squeezed(raw)) < len(raw) / 2
+    assert pieces.unsqueezed(pieces.squeezed(b"")) == b""
+
+
+def test_lattice_in_arrays_equals_merging_by_heap(monkeypatch):
+    import random
+
+    monkeypatch.setattr(pieces, "TOGETHER", 300)
+    own, rng = pieces.pieces(catalog.vocabulary(catalog.PIECES)), random.Random(7)
+    some = [p for p in own.id_of if 1 < len(p) < 9]
+    chunks = ["".join(rng.choice(some) for _ in range(rng.randint(1, 5))) for _ in range(1000)] + ["▁" * 48, "a" * 48, "🙂é中", "x"]
+    flat, sizes = own.solve(chunks)
+    assert flat.tolist() == [k for c in chunks for k in own.merged(c)]
+    assert sizes.tolist() == [len(own.merged(c)) for c in chunks]
+    assert [len(x) for x in own.solve([])] == [0, 0]
