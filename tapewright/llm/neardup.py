@@ -30,6 +30,7 @@ kept by ``keep_one``, which keeps one row per class: of the smallest doc_id (nul
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapewright.llm.common import cut_lineage, map_rows, private
+from tapewright.session import checkpoint_dir
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -49,6 +51,8 @@ DARTS = K * math.log(K) + 2 * K
 SMALL = 8
 #: Counters that order cells by rarity in the prefix filter; two cells in one counter cost time only.
 RARITY_SLOTS = 1 << 20
+#: Bits that mark the texts of buckets before texts are exchanged; two texts on one bit cost time only.
+MARKS = 1 << 26
 #: Text bytes that are hashed at a time: cells and darts take about twelve times as much.
 BATCH_BYTES = 2_000_000
 #: Distinct words whose hashes one Python process remembers (a memo only).
@@ -176,6 +180,26 @@ def cell_sets(texts: DataFrame) -> DataFrame:
     return map_rows(texts.select("node", "text"), make, "node binary, cells array<long>", BATCH_BYTES)
 
 
+def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The (node, text) rows whose node is given, and few others, picked where they are read by a bitmap of fixed size (MARKS)."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(MARKS)) + 1
+    page, at = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    pages = nodes.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(at).alias("bits"))  # of 4 KB
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (F.pmod(at, F.lit(8)) + 1).cast("int")))
+    both = texts.join(F.broadcast(pages), page == F.col("page"))  # at most MARKS bits
+    return both.filter(bit != 0).select("node", "text")
+
+
+def written_by_node(rows: DataFrame) -> DataFrame:
+    """The rows written once as a table in buckets of their node, as many as a shuffle has partitions: joins by node read it without an exchange."""
+    spark = rows.sparkSession
+    name = f"tw_cells_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/tables/{name}"
+    rows.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def verified(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """The pairs (leader, node) whose similarity reaches the threshold."""
     left = cells.select(F.col("node").alias("leader"), F.col("cells").alias("leader_cells"))
@@ -308,11 +332,12 @@ def links(docs: DataFrame, sign: DataFrame) -> DataFrame:
     rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     in_buckets = cut_lineage(rows.join(shared, ["band", "key"]))
-    weights = in_buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    weights = cut_lineage(in_buckets.groupBy("node").agg(F.sum("n").alias("weight")))
     open_ = cut_lineage(in_buckets.drop("n").join(weights, "node"))
     texts = docs.select(text_node(F.col("text")).alias("node"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(weights.select("node"), "node", "left_semi")
-    cells = cut_lineage(cell_sets(chosen).groupBy("node").agg(F.first("cells").alias("cells")))
+    # only texts of buckets are exchanged, one of each; their cells stay where they are
+    one = texts_of(texts, weights).groupBy("node").agg(F.first("text").alias("text"))
+    cells = written_by_node(cell_sets(one.join(weights.select("node"), "node", "left_semi")))
     found, compared, first = None, None, True
     while first or not open_.isEmpty():
         stars = cut_lineage(open_.join(led_by(open_), ["band", "key"]).filter(F.col("node") != F.col("leader")))

@@ -131,6 +131,31 @@ def test_pairs_within_a_template_are_found(spark):
     assert sorted(sorted(g) for g in groups.values()) == plain_classes(rows)
 
 
+def test_cells_are_made_once_per_text_of_a_bucket_and_not_exchanged(spark, monkeypatch):
+    base = words_of(320, 80)
+    rows = [(k, base) for k in range(6)] + [(6, base + " more")] + [(7 + k, words_of(330 + k, 80)) for k in range(30)]
+    docs, seen, tables, plain, written = spark.createDataFrame(rows, "doc_id long, text string"), [], [], neardup.cell_sets, neardup.verified
+    monkeypatch.setattr(neardup, "cell_sets", lambda texts: seen.extend(texts.collect()) or plain(texts))
+    monkeypatch.setattr(neardup, "verified", lambda pairs, cells: tables.append((pairs, cells)) or written(pairs, cells))
+    found = neardup.near_classes(docs).collect()
+    assert sorted(r["class_size"] for r in found) == [1] * 30 + [7] * 7
+    assert sorted(r["text"] for r in seen) == [base, base + " more"]
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = written(*tables[0])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert plan.count("Exchange hashpartitioning") == 2  # the pairs by leader, then by node
+
+
+def test_marks_keep_every_text_of_a_bucket(spark):
+    texts = spark.range(3000).select(F.unhex(F.md5(F.col("id").cast("string").cast("binary"))).alias("node"), F.col("id").cast("string").alias("text"))
+    kept = {r["text"] for r in neardup.texts_of(texts, texts.filter("text % 7 = 0").select("node")).collect()}
+    assert {str(k) for k in range(0, 3000, 7)} <= kept and len(kept) < 500
+    assert neardup.texts_of(texts, texts.filter("false").select("node")).count() == 0
+
+
 def test_one_document_of_each_class_stays(spark, edge_docs, no_docs):
     kept = neardup.keep_one(edge_docs)
     assert kept.columns == edge_docs.columns
